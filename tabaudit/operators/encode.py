@@ -147,16 +147,17 @@ def min_max_scale(df: DataFrame, columns: list[str], row_id: str = "row_id",
 def vector_scale(df: DataFrame, column: str, invert: bool = False,
                  out: str | None = None) -> DataFrame:
     """Min-max scale of one numeric column over the whole frame, optionally
-    inverted (max -> 0). The 1-row (min, max) aggregate is cross-joined, which
-    Spark plans as a broadcast of one row."""
+    inverted (max -> 0). One small job fetches (min, max)."""
     out = out or column
-    stats = df.agg(F.min(column).cast("double").alias("_lo"),
-                   F.max(column).cast("double").alias("_hi"))
-    scaled = F.try_divide(F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    st = df.agg(F.min(column).cast("double").alias("lo"),
+                F.max(column).cast("double").alias("hi")).first()
+    lo, hi = st["lo"], st["hi"]
+    scaled = F.try_divide(F.col(column).cast("double") - F.lit(lo).cast("double"),
+                          F.lit(hi).cast("double") - F.lit(lo).cast("double"))
     if invert:
         scaled = F.lit(1.0) - scaled
     others = [c for c in df.columns if c != out]
-    return df.crossJoin(F.broadcast(stats)).select(*others, scaled.alias(out))
+    return df.select(*others, scaled.alias(out))
 
 
 def clip01(x: Column) -> Column:

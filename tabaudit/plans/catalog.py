@@ -220,3 +220,247 @@ def freq_correlation(spark, sf):
 def summary(spark, sf):
     from tabaudit.operators.report import summarize_frequency
     return summarize_frequency(_frequency(spark, sf), n_decimal=2)
+
+
+# ----------------------------------------------------------------- D1-D5, X
+from tabaudit.operators import sample as D  # noqa: E402
+
+
+@query("split_exact")
+def split_exact(spark, sf):
+    c = _cohort(spark, sf)
+    tr, te = D.split_exact(c, 0.75, "row_id", seed=X.SEED, tag="split_exact")
+    return tr.select("row_id", F.lit("train").alias("part")).unionByName(
+        te.select("row_id", F.lit("test").alias("part")))
+
+
+@query("split_complement")
+def split_complement(spark, sf):
+    c = _cohort(spark, sf)
+    tr, _ = D.split_exact(c, 0.75, "row_id", seed=X.SEED, tag="split_exact")
+    return D.set_difference(c, tr, "row_id").select("row_id")
+
+
+@query("split_proportional")
+def split_proportional(spark, sf):
+    r = _roles(spark, sf)
+    n_tr, n_te = r["train"].count(), r["test"].count()
+    s_tr, s_te = D.split_proportional(r["synth"], n_tr, n_te, "row_id", seed=X.SEED)
+    return s_tr.select("row_id", F.lit("train").alias("part")).unionByName(
+        s_te.select("row_id", F.lit("test").alias("part")))
+
+
+@query("row_cap")
+def row_cap(spark, sf):
+    return D.row_cap(_cohort(spark, sf), 10_000, "row_id", seed=X.SEED).select("row_id")
+
+
+@query("bootstrap")
+def bootstrap(spark, sf):
+    return D.bootstrap(_cohort(spark, sf), "row_id", seed=X.SEED).select("row_id", "copy")
+
+
+@query("union_rows")
+def union_rows(spark, sf):
+    r = _roles(spark, sf)
+    st = R.stack({"train": r["train"], "test": r["test"]}, "role")
+    return st.select("row_id", "role")
+
+
+@query("sorted_distinct")
+def sorted_distinct(spark, sf):
+    from pyspark.sql import Window
+    vc = P.value_counts(_cohort(spark, sf), STRING_FEATURES, X.SENTINEL)
+    w = Window.partitionBy("label").orderBy("value")     # <= max_categories rows per label
+    return vc.select("label", "value", (F.row_number().over(w) - 1).alias("pos"))
+
+
+# ------------------------------------------------------------------- G1, G2
+from tabaudit.operators import generate as G  # noqa: E402
+
+
+def _enc_train(spark, sf):
+    spec = _spec(spark, sf)
+    return E.encode(_roles(spark, sf)["train"], spec, "row_id")
+
+
+@query("marginal_sample")
+def marginal_sample(spark, sf):
+    return G.marginal_sample(_enc_train(spark, sf), seed=X.SEED).wide()
+
+
+@query("uniform_bits")
+def uniform_bits(spark, sf):
+    return G.uniform_bits(_enc_train(spark, sf), seed=X.SEED).wide()
+
+
+# ----------------------------------------------------------------- R12-R19
+from tabaudit.operators import metrics as M  # noqa: E402
+
+
+def _test_and_restored(spark, sf):
+    spec = _spec(spark, sf)
+    test = _roles(spark, sf)["test"]
+    return spec, test, E.decode(E.encode(test, spec, "row_id"))
+
+
+@query("kl_divergence")
+def kl_divergence(spark, sf):
+    _, test, rest = _test_and_restored(spark, sf)
+    p = test.select("row_id", M.normal_pdf(F.col("count")).alias("p"))
+    qq = rest.select("row_id", M.normal_pdf(F.col("count")).alias("q"))
+    return M.kl_divergence(p, qq, "row_id").select(r6(F.col("kl")).alias("kl"))
+
+
+@query("normal_pdf")
+def normal_pdf(spark, sf):
+    c = _cohort(spark, sf)
+    return c.select("row_id", F.round(M.normal_pdf(F.col("count")), 9).alias("pdf"))
+
+
+@query("categorical_distance")
+def categorical_distance(spark, sf):
+    r = _roles(spark, sf)
+    out = M.categorical_distance(r["test"], r["synth"], STRING_FEATURES)
+    return out.select("label", r6(F.col("distance")).alias("distance"))
+
+
+@query("feature_distance")
+def feature_distance(spark, sf):
+    spec, test, rest = _test_and_restored(spark, sf)
+    out = M.feature_distance(test, rest, spec, "row_id")
+    return out.select("label", "type", r6(F.col("distance")).alias("distance"))
+
+
+@query("reconstruction_bce")
+def reconstruction_bce(spark, sf):
+    spec = _spec(spark, sf)
+    test = _roles(spark, sf)["test"]
+    target = E.encode(test, spec, "row_id").df
+    output = E.encode(test, spec, "row_id", scale_by="spec").df.select(
+        "row_id", E.clip01(F.col("x")).alias("x"))
+    return M.reconstruction_bce(target, output, "row_id").select(r6(F.col("loss")).alias("loss"))
+
+
+def _scored_docs(spark, sf):
+    docs = X.table(spark, sf, "documents").select("doc_id", "n_chars")
+    lab = X.table(spark, sf, "labels").select("doc_id", "quality")
+    return docs.join(lab, "doc_id")
+
+
+@query("threshold_accuracy")
+def threshold_accuracy(spark, sf):
+    d = E.vector_scale(_scored_docs(spark, sf), "n_chars", out="p")
+    return M.threshold_accuracy(d, "p", "quality").select(r6(F.col("accuracy")).alias("accuracy"))
+
+
+@query("roc_curve")
+def roc_curve(spark, sf):
+    out = M.roc_curve(_scored_docs(spark, sf), "n_chars", "quality")
+    return out.select(r6(F.col("fpr")).alias("fpr"), r6(F.col("tpr")).alias("tpr"),
+                      r6(F.col("threshold")).alias("threshold"))
+
+
+@query("auc")
+def auc(spark, sf):
+    return M.auc(_scored_docs(spark, sf), "n_chars", "quality").select(r6(F.col("auc")).alias("auc"))
+
+
+# ------------------------------------------------------------------ N1-N10
+from tabaudit.operators import neighbors as N  # noqa: E402
+from tabaudit.operators import privacy as PV  # noqa: E402
+
+
+def _emb(spark, sf):
+    return X.table(spark, sf, "embeddings").select(
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+
+
+@query("paired_distance")
+def paired_distance(spark, sf):
+    e = _emb(spark, sf)
+    per = (e.select("label", F.posexplode("x").alias("pos", "v"))
+            .groupBy("label", "pos").agg(F.avg("v").alias("m")))
+    cent = per.groupBy("label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("x"))
+    j = e.join(cent.withColumnRenamed("x", "c"), "label")
+    return j.select("vec_id",
+                    r6(N.vector_distance(F.col("x"), F.col("c"), "euclidean")).alias("euclidean"),
+                    r6(N.vector_distance(F.col("x"), F.col("c"), "cosine")).alias("cosine"),
+                    r6(N.vector_distance(F.col("x"), F.col("c"), "cityblock")).alias("cityblock"))
+
+
+@query("nn_self")
+def nn_self(spark, sf):
+    out = N.nearest_neighbors(_emb(spark, sf), None, "euclidean", id_col="vec_id")
+    return out.select("vec_id", r6(F.col("dist")).alias("dist"))
+
+
+def _enc_roles(spark, sf):
+    spec = _spec(spark, sf)
+    r = _roles(spark, sf)
+    return {k: E.encode(v, spec, "row_id") for k, v in r.items()}
+
+
+@query("nn_cross")
+def nn_cross(spark, sf):
+    e = _enc_roles(spark, sf)
+    out = N.nearest_neighbors(e["test"].df, e["synth"].df, "euclidean")
+    return out.select("row_id", r6(F.col("dist")).alias("dist"))
+
+
+def _memorization(spark, sf):
+    e = _enc_roles(spark, sf)
+    return PV.memorization(e["train"], e["synth"], "euclidean", seed=X.SEED)
+
+
+@query("memorization")
+def memorization(spark, sf):
+    return _memorization(spark, sf).select("row_id", "kind", r6(F.col("dist")).alias("dist"))
+
+
+@query("mean_nn")
+def mean_nn(spark, sf):
+    return PV.mean_nn(_memorization(spark, sf)).select("kind", r6(F.col("mean_dist")).alias("mean_dist"))
+
+
+@query("distance_histogram")
+def distance_histogram(spark, sf):
+    h = PV.distance_histogram(_memorization(spark, sf), 30)
+    return h.select("kind", "bin", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n")
+
+
+@query("cosine_min")
+def cosine_min(spark, sf):
+    e = _emb(spark, sf)
+    out = N.nearest_neighbors(e.filter(F.col("label") < 5), e.filter(F.col("label") >= 5),
+                              "cosine", id_col="vec_id")
+    return out.select("vec_id", r6(F.col("dist")).alias("dist"))
+
+
+def _membership(spark, sf):
+    e = _enc_roles(spark, sf)
+    return PV.membership_scores(e["train"], e["test"], e["synth"])
+
+
+@query("membership_score")
+def membership_score(spark, sf):
+    s = _membership(spark, sf)
+    return s.select("row_id", "label", r6(F.col("dist")).alias("dist"), r6(F.col("prob")).alias("prob"))
+
+
+@query("membership_attack")
+def membership_attack(spark, sf):
+    return M.auc(_membership(spark, sf), "prob", "label").select(r6(F.col("auc")).alias("auc"))
+
+
+# ------------------------------------------------------------------ S5, S8
+@query("default_header")
+def default_header(spark, sf):
+    from tabaudit.sources.files import with_default_header
+    return with_default_header(X.table(spark, sf, "customer"))
+
+
+@query("example_dataset")
+def example_dataset(spark, sf):
+    return X.example_dataset(X.table(spark, sf, "orders"), "o_orderkey")

@@ -161,3 +161,212 @@ oracle("summary", FREQ + """
 SELECT 'feature_frequency' AS analysis, 'corr_train' AS metric, round_even(corr(real_train, synth), 2) AS value FROM freq
 UNION ALL
 SELECT 'feature_frequency', 'corr_test', round_even(corr(real_test, synth), 2) FROM freq""")
+
+# ----------------------------------------------------------------- D1-D5, X
+from tabaudit.operators.sample import poisson_thresholds  # noqa: E402
+from tabaudit.plans.sqlparts import H, nn_sql, vec  # noqa: E402
+
+oracle("split_exact", f"""
+WITH r AS (SELECT o_orderkey AS row_id,
+                  row_number() OVER (ORDER BY {H(str(SEED), q('split_exact'), 'o_orderkey')}, o_orderkey) AS rn
+           FROM orders),
+k AS (SELECT round_even(count(*) * 0.75, 0) AS k FROM orders)
+SELECT row_id, CASE WHEN rn <= k THEN 'train' ELSE 'test' END AS part FROM r, k""")
+
+oracle("split_complement", f"""
+WITH r AS (SELECT o_orderkey AS row_id,
+                  row_number() OVER (ORDER BY {H(str(SEED), q('split_exact'), 'o_orderkey')}, o_orderkey) AS rn
+           FROM orders),
+k AS (SELECT round_even(count(*) * 0.75, 0) AS k FROM orders)
+SELECT row_id FROM r, k WHERE rn > k""")
+
+oracle("split_proportional", with_(COHORT, f"""n AS (SELECT
+    count(CASE WHEN role = 'train' THEN 1 END) AS n_tr, count(CASE WHEN role = 'test' THEN 1 END) AS n_te,
+    count(CASE WHEN role = 'synth' THEN 1 END) AS n_s FROM cohort)""",
+    f"""r AS (SELECT row_id, row_number() OVER (ORDER BY {H(str(SEED), q('synth_split'), 'row_id')}, row_id) AS rn
+           FROM cohort WHERE role = 'synth')""") + """
+SELECT row_id, CASE WHEN rn <= round_even(n_s * (CAST(n_tr AS DOUBLE) / (n_tr + n_te)), 0)
+                    THEN 'train' ELSE 'test' END AS part FROM r, n""")
+
+oracle("row_cap", f"""
+SELECT row_id FROM (SELECT o_orderkey AS row_id,
+       row_number() OVER (ORDER BY {H(str(SEED), q('cap'), 'o_orderkey')}, o_orderkey) AS rn FROM orders)
+WHERE rn <= 10000""")
+
+_M = " + ".join(f"(CASE WHEN u >= {t!r} THEN 1 ELSE 0 END)" for t in poisson_thresholds())
+oracle("bootstrap", f"""
+WITH m AS (SELECT row_id, {_M} AS m FROM (SELECT o_orderkey AS row_id,
+             {U(str(SEED), q('boot'), 'o_orderkey')} AS u FROM orders))
+SELECT row_id, CAST(unnest(generate_series(1, m)) AS INTEGER) AS copy FROM m WHERE m > 0""")
+
+oracle("union_rows", with_(COHORT) + "SELECT row_id, role FROM cohort WHERE role IN ('train', 'test')")
+
+oracle("sorted_distinct", with_(COHORT, """v AS (UNPIVOT (SELECT constant, tier, categorical, priority FROM cohort)
+    ON constant, tier, categorical, priority INTO NAME label VALUE value)""",
+    "d AS (SELECT DISTINCT label, value FROM v)") + """
+SELECT label, value, CAST(row_number() OVER (PARTITION BY label ORDER BY value) - 1 AS INTEGER) AS pos FROM d""")
+
+# ------------------------------------------------------------------- G1, G2
+_MEANS = "means AS (SELECT " + ", ".join(f"avg({dq(l)}) AS m{i}" for i, l in enumerate(ENC_LABELS)) + \
+         " FROM enc WHERE role = 'train')"
+oracle("marginal_sample", with_(*BASE, enc_cte("enc", "own"), _MEANS) + "SELECT row_id, " + ", ".join(
+    f"CASE WHEN {U(str(SEED), q('marginal'), str(i), 'row_id')} < m{i} THEN 1.0 ELSE 0.0 END AS {dq(l)}"
+    for i, l in enumerate(ENC_LABELS)) + " FROM enc, means WHERE role = 'train'")
+
+oracle("uniform_bits", with_(*BASE, enc_cte("enc", "own")) + "SELECT row_id, " + ", ".join(
+    f"CASE WHEN {U(str(SEED), q('uniform'), str(i), 'row_id')} < 0.5 THEN 1.0 ELSE 0.0 END AS {dq(l)}"
+    for i, l in enumerate(ENC_LABELS)) + " FROM enc WHERE role = 'train'")
+
+# ----------------------------------------------------------------- R12-R19
+RESTORED = "restored AS (" + RESTORE.replace("SELECT e.row_id,", "SELECT e.row_id, e.role,") + ")"
+
+
+def PDF(x: str) -> str:
+    return f"(exp(-({x} * {x}) / 2.0) / sqrt(2.0 * pi()))"
+
+
+KL_TERM = "CASE WHEN p <> 0 AND q <> 0 THEN p * ln(p / q) ELSE 0.0 END"
+
+oracle("kl_divergence", with_(*BASE, enc_cte("enc", "own"), RESTORED) + f"""
+SELECT {R6(f'coalesce(sum({KL_TERM}), 0.0)')} AS kl FROM (
+  SELECT {PDF('c."count"')} AS p, {PDF('r."count"')} AS q
+  FROM cohort c JOIN restored r ON c.row_id = r.row_id WHERE c.role = 'test')""")
+
+oracle("normal_pdf", with_(COHORT) + f'SELECT row_id, round({PDF(chr(34) + "count" + chr(34))}, 9) AS pdf FROM cohort')
+
+_STR = "constant, tier, categorical, priority"
+
+
+def _catdist(real: str, synth: str) -> str:
+    return f"""rf AS (SELECT label, value, count(*) AS n FROM (UNPIVOT (SELECT {_STR} FROM {real}) ON {_STR}
+                INTO NAME label VALUE value) GROUP BY ALL),
+sf AS (SELECT label, value, count(*) AS n FROM (UNPIVOT (SELECT {_STR} FROM {synth}) ON {_STR}
+                INTO NAME label VALUE value) GROUP BY ALL),
+nn AS (SELECT (SELECT count(*) FROM {real}) AS nr, (SELECT count(*) FROM {synth}) AS ns),
+cd AS (SELECT rf.label, sqrt(sum(pow(rf.n / nn.nr - coalesce(sf.n, 0) / nn.ns, 2))) AS distance
+       FROM rf LEFT JOIN sf ON rf.label = sf.label AND rf.value = sf.value, nn GROUP BY rf.label)"""
+
+
+oracle("categorical_distance", with_(COHORT, "te AS (SELECT * FROM cohort WHERE role = 'test')",
+                                     "sy AS (SELECT * FROM cohort WHERE role = 'synth')", _catdist("te", "sy"))
+       + f"SELECT label, {R6('distance')} AS distance FROM cd")
+
+oracle("feature_distance", with_(*BASE, enc_cte("enc", "own"), RESTORED,
+                                 "te AS (SELECT * FROM cohort WHERE role = 'test')",
+                                 "rt AS (SELECT * FROM restored WHERE role = 'test')",
+                                 _catdist("te", "rt"),
+                                 f"""nd AS (SELECT label, sum({KL_TERM}) AS distance FROM (
+   SELECT 'count' AS label, {PDF('te."count"')} AS p, {PDF('rt."count"')} AS q FROM te JOIN rt USING (row_id)
+   UNION ALL
+   SELECT 'continuous', {PDF('te.continuous')}, {PDF('rt.continuous')} FROM te JOIN rt USING (row_id)) GROUP BY label)""",
+                                 f"types AS (SELECT label, type FROM ({profile_sql('train')}) p)") + f"""
+SELECT t.label, t.type, {R6('d.distance')} AS distance
+FROM types t LEFT JOIN (SELECT * FROM cd UNION ALL SELECT * FROM nd) d ON t.label = d.label""")
+
+_BCE = " + ".join(
+    f"(t.{dq(l)} * ln(greatest(0.0, least(1.0, o.{dq(l)})) + 1e-12) + (1.0 - t.{dq(l)}) * ln(1.0 - greatest(0.0, least(1.0, o.{dq(l)})) + 1e-12))"
+    for l in ENC_LABELS)
+oracle("reconstruction_bce", with_(*BASE, enc_cte("enc", "own"), enc_cte("encs", "spec")) + f"""
+SELECT {R6(f'avg(-({_BCE}))')} AS loss
+FROM enc t JOIN encs o ON t.row_id = o.row_id WHERE t.role = 'test' AND o.role = 'test'""")
+
+DOCS = """d AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS score, quality AS y FROM documents JOIN labels USING (doc_id))"""
+
+oracle("threshold_accuracy", with_(DOCS, "st AS (SELECT min(score) AS lo, max(score) AS hi FROM d)") + f"""
+SELECT {R6('100.0 * avg(CASE WHEN abs((score - lo) / (hi - lo) - y) <= 0.5 THEN 1.0 ELSE 0.0 END)')} AS accuracy
+FROM d, st""")
+
+ROC_BASE = [DOCS, "sc AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM d GROUP BY score)",
+            """cum AS (SELECT score, pos, neg,
+    sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps,
+    sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fps,
+    row_number() OVER (ORDER BY score DESC) AS idx FROM sc)""",
+            "tot AS (SELECT sum(pos) AS P, sum(neg) AS N, max(score) AS smax FROM sc)"]
+
+oracle("roc_curve", with_(*ROC_BASE, """nb AS (SELECT *, lag(tps) OVER (ORDER BY idx) AS tp0, lag(fps) OVER (ORDER BY idx) AS fp0,
+    lead(tps) OVER (ORDER BY idx) AS tp2, lead(fps) OVER (ORDER BY idx) AS fp2 FROM cum)""") + f"""
+SELECT CAST(0.0 AS DOUBLE) AS fpr, CAST(0.0 AS DOUBLE) AS tpr, {R6('smax + 1.0')} AS threshold FROM tot
+UNION ALL
+SELECT {R6('fps / N')}, {R6('tps / P')}, {R6('score')} FROM nb, tot
+WHERE tp0 IS NULL OR tp2 IS NULL OR fp2 - 2 * fps + fp0 <> 0 OR tp2 - 2 * tps + tp0 <> 0""")
+
+oracle("auc", with_(*ROC_BASE) + f"SELECT {R6('sum(neg * (2 * tps - pos)) / (2.0 * P * N)')} AS auc FROM cum, tot GROUP BY P, N")
+
+# ------------------------------------------------------------------ N1-N10
+EMB = "emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+CITY = "list_sum(list_transform(list_zip(e.v, c.c), lambda p: abs(p[1] - p[2])))"
+oracle("paired_distance", with_(EMB, """per AS (SELECT label, i, avg(v[i]) AS m FROM
+    (SELECT label, v, unnest(generate_series(1, len(v))) AS i FROM emb) GROUP BY label, i)""",
+    "cent AS (SELECT label, list(m ORDER BY i) AS c FROM per GROUP BY label)") + f"""
+SELECT e.vec_id, {R6('list_distance(e.v, c.c)')} AS euclidean,
+       {R6('list_cosine_distance(e.v, c.c)')} AS cosine, {R6(CITY)} AS cityblock
+FROM emb e JOIN cent c ON e.label = c.label""")
+
+oracle("nn_self", with_(EMB) + f"SELECT vec_id, {R6('dist')} AS dist FROM ({nn_sql('emb', 'emb', True, id_col='vec_id')})")
+
+ENCV = f"encv AS (SELECT row_id, role, {vec(ENC_LABELS)} AS v FROM enc)"
+oracle("nn_cross", with_(*BASE, enc_cte("enc", "own"), ENCV,
+                         "te AS (SELECT * FROM encv WHERE role = 'test')",
+                         "sy AS (SELECT * FROM encv WHERE role = 'synth')") +
+       f"SELECT row_id, {R6('dist')} AS dist FROM ({nn_sql('te', 'sy', False)})")
+
+
+def _bits(tag: str, probs: str) -> str:
+    return "list_value(" + ", ".join(
+        f"CASE WHEN {U(str(SEED), q(tag), str(i), 'row_id')} < {probs.format(i=i)} THEN 1.0 ELSE 0.0 END"
+        for i in range(len(ENC_LABELS))) + ")"
+
+
+MEM = with_(*BASE, enc_cte("enc", "own"), ENCV, _MEANS,
+            "tr AS (SELECT * FROM encv WHERE role = 'train')",
+            "sy AS (SELECT * FROM encv WHERE role = 'synth')",
+            f"pr AS (SELECT row_id, {_bits('marginal', 'm{i}')} AS v FROM tr, means)",
+            f"ra AS (SELECT row_id, {_bits('uniform', '0.5')} AS v FROM tr)",
+            f"""mem AS (SELECT row_id, 'real' AS kind, dist FROM ({nn_sql('tr', 'tr', True)})
+  UNION ALL SELECT row_id, 'synth', dist FROM ({nn_sql('tr', 'sy', False)})
+  UNION ALL SELECT row_id, 'prob', dist FROM ({nn_sql('tr', 'pr', False)})
+  UNION ALL SELECT row_id, 'rand', dist FROM ({nn_sql('tr', 'ra', False)}))""")
+
+oracle("memorization", MEM + f"SELECT row_id, kind, {R6('dist')} AS dist FROM mem")
+oracle("mean_nn", MEM + f"SELECT kind, {R6('avg(dist)')} AS mean_dist FROM mem GROUP BY kind")
+oracle("distance_histogram", MEM + f""", st AS (SELECT min(dist) AS lo, max(dist) AS hi FROM mem),
+grid AS (SELECT kind, unnest(generate_series(0, 29)) AS bin FROM (SELECT DISTINCT kind FROM mem)),
+cnt AS (SELECT kind, CAST(least(floor((dist - lo) * 30.0 / (hi - lo)), 29) AS INTEGER) AS bin, count(*) AS n
+        FROM mem, st GROUP BY ALL)
+SELECT g.kind, CAST(g.bin AS INTEGER) AS bin, {R6('lo + (hi - lo) * g.bin / 30.0')} AS lo,
+       {R6('lo + (hi - lo) * (g.bin + 1) / 30.0')} AS hi, coalesce(c.n, 0) AS n
+FROM grid g LEFT JOIN cnt c ON g.kind = c.kind AND g.bin = c.bin, st""".replace("WITH ", "WITH ", 1))
+
+oracle("cosine_min", with_(EMB, "a AS (SELECT * FROM emb WHERE label < 5)", "b AS (SELECT * FROM emb WHERE label >= 5)")
+       + f"SELECT vec_id, {R6('dist')} AS dist FROM ({nn_sql('a', 'b', False, 'list_cosine_distance', 'vec_id')})")
+
+MEMB = with_(*BASE, enc_cte("enc", "own"), ENCV,
+             "tr AS (SELECT * FROM encv WHERE role = 'train')",
+             "te AS (SELECT * FROM encv WHERE role = 'test')",
+             "sy AS (SELECT * FROM encv WHERE role = 'synth')",
+             f"""u AS (SELECT row_id, 1 AS label, dist FROM ({nn_sql('tr', 'sy', False, 'list_cosine_distance')})
+   UNION ALL SELECT row_id, 0, dist FROM ({nn_sql('te', 'sy', False, 'list_cosine_distance')}))""",
+             "st AS (SELECT min(dist) AS lo, max(dist) AS hi FROM u)",
+             "sc AS (SELECT row_id, label, dist, 1.0 - (dist - lo) / (hi - lo) AS prob FROM u, st)")
+oracle("membership_score", MEMB + f"SELECT row_id, label, {R6('dist')} AS dist, {R6('prob')} AS prob FROM sc")
+oracle("membership_attack", MEMB + f""", s2 AS (SELECT prob AS score, sum(label) AS pos, sum(1 - label) AS neg FROM sc GROUP BY prob),
+c2 AS (SELECT pos, neg, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps FROM s2)
+SELECT {R6('sum(neg * (2 * tps - pos)) / (2.0 * sum(pos) * sum(neg))')} AS auc FROM c2""")
+
+# ------------------------------------------------------------------ S5, S8
+oracle("default_header", "SELECT c_custkey AS C0, c_name AS C1, c_nationkey AS C2, c_acctbal AS C3, "
+                         "c_mktsegment AS C4 FROM customer")
+
+
+def _u(tag: str) -> str:
+    return U(str(SEED), q(tag), "o_orderkey")
+
+
+oracle("example_dataset", f"""
+SELECT o_orderkey AS row_id, 'helloworld' AS constant,
+       CASE WHEN {_u('binary01')} < 0.5 THEN '0' ELSE '1' END AS binary01,
+       CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'B' ELSE 'A' END AS binaryAB,
+       (['X', 'Y', 'Z'])[CAST(floor({_u('categorical')} * 3) AS INTEGER) + 1] AS categorical,
+       CAST(floor({_u('count')} * 15) + 5 AS BIGINT) AS "count",
+       {_u('continuous')} AS continuous
+FROM orders""")

@@ -182,3 +182,21 @@ FROM (SELECT *, CASE WHEN n_uniq = 1 THEN 'constant' WHEN n_uniq = 2 THEN 'binar
                    count(CASE WHEN {sent} THEN 1 END) AS n_sent
             FROM {source} t) a) b""")
     return "\nUNION ALL\n".join(parts)
+
+
+def H(*parts: str) -> str:
+    """SQL keyed 32-bit hash, identical to functions.rand.hash_int."""
+    joined = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return "CAST(('0x' || substr(md5(concat_ws('|', " + joined + ")), 1, 8)) AS BIGINT)"
+
+
+def vec(labels: list[str], alias: str = "") -> str:
+    pre = f"{alias}." if alias else ""
+    return "list_value(" + ", ".join(f"{pre}{dq(lbl)}" for lbl in labels) + ")"
+
+
+def nn_sql(a: str, b: str, self_join: bool, fn: str = "list_distance", id_col: str = "row_id") -> str:
+    """Brute-force nearest-neighbour distance (a.v against b.v)."""
+    excl = f" WHERE a.{id_col} <> b.{id_col}" if self_join else ""
+    return (f"SELECT a.{id_col} AS {id_col}, min({fn}(a.v, b.v)) AS dist "
+            f"FROM {a} a CROSS JOIN {b} b{excl} GROUP BY a.{id_col}")

@@ -65,14 +65,13 @@ def example_dataset(keys: DataFrame, key: str, seed: int = SEED) -> DataFrame:
     a rare A/B column (B only on the largest key), X/Y/Z, a count in 5..19
     and a uniform continuous value. Deterministic by keyed hash."""
     k = F.col(key)
-    top = keys.agg(F.max(key).alias("_top"))
+    top = keys.agg(F.max(key).alias("t")).first()["t"]     # one number
     u = lambda tag: hash_uniform(seed, tag, k)
-    return (keys.select(k).crossJoin(F.broadcast(top))      # one-row side
-            .select(k.alias("row_id"),
-                    F.lit("helloworld").alias("constant"),
-                    F.when(u("binary01") < 0.5, F.lit("0")).otherwise(F.lit("1")).alias("binary01"),
-                    F.when(k == F.col("_top"), F.lit("B")).otherwise(F.lit("A")).alias("binaryAB"),
-                    F.element_at(F.array(F.lit("X"), F.lit("Y"), F.lit("Z")),
-                                 (F.floor(u("categorical") * 3) + 1).cast("int")).alias("categorical"),
-                    (F.floor(u("count") * 15) + 5).cast("long").alias("count"),
-                    u("continuous").alias("continuous")))
+    return keys.select(k.alias("row_id"),
+                       F.lit("helloworld").alias("constant"),
+                       F.when(u("binary01") < 0.5, F.lit("0")).otherwise(F.lit("1")).alias("binary01"),
+                       F.when(k == F.lit(top), F.lit("B")).otherwise(F.lit("A")).alias("binaryAB"),
+                       F.element_at(F.array(F.lit("X"), F.lit("Y"), F.lit("Z")),
+                                    (F.floor(u("categorical") * 3) + 1).cast("int")).alias("categorical"),
+                       (F.floor(u("count") * 15) + 5).cast("long").alias("count"),
+                       u("continuous").alias("continuous"))
