@@ -328,6 +328,7 @@ def split_outcome(enc: Encoded, outcome: str) -> tuple[DataFrame, list[Feature]]
     feats = [f for i, f in enumerate(enc.features) if i != k]
     x = F.col("x")
     rest = F.filter(x, lambda v, i: i != F.lit(k))
-    df = enc.df.select(F.col(enc.row_id), F.bround(x[k], 0).cast("int").alias("y"),
+    keep = [F.col(enc.group_col)] if enc.group_col else []
+    df = enc.df.select(F.col(enc.row_id), *keep, F.bround(x[k], 0).cast("int").alias("y"),
                        rest.alias("x"))
     return df, feats

@@ -464,3 +464,109 @@ def default_header(spark, sf):
 @query("example_dataset")
 def example_dataset(spark, sf):
     return X.example_dataset(X.table(spark, sf, "orders"), "o_orderkey")
+
+
+# ---------------------------------------------------------------- R4-R11
+OUTCOME = "tier"
+
+
+def _stacked(spark, sf):
+    c = _cohort(spark, sf, role=True)
+    return R.prepare_stacked(c, "role", "train", "row_id", X.SENTINEL)
+
+
+@query("feature_effect")
+def feature_effect(spark, sf):
+    out = R.feature_effect(_stacked(spark, sf), OUTCOME)
+    return out.select("feature", *[F.round(F.col(c), 4).alias(c)
+                                   for c in ("effect_real_train", "effect_real_test", "effect_synth")])
+
+
+def _xy(spark, sf):
+    enc = _stacked(spark, sf)
+    xy, _ = E.split_outcome(enc, OUTCOME)
+    return {k: xy.filter(F.col("role") == F.lit(k)).drop("role") for k in ("train", "test", "synth")}
+
+
+@query("predict_lr")
+def predict_lr(spark, sf):
+    xy = _xy(spark, sf)
+    res = R.validate_prediction(xy["train"], xy["test"], "lr", seed=X.SEED)
+    return res["scores"].select("row_id", "y", F.round("p", 4).alias("p"))
+
+
+@query("predict_mlp")
+def predict_mlp(spark, sf):
+    xy = _xy(spark, sf)
+    res = R.validate_prediction(xy["train"], xy["test"], "mlp", n_epoch=5, seed=X.SEED)
+    return res["scores"].select("row_id", "y", F.round("p", 4).alias("p"))
+
+
+@query("train_on_synth")
+def train_on_synth(spark, sf):
+    xy = _xy(spark, sf)
+    res = R.gan_train(xy["synth"], xy["test"], model_type="lr", seed=X.SEED)
+    return res["auc"].select(F.lit("gan_train").alias("arm"), F.round("auc", 4).alias("auc"))
+
+
+@query("test_on_synth")
+def test_on_synth(spark, sf):
+    xy = _xy(spark, sf)
+    res = R.gan_test(xy["synth"], xy["test"], model_type="lr", seed=X.SEED)
+    return res["auc"].select(F.lit("gan_test").alias("arm"), F.round("auc", 4).alias("auc"))
+
+
+@query("train_test_comparison")
+def train_test_comparison(spark, sf):
+    res = R.train_test_comparison(_stacked(spark, sf), OUTCOME, "lr", seed=X.SEED)
+    return res["auc"].select("arm", F.round("auc", 4).alias("auc"), "status")
+
+
+@query("constant_outcome_guard")
+def constant_outcome_guard(spark, sf):
+    xy = _split_xy_all(spark, sf)
+    return (xy.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
+              .select("role", "n", "n_pos",
+                      ((F.col("n_pos") == 0) | (F.col("n_pos") == F.col("n"))).alias("constant")))
+
+
+def _split_xy_all(spark, sf):
+    xy, _ = E.split_outcome(_stacked(spark, sf), OUTCOME)
+    return xy
+
+
+# ------------------------------------------------------------------ G3-G5
+def _copula(spark, sf):
+    enc = _enc_train(spark, sf)
+    model = G.fit_copula(enc)
+    n = enc.df.count()
+    gen = G.sample_copula(spark, model, n, seed=X.SEED)
+    return enc, enc.with_df(gen)
+
+
+@query("generate_copula")
+def generate_copula(spark, sf):
+    _, gen = _copula(spark, sf)
+    return gen.wide(DIGITS)
+
+
+@query("generate_restore")
+def generate_restore(spark, sf):
+    _, gen = _copula(spark, sf)
+    out = E.decode(gen)
+    return out.select("row_id", "constant", "tier", "categorical", "priority",
+                      r6(F.col("count")).alias("count"), r6(F.col("continuous")).alias("continuous"))
+
+
+# ------------------------------------------------------------ S1, S4, S6
+@query("file_roundtrip")
+def file_roundtrip(spark, sf):
+    from tabaudit.session import scratch_path
+    from tabaudit.sources.files import read_table, write_table
+    c = _cohort(spark, sf)
+    path = scratch_path(spark, "roundtrip") + ".csv"
+    write_table(c, path)
+    back = read_table(spark, path, fmt="csv")
+    return back.select(F.col("row_id").cast("long").alias("row_id"), "constant", "tier", "categorical",
+                       "priority", F.col("count").cast("double").alias("count"),
+                       F.col("continuous").cast("double").alias("continuous"))

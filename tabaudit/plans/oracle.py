@@ -370,3 +370,12 @@ SELECT o_orderkey AS row_id, 'helloworld' AS constant,
        CAST(floor({_u('count')} * 15) + 5 AS BIGINT) AS "count",
        {_u('continuous')} AS continuous
 FROM orders""")
+
+# ---------------------------------------------------------------- R8, S1
+oracle("constant_outcome_guard", with_(*BASE, enc_cte("enc", "own")) + """
+SELECT role, count(*) AS n, sum(CAST(round_even("tier__tier", 0) AS INTEGER)) AS n_pos,
+       (sum(CAST(round_even("tier__tier", 0) AS INTEGER)) = 0
+        OR sum(CAST(round_even("tier__tier", 0) AS INTEGER)) = count(*)) AS constant
+FROM enc GROUP BY role""")
+
+oracle("file_roundtrip", with_(COHORT) + 'SELECT row_id, constant, tier, categorical, priority, "count", continuous FROM cohort')

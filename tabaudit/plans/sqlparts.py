@@ -6,7 +6,8 @@ minority class and ranges are all recomputed in SQL from the train rows).
 from __future__ import annotations
 
 from tabaudit.sources.fixtures import (BINARY_CUT, CAT_MISS_RATE,
-                                       CONT_MISS_RATE, SEED, SENTINEL)
+                                       CONT_MISS_RATE, SEED, SENTINEL,
+                                       TIER_NOISE)
 
 
 def U(*parts: str) -> str:
@@ -30,7 +31,9 @@ SF = f"CAST({SENTINEL}.0 AS DOUBLE)"
 COHORT = f"""cohort AS (
   SELECT o_orderkey AS row_id,
          'helloworld' AS constant,
-         CASE WHEN o_totalprice > CAST({BINARY_CUT} AS DOUBLE) THEN 'H' ELSE 'L' END AS tier,
+         CASE WHEN (o_totalprice > CAST({BINARY_CUT} AS DOUBLE))
+                   <> ({U(str(SEED), q('tier_noise'), 'o_orderkey')} < CAST({TIER_NOISE} AS DOUBLE))
+              THEN 'H' ELSE 'L' END AS tier,
          CASE WHEN {U(str(SEED), q('miss_categorical'), 'o_orderkey')} < CAST({CAT_MISS_RATE} AS DOUBLE)
               THEN {S} ELSE o_orderstatus END AS categorical,
          o_orderpriority AS priority,

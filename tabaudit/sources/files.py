@@ -75,7 +75,8 @@ def read_table(spark: SparkSession, path: str, has_header: bool = True,
         fmt = kinds.pop() if len(kinds) == 1 else None
     if fmt is None:
         raise ValueError(f"unsupported file type: {path}")
-    if not glob.glob(path) and not path.startswith(("s3", "hdfs", "gs:", "abfs")):
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if "://" not in local and not glob.glob(local):
         raise FileNotFoundError(path)
     if fmt in ("csv", "tsv"):
         return read_csv(spark, path, "\t" if fmt == "tsv" else ",", has_header)

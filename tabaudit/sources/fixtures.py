@@ -24,6 +24,7 @@ SENTINEL = "-999999"
 CAT_MISS_RATE = 0.06
 CONT_MISS_RATE = 0.05
 BINARY_CUT = 250000.0
+TIER_NOISE = 0.2          # share of tier labels flipped, so the outcome is not separable
 FEATURES = ["constant", "tier", "categorical", "priority", "count", "continuous"]
 
 
@@ -38,7 +39,9 @@ def cohort(spark: SparkSession, sf_dir: str, with_role: bool = True) -> DataFram
     cols = [
         k.alias("row_id"),
         F.lit("helloworld").alias("constant"),
-        F.when(F.col("o_totalprice") > F.lit(BINARY_CUT), F.lit("H")).otherwise(F.lit("L")).alias("tier"),
+        F.when((F.col("o_totalprice") > F.lit(BINARY_CUT))
+               != (hash_uniform(SEED, "tier_noise", k) < F.lit(TIER_NOISE)), F.lit("H"))
+         .otherwise(F.lit("L")).alias("tier"),
         F.when(hash_uniform(SEED, "miss_categorical", k) < F.lit(CAT_MISS_RATE), F.lit(SENTINEL))
          .otherwise(F.col("o_orderstatus")).alias("categorical"),
         F.col("o_orderpriority").alias("priority"),
