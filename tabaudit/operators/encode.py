@@ -327,7 +327,8 @@ def split_outcome(enc: Encoded, outcome: str) -> tuple[DataFrame, list[Feature]]
         raise KeyError(f"outcome {outcome!r} is not an encoded feature")
     feats = [f for i, f in enumerate(enc.features) if i != k]
     x = F.col("x")
-    rest = F.filter(x, lambda v, i: i != F.lit(k))
+    d = len(enc.features)
+    rest = F.concat(F.slice(x, 1, k), F.slice(x, k + 2, max(d - k - 1, 0)))
     keep = [F.col(enc.group_col)] if enc.group_col else []
     df = enc.df.select(F.col(enc.row_id), *keep, F.bround(x[k], 0).cast("int").alias("y"),
                        rest.alias("x"))

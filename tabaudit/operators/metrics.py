@@ -36,11 +36,18 @@ def _cumulative(df: DataFrame, score: str, label: str, n_buckets: int) -> DataFr
 def auc(df: DataFrame, score: str, label: str, n_buckets: int = 64) -> DataFrame:
     """Area under the ROC curve (trapezoid on the full curve, i.e. the
     Mann-Whitney statistic with half weight for ties). One row ``auc``;
-    NULL when a class is empty."""
-    cum = _cumulative(df, score, label, n_buckets)
-    # each distinct score adds neg/N * (tps_i + tps_{i-1}) / 2P
-    return cum.agg(F.try_divide(F.sum(F.col("neg") * (2 * F.col("cum_pos") - F.col("pos"))),
-                                2.0 * F.sum("pos") * F.sum("neg")).alias("auc"))
+    NULL when a class is empty. Computed eagerly: the per-score counts are
+    aggregated once and persisted for the few small jobs of the prefix sum."""
+    from pyspark import StorageLevel
+    sc = score_counts(df, score, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cum = prefix_sums(sc, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets)
+        # each distinct score adds neg/N * (tps_i + tps_{i-1}) / 2P
+        value = cum.agg(F.try_divide(F.sum(F.col("neg") * (2 * F.col("cum_pos") - F.col("pos"))),
+                                     2.0 * F.sum("pos") * F.sum("neg")).alias("auc")).first()["auc"]
+    finally:
+        sc.unpersist()
+    return df.sparkSession.createDataFrame([(value,)], "auc double")
 
 
 def roc_curve(df: DataFrame, score: str, label: str, drop_collinear: bool = True,

@@ -101,6 +101,7 @@ def _round(c: Column, digits: int | None) -> Column:
 
 
 # ------------------------------------------------------ R4-R11: model fits
+import numpy as np  # noqa: E402
 from pyspark import StorageLevel  # noqa: E402
 from pyspark.ml.classification import (LogisticRegression,  # noqa: E402
                                        MultilayerPerceptronClassifier)
@@ -119,7 +120,14 @@ def _vectors(xy: DataFrame) -> DataFrame:
 
 def fit_effects(xy: DataFrame, C: float = 1.0, max_iter: int = 1000, tol: float = 1e-10):
     """L2 logistic regression with an unpenalised intercept (sklearn's
-    lbfgs objective with C, rescaled to MLlib's: regParam = 1/(n*C))."""
+    lbfgs objective  0.5||w||^2 + C * sum(logloss)). Newton (one aggregate
+    per step) up to NEWTON_MAX_DIM features, else MLlib L-BFGS with
+    regParam = 1/(n*C)."""
+    d = xy.select(F.size("x").alias("d")).first()["d"]
+    if d + 1 <= NEWTON_MAX_DIM:
+        x1 = xy.select("row_id", "y", F.concat(F.col("x"), F.array(F.lit(1.0))).alias("x"))
+        beta = newton_logistic(x1, [0.0] * (d + 1), [1.0 / C] * d + [0.0], 100, 1e-13)
+        return beta[:-1], beta[-1]
     data = _vectors(xy).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = data.count()
@@ -173,62 +181,139 @@ class LinearModel:
 
 
 def _dot(x, w: list[float]):
+    """x . w as a flat arithmetic expression (code-generated) for modest d;
+    higher-order functions (interpreted per row) only for very wide x."""
+    if len(w) <= 512:
+        out = F.lit(0.0)
+        for i, v in enumerate(w):
+            if v != 0.0:
+                out = out + x[i] * F.lit(float(v))
+        return out
     wl = F.array(*[F.lit(float(v)) for v in w])
     return F.aggregate(F.zip_with(x, wl, lambda a, c: a * c), F.lit(0.0), lambda s, t: s + t)
 
 
-def fit_lr_l1(xy: DataFrame, C: float = 1.0, max_iter: int = 50, tol: float = 1e-9,
-              seed: int = 0) -> LinearModel:
-    """L1 logistic regression whose intercept is penalised too (the
-    liblinear objective  ||w||_1 + C * sum(logloss)).
-
-    Solved by IRLS / proximal Newton: each outer step fits one weighted
-    least-squares problem with an L1 penalty through MLlib's normal-equation
-    solver (one tree-aggregate of the d x d Gram matrix, then a local
-    solve), so the data is read ~2-3 times per step and a fit takes a few
-    steps instead of hundreds of OWL-QN passes.
-
-    The intercept is a constant feature. MLlib ignores zero-variance
-    features, so half the rows (keyed hash) are mirrored (x -> -x,
-    y -> 1-y): the logistic loss and the least-squares subproblem are both
-    unchanged, and the constant column gets variance."""
-    from pyspark.ml.regression import LinearRegression
-    flip = hash_uniform(seed, "flip", F.col("row_id")) < F.lit(0.5)
-    x1 = F.concat(F.col("x"), F.array(F.lit(1.0)))
-    xf = F.when(flip, F.transform(x1, lambda v: -v)).otherwise(x1)
-    yf = F.when(flip, F.lit(1) - F.col("y")).otherwise(F.col("y"))
-    data = xy.select(yf.cast("double").alias("y"), xf.alias("x")) \
-             .persist(StorageLevel.MEMORY_AND_DISK)
+NEWTON_MAX_DIM = 2048      # d x d partial sums per batch stay small
+
+
+def _newton_stats(data: DataFrame, beta: list[float]):
+    """One pass: log-loss at beta, A = sum w x x^T and b = sum (w*eta + y - p) x
+    with p = sigmoid(x.beta), w = p(1-p). Every Arrow batch is reduced to one
+    partial row with NumPy (mapInPandas); the partial rows are summed by
+    MLlib's Summarizer in two levels, so no single task receives more than
+    ~64 partial rows per group."""
+    from pyspark.ml.stat import Summarizer
+    d = len(beta)
+    bvec = np.asarray(beta, dtype=float)
+    iu = np.triu_indices(d)
+
+    def partial(batches):
+        import pandas as pd
+        acc = np.zeros(1 + len(iu[0]) + d)
+        seen = False
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            seen = True
+            X = np.vstack(pdf["x"].to_numpy()).astype(float)
+            y = pdf["y"].to_numpy(dtype=float)
+            eta = X @ bvec
+            p = 1.0 / (1.0 + np.exp(-eta))
+            w = p * (1.0 - p)
+            loss = np.logaddexp(0.0, eta) - y * eta
+            A = (X * w[:, None]).T @ X
+            acc[0] += loss.sum()
+            acc[1:1 + len(iu[0])] += A[iu]
+            acc[1 + len(iu[0]):] += X.T @ (w * eta + y - p)
+        if seen:
+            yield pd.DataFrame({"s": [acc.tolist()]})
+
+    parts = data.select("y", "x").mapInPandas(partial, "s array<double>")
+    level1 = (parts.groupBy((F.spark_partition_id() % F.lit(64)).alias("g"))
+                   .agg(Summarizer.sum(array_to_vector(F.col("s"))).alias("v")))
+    total = level1.agg(Summarizer.sum(F.col("v")).alias("v")).first()["v"]
+    t = total.toArray()
+    A = np.zeros((d, d))
+    A[iu] = t[1:1 + len(iu[0])]
+    A = A + np.triu(A, 1).T
+    return float(t[0]), A, t[1 + len(iu[0]):]
+
+
+def _penalised_quadratic(A, b, l1, l2, start, tol=1e-13, max_sweeps=10_000):
+    """argmin 0.5 b'A b - b'x + sum l1|x| + 0.5 sum l2 x^2 (coordinate descent;
+    a direct solve when there is no L1 term). Driver-side, d x d."""
+    if not np.any(l1):
+        return np.linalg.solve(A + np.diag(l2), b)
+    x = np.array(start, dtype=float)
+    diag = np.diag(A) + l2
+    for _ in range(max_sweeps):
+        delta = 0.0
+        for j in range(len(x)):
+            if diag[j] <= 0:
+                continue
+            rho = b[j] - A[j] @ x + A[j, j] * x[j]
+            new = np.sign(rho) * max(abs(rho) - l1[j], 0.0) / diag[j]
+            delta = max(delta, abs(new - x[j]))
+            x[j] = new
+        if delta < tol:
+            break
+    return x
+
+
+def newton_logistic(xy: DataFrame, l1: list[float], l2: list[float], max_iter: int = 100,
+                    tol: float = 1e-12) -> list[float]:
+    """Penalised logistic regression by (proximal) Newton / IRLS:
+    minimise sum logloss(y, x.beta) + sum l1_j|beta_j| + 0.5 sum l2_j beta_j^2.
+    Each step is ONE aggregate over the data (d(d+1)/2 + d + 1 sums); the
+    d x d subproblem is solved on the driver. ``x`` must already contain the
+    intercept column if one is wanted."""
+    data = xy.select(F.col("y").cast("double").alias("y"), F.col("x")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         d = data.select(F.size("x").alias("d")).first()["d"]
-        beta = [0.0] * d
-        lam = 1.0 / C
+        l1v, l2v = np.asarray(l1, float), np.asarray(l2, float)
+        beta = np.zeros(d)
         prev_obj, prev_beta = None, None
         for _ in range(max_iter):
-            eta = _dot(F.col("x"), beta)
-            p = F.least(F.greatest(F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)), F.lit(1e-12)),
-                        F.lit(1.0 - 1e-12))
-            # log-loss via softplus for stability: log(1+e^eta) - y*eta
-            loss = F.when(eta > 0, eta + F.log1p(F.exp(-eta))).otherwise(F.log1p(F.exp(eta))) \
-                - F.col("y") * eta
-            stats = data.agg(F.sum(loss).alias("loss"), F.sum(p * (F.lit(1.0) - p)).alias("sw")).first()
-            obj = stats["loss"] + lam * sum(abs(b) for b in beta)
-            if prev_obj is not None and obj > prev_obj * (1 + 1e-12) and prev_beta is not None:
-                beta = [(a + b) / 2 for a, b in zip(beta, prev_beta)]       # damp the step
+            loss, A, b = _newton_stats(data, list(beta))
+            obj = loss + float(l1v @ np.abs(beta)) + 0.5 * float(l2v @ (beta * beta))
+            if prev_obj is not None and obj > prev_obj * (1 + 1e-13):
+                beta = (beta + prev_beta) / 2                  # damped step
                 continue
             if prev_obj is not None and abs(prev_obj - obj) <= tol * max(1.0, abs(obj)):
                 break
-            w = p * (F.lit(1.0) - p)
-            z = eta + (F.col("y") - p) / w
-            wls = data.select(array_to_vector(F.col("x")).alias("features"), z.alias("z"), w.alias("w"))
-            lr = LinearRegression(featuresCol="features", labelCol="z", weightCol="w", solver="normal",
-                                  regParam=lam / stats["sw"], elasticNetParam=1.0, fitIntercept=False,
-                                  standardization=False, maxIter=1000, tol=1e-12)
             prev_obj, prev_beta = obj, beta
-            beta = list(lr.fit(wls).coefficients.toArray())
+            beta = _penalised_quadratic(A, b, l1v, l2v, beta)
+        return list(beta)
+    finally:
+        data.unpersist()
+
+
+def fit_lr_l1(xy: DataFrame, C: float = 1.0, max_iter: int = 100, tol: float = 1e-12,
+              seed: int = 0) -> LinearModel:
+    """L1 logistic regression whose intercept is penalised too (the
+    liblinear objective  ||w||_1 + C * sum(logloss)), by proximal Newton
+    (one aggregate per step, usually < 10 steps). Above NEWTON_MAX_DIM
+    features it falls back to MLlib's OWL-QN."""
+    d = xy.select(F.size("x").alias("d")).first()["d"] + 1
+    x1 = xy.select("row_id", "y", F.concat(F.col("x"), F.array(F.lit(1.0))).alias("x"))
+    if d <= NEWTON_MAX_DIM:
+        beta = newton_logistic(x1, [1.0 / C] * d, [0.0] * d, max_iter, tol)
+        return LinearModel(beta[:-1], beta[-1])
+    # MLlib ignores zero-variance features: mirror half the rows (x -> -x,
+    # y -> 1-y, loss unchanged) so the constant column has variance
+    flip = hash_uniform(seed, "flip", F.col("row_id")) < F.lit(0.5)
+    xf = F.when(flip, F.transform(F.col("x"), lambda v: -v)).otherwise(F.col("x"))
+    yf = F.when(flip, F.lit(1) - F.col("y")).otherwise(F.col("y"))
+    data = x1.select(yf.cast("double").alias("label"), array_to_vector(xf).alias("features")) \
+             .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = data.count()
+        lr = LogisticRegression(regParam=1.0 / (n * C), elasticNetParam=1.0, standardization=False,
+                                fitIntercept=False, maxIter=1000, tol=1e-6)
+        coef = list(lr.fit(data).coefficients.toArray())
     finally:
         data.unpersist()
-    return LinearModel(beta[:-1], beta[-1])
+    return LinearModel(coef[:-1], coef[-1])
 
 
 class MLPModel:
