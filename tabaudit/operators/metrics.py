@@ -55,7 +55,11 @@ def roc_curve(df: DataFrame, score: str, label: str, drop_collinear: bool = True
     """(fpr, tpr, threshold) at each distinct score, descending, plus
     the (0, 0) start with threshold max+1. ``drop_collinear`` removes points
     whose neighbours are collinear with them (keeps first and last)."""
-    cum = _cumulative(df, score, label, n_buckets)
+    from tabaudit.session import cut_lineage
+    # per-score counts feed several jobs below: materialise them once in the
+    # shared checkpoint directory (bounded by the number of distinct scores)
+    sc = cut_lineage(score_counts(df, score, label))
+    cum = prefix_sums(sc, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets)
     cum = prefix_sums(cum.withColumn("_one", F.lit(1)), "score", ["_one"], descending=True,
                       n_buckets=n_buckets).withColumnRenamed("cum__one", "idx")
     tot = cum.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
