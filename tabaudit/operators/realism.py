@@ -52,16 +52,34 @@ def prepare_stacked(df: DataFrame, group_col: str, train=TRAIN, row_id: str = "r
                   scale_by=scale_by, group_col=group_col)
 
 
+CODEGEN_MAX_FIELDS = 100     # spark.sql.codegen.maxFields default
+
+
 def column_means(enc: Encoded, groups: dict[str, str]) -> DataFrame:
     """Mean of every encoded feature per group, long format
-    (feature, <one column per group>). One aggregate pass; d x #groups
-    partial sums per task."""
+    (feature, <one column per group>). One aggregate pass with partial
+    aggregation per task. Narrow encodings use conditional sums plus one
+    count per group (code-generated while the buffer stays under Spark's
+    codegen field limit); wide ones use MLlib's Summarizer grouped by table
+    (one vector buffer whatever d is)."""
     x, g = F.col("x"), F.col(enc.group_col)
     d = len(enc.features)
-    aggs = [F.array(*[F.avg(F.when(g == F.lit(v), x[i])) for i in range(d)]).alias(name)
-            for v, name in groups.items()]
-    one = enc.df.agg(*aggs)
     labels = F.array(*[F.lit(lbl) for lbl in enc.labels])
+    if len(groups) * (d + 1) <= CODEGEN_MAX_FIELDS:
+        aggs = []
+        for k, (v, name) in enumerate(groups.items()):
+            aggs += [F.sum(F.when(g == F.lit(v), x[i])).alias(f"s{k}_{i}") for i in range(d)]
+            aggs.append(F.sum(F.when(g == F.lit(v), F.lit(1))).alias(f"n{k}"))
+        one = enc.df.agg(*aggs).select(*[
+            F.array(*[F.try_divide(F.col(f"s{k}_{i}"), F.col(f"n{k}")) for i in range(d)]).alias(name)
+            for k, name in enumerate(groups.values())])
+    else:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.stat import Summarizer
+        per = (enc.df.filter(g.isin(list(groups)))
+               .groupBy(g.alias("_g")).agg(vector_to_array(Summarizer.mean(array_to_vector(x))).alias("m")))
+        one = per.agg(*[F.first(F.when(F.col("_g") == F.lit(v), F.col("m")), ignorenulls=True).alias(name)
+                        for v, name in groups.items()])
     return one.select(F.posexplode(labels).alias("pos", "feature"), *groups.values()) \
               .select("feature", *[F.col(n)[F.col("pos")].alias(n) for n in groups.values()])
 

@@ -58,14 +58,14 @@ def profile_metadata(spark, sf):
 
 @query("variable_type")
 def variable_type(spark, sf):
-    ev = X.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    ev = X.table(spark, sf, "events", ["event_id", "user_id", "event_type", "value"])
     spec = P.profile(ev, "event_id", sentinel=X.SENTINEL)
     return spec.to_frame(spark).select("label", "type")
 
 
 @query("minority_class")
 def minority_class(spark, sf):
-    lab = X.table(spark, sf, "labels")
+    lab = X.table(spark, sf, "labels", ["quality", "toxic"])
     return P.minority_class(lab, ["quality", "toxic"], X.SENTINEL)
 
 
@@ -137,7 +137,7 @@ def unscale(spark, sf):
 
 @query("inverted_scale")
 def inverted_scale(spark, sf):
-    docs = X.table(spark, sf, "documents").select("doc_id", "n_chars")
+    docs = X.table(spark, sf, "documents", ["doc_id", "n_chars"])
     out = E.vector_scale(docs, "n_chars", invert=True, out="score")
     return out.select("doc_id", r6(F.col("score")).alias("score"))
 
@@ -343,8 +343,8 @@ def reconstruction_bce(spark, sf):
 
 
 def _scored_docs(spark, sf):
-    docs = X.table(spark, sf, "documents").select("doc_id", "n_chars")
-    lab = X.table(spark, sf, "labels").select("doc_id", "quality")
+    docs = X.table(spark, sf, "documents", ["doc_id", "n_chars"])
+    lab = X.table(spark, sf, "labels", ["doc_id", "quality"])
     return docs.join(lab, "doc_id")
 
 
@@ -372,7 +372,7 @@ from tabaudit.operators import privacy as PV  # noqa: E402
 
 
 def _emb(spark, sf):
-    return X.table(spark, sf, "embeddings").select(
+    return X.table(spark, sf, "embeddings", ["vec_id", "label", "embedding"]).select(
         "vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
 
@@ -463,7 +463,7 @@ def default_header(spark, sf):
 
 @query("example_dataset")
 def example_dataset(spark, sf):
-    return X.example_dataset(X.table(spark, sf, "orders"), "o_orderkey")
+    return X.example_dataset(X.table(spark, sf, "orders", ["o_orderkey"]), "o_orderkey")
 
 
 # ---------------------------------------------------------------- R4-R11

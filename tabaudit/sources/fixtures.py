@@ -28,8 +28,13 @@ TIER_NOISE = 0.2          # share of tier labels flipped, so the outcome is not
 FEATURES = ["constant", "tier", "categorical", "priority", "count", "continuous"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return balanced(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """Parquet table; ``columns`` are projected before anything else so the
+    scan reads (and a small cached copy holds) only those columns."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if columns:
+        df = df.select(*columns)
+    return balanced(df)
 
 
 # A scan this small is kept in memory once it has been spread out.
@@ -56,7 +61,8 @@ def balanced(df: DataFrame) -> DataFrame:
 
 
 def cohort(spark: SparkSession, sf_dir: str, with_role: bool = True) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice",
+                                         "o_orderdate", "o_orderpriority"])
     k = F.col("o_orderkey")
     u = hash_uniform(SEED, "split", k)
     cols = [
