@@ -570,3 +570,9 @@ def file_roundtrip(spark, sf):
     return back.select(F.col("row_id").cast("long").alias("row_id"), "constant", "tier", "categorical",
                        "priority", F.col("count").cast("double").alias("count"),
                        F.col("continuous").cast("double").alias("continuous"))
+
+
+@query("summary_nearest")
+def summary_nearest(spark, sf):
+    from tabaudit.operators.report import summarize_nearest
+    return summarize_nearest(_memorization(spark, sf), n_decimal=2)

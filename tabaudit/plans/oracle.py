@@ -379,3 +379,6 @@ SELECT role, count(*) AS n, sum(CAST(round_even("tier__tier", 0) AS INTEGER)) AS
 FROM enc GROUP BY role""")
 
 oracle("file_roundtrip", with_(COHORT) + 'SELECT row_id, constant, tier, categorical, priority, "count", continuous FROM cohort')
+
+oracle("summary_nearest", MEM + """
+SELECT 'nearest_neighbors' AS analysis, kind AS metric, round_even(avg(dist), 2) AS value FROM mem GROUP BY kind""")
