@@ -45,7 +45,7 @@ SELECT {q(c)} AS label,
        (SELECT count(DISTINCT {c}) FROM labels) AS n_values""" for c in ("quality", "toxic")))
 
 oracle("missing_indicator", with_(COHORT) + "SELECT row_id, " + ", ".join(
-    f"CASE WHEN {FEATURE_EXPR[f]} = {SF if f in NUMERIC else S} THEN 1.0 ELSE 0.0 END AS {dq(f + '__missing')}"
+    f"CAST(CASE WHEN {FEATURE_EXPR[f]} = {SF if f in NUMERIC else S} THEN 1.0 ELSE 0.0 END AS DOUBLE) AS {dq(f + '__missing')}"
     for f in FEATURES) + " FROM cohort")
 
 oracle("numeric_test", with_(COHORT, "txt AS (SELECT row_id, " + ", ".join(
@@ -210,11 +210,11 @@ SELECT label, value, CAST(row_number() OVER (PARTITION BY label ORDER BY value)
 _MEANS = "means AS (SELECT " + ", ".join(f"avg({dq(l)}) AS m{i}" for i, l in enumerate(ENC_LABELS)) + \
          " FROM enc WHERE role = 'train')"
 oracle("marginal_sample", with_(*BASE, enc_cte("enc", "own"), _MEANS) + "SELECT row_id, " + ", ".join(
-    f"CASE WHEN {U(str(SEED), q('marginal'), str(i), 'row_id')} < m{i} THEN 1.0 ELSE 0.0 END AS {dq(l)}"
+    f"CAST(CASE WHEN {U(str(SEED), q('marginal'), str(i), 'row_id')} < m{i} THEN 1.0 ELSE 0.0 END AS DOUBLE) AS {dq(l)}"
     for i, l in enumerate(ENC_LABELS)) + " FROM enc, means WHERE role = 'train'")
 
 oracle("uniform_bits", with_(*BASE, enc_cte("enc", "own")) + "SELECT row_id, " + ", ".join(
-    f"CASE WHEN {U(str(SEED), q('uniform'), str(i), 'row_id')} < 0.5 THEN 1.0 ELSE 0.0 END AS {dq(l)}"
+    f"CAST(CASE WHEN {U(str(SEED), q('uniform'), str(i), 'row_id')} < 0.5 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS {dq(l)}"
     for i, l in enumerate(ENC_LABELS)) + " FROM enc WHERE role = 'train'")
 
 # ----------------------------------------------------------------- R12-R19
@@ -373,7 +373,7 @@ FROM orders""")
 
 # ---------------------------------------------------------------- R8, S1
 oracle("constant_outcome_guard", with_(*BASE, enc_cte("enc", "own")) + """
-SELECT role, count(*) AS n, sum(CAST(round_even("tier__tier", 0) AS INTEGER)) AS n_pos,
+SELECT role, count(*) AS n, CAST(sum(CAST(round_even("tier__tier", 0) AS INTEGER)) AS BIGINT) AS n_pos,
        (sum(CAST(round_even("tier__tier", 0) AS INTEGER)) = 0
         OR sum(CAST(round_even("tier__tier", 0) AS INTEGER)) = count(*)) AS constant
 FROM enc GROUP BY role""")
