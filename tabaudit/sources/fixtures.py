@@ -50,12 +50,15 @@ def balanced(df: DataFrame) -> DataFrame:
     inputs several times (profile, ranges, encode). Large inputs already have
     enough splits and are returned unchanged (never cached)."""
     from pyspark import StorageLevel
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:       # no JVM handle (e.g. a Connect session): leave as is
         return df
     out = df.repartition(target)
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) <= CACHE_LIMIT_BYTES:
+    if size <= CACHE_LIMIT_BYTES:
         out = out.persist(StorageLevel.MEMORY_AND_DISK)
     return out
 
