@@ -177,7 +177,8 @@ def missing_presence(df: DataFrame, spec: EncodingSpec) -> dict[str, bool]:
 
 def encode(df: DataFrame, spec: EncodingSpec, row_id: str = "row_id",
            require_missing: bool = True, seed: int = 0, scale_by: str = "self",
-           fill_tag: str = "fill", group_col: str | None = None) -> Encoded:
+           fill_tag: str = "fill", group_col: str | None = None,
+           group_ranges: dict | None = None) -> Encoded:
     """Encode every column per its modal type into ``x array<double>``.
 
     * constant -> 0 (+ flag)
@@ -199,7 +200,7 @@ def encode(df: DataFrame, spec: EncodingSpec, row_id: str = "row_id",
         flags = missing_presence(df, spec)
     numeric_cols = [c.label for c in spec.columns if c.type in (CONTINUOUS, COUNT)]
     if scale_by == "self" and group_col is not None:
-        granges = numeric_ranges(df, numeric_cols, sent, group_col)
+        granges = group_ranges or numeric_ranges(df, numeric_cols, sent, group_col)
         g = F.col(group_col)
         ranges = {c: (_by_group(g, granges, lambda r, c=c: r[c][0]),
                       _by_group(g, granges, lambda r, c=c: r[c][1])) for c in numeric_cols}

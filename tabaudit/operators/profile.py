@@ -77,7 +77,9 @@ def missing_indicator(df: DataFrame, row_id: str, columns=None,
 
 
 # --------------------------------------------------------------- aggregates
-def _pass1(df: DataFrame, cols: list[str], sentinel) -> dict[str, dict]:
+def _pass1(df: DataFrame, cols: list[str], sentinel, group_col: str | None = None):
+    """One aggregate over all columns. With ``group_col`` the statistics are
+    per group: {group: {column: stats}} (one job for several tables)."""
     dt = _dtypes(df)
     aggs: list[Column] = []
     for i, c in enumerate(cols):
@@ -96,15 +98,21 @@ def _pass1(df: DataFrame, cols: list[str], sentinel) -> dict[str, dict]:
             F.max(txt).alias(f"tmax_{i}"),
             F.approx_count_distinct(txt, 0.05).alias(f"hll_{i}"),
         ]
-    row = df.agg(*aggs).first()
-    out = {}
-    for i, c in enumerate(cols):
-        num = row[f"num_{i}"]
-        out[c] = dict(n=row[f"n_{i}"], numeric=True if num is None else bool(num),
-                      vmin=row[f"vmin_{i}"], vmax=row[f"vmax_{i}"], dev=row[f"dev_{i}"],
-                      sent=row[f"sent_{i}"] or 0, tmin=row[f"tmin_{i}"],
-                      tmax=row[f"tmax_{i}"], hll=row[f"hll_{i}"])
-    return out
+    def unpack(row):
+        out = {}
+        for i, c in enumerate(cols):
+            num = row[f"num_{i}"]
+            out[c] = dict(n=row[f"n_{i}"], numeric=True if num is None else bool(num),
+                          vmin=row[f"vmin_{i}"], vmax=row[f"vmax_{i}"], dev=row[f"dev_{i}"],
+                          sent=row[f"sent_{i}"] or 0, tmin=row[f"tmin_{i}"],
+                          tmax=row[f"tmax_{i}"], hll=row[f"hll_{i}"])
+        return out
+    if group_col is None:
+        return unpack(df.agg(*aggs).first())
+    rows = df.groupBy(group_col).agg(*aggs).limit(1025).collect()
+    if len(rows) > 1024:
+        raise ValueError(f"more than 1024 groups in {group_col!r}")
+    return {r[group_col]: unpack(r) for r in rows}
 
 
 def value_counts(df: DataFrame, cols: list[str], sentinel=DEFAULT_SENTINEL) -> DataFrame:
@@ -151,12 +159,12 @@ def _decide_type(label, s, exact_n, overrides, max_uniq, max_diff) -> str:
 def profile(df: DataFrame, row_id: str | None = "row_id", columns=None,
             sentinel=DEFAULT_SENTINEL, overrides: dict[str, str] | None = None,
             max_uniq: int = 10, max_diff: float = 1e-10,
-            max_categories: int = 10_000) -> EncodingSpec:
+            max_categories: int = 10_000, _stats: dict | None = None) -> EncodingSpec:
     """P6 + P7: infer the modal type of every column and collect metadata."""
     cols = feature_columns(df, row_id, columns)
     overrides = dict(overrides or {})
     dt = _dtypes(df)
-    stats = _pass1(df, cols, sentinel)
+    stats = _stats if _stats is not None else _pass1(df, cols, sentinel)
 
     exact_cols = []
     for c in cols:
@@ -228,3 +236,16 @@ def numeric_test(df: DataFrame, row_id: str | None = "row_id", columns=None,
 
 def metadata_frame(df: DataFrame, spec: EncodingSpec) -> DataFrame:
     return spec.to_frame(df.sparkSession)
+
+
+def profile_groups(df: DataFrame, group_col: str, train, row_id: str | None = "row_id",
+                   columns=None, sentinel=DEFAULT_SENTINEL, **kw):
+    """Profile the ``train`` group of a stacked frame and return, from the
+    same first pass, every group's (min, max) of each numeric column:
+    (spec, {group: {column: (min, max)}})."""
+    cols = feature_columns(df.drop(group_col), row_id, columns)
+    per = _pass1(df, cols, sentinel, group_col)
+    train_rows = df.filter(F.col(group_col) == F.lit(train)).drop(group_col)
+    spec = profile(train_rows, row_id, cols, sentinel, _stats=per.get(train), **kw)
+    ranges = {g: {c: (st[c]["vmin"], st[c]["vmax"]) for c in cols} for g, st in per.items()}
+    return spec, ranges

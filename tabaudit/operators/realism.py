@@ -45,11 +45,14 @@ def prepare_stacked(df: DataFrame, group_col: str, train=TRAIN, row_id: str = "r
                     sentinel=DEFAULT_SENTINEL, spec: EncodingSpec | None = None,
                     seed: int = 0, require_missing: bool = True,
                     scale_by: str = "self") -> Encoded:
+    ranges = None
     if spec is None:
-        train_rows = df.filter(F.col(group_col) == F.lit(train)).drop(group_col)
-        spec = profile(train_rows, row_id, sentinel=sentinel)
+        # one grouped first pass: train statistics for the profile and every
+        # table's numeric ranges for the encoding
+        from tabaudit.operators.profile import profile_groups
+        spec, ranges = profile_groups(df, group_col, train, row_id, sentinel=sentinel)
     return encode(df, spec, row_id, require_missing=require_missing, seed=seed,
-                  scale_by=scale_by, group_col=group_col)
+                  scale_by=scale_by, group_col=group_col, group_ranges=ranges)
 
 
 CODEGEN_MAX_FIELDS = 100     # spark.sql.codegen.maxFields default
