@@ -576,3 +576,15 @@ def file_roundtrip(spark, sf):
 def summary_nearest(spark, sf):
     from tabaudit.operators.report import summarize_nearest
     return summarize_nearest(_memorization(spark, sf), n_decimal=2)
+
+
+@query("feather_roundtrip")
+def feather_roundtrip(spark, sf):
+    """Cohort -> Feather files written by the executors -> read back by
+    the Python data source (one partition per file)."""
+    from tabaudit.session import scratch_path
+    from tabaudit.sources.files import read_table, write_feather
+    path = scratch_path(spark, "feather")
+    write_feather(_cohort(spark, sf), path)
+    return read_table(spark, path, fmt="feather").select(
+        "row_id", "constant", "tier", "categorical", "priority", "count", "continuous")

@@ -128,7 +128,9 @@ def register_feather(spark: SparkSession) -> None:
             return "feather"
 
         def _paths(self):
-            return _expand(self.options["path"])
+            p = self.options["path"]
+            p = p[len("file:"):] if p.startswith("file:") else p
+            return [f for f in _expand(p) if f.endswith(".feather")]
 
         def schema(self):
             import pyarrow.feather as feather
@@ -164,3 +166,31 @@ def read_npy(spark: SparkSession, paths: list[str], has_header: bool = True) ->
                 yield pd.DataFrame(np.asarray(body).astype(str), columns=header)
 
     return files.mapInPandas(load, schema)
+
+
+def write_feather(df: DataFrame, path: str) -> list[str]:
+    """Write one Feather (Arrow IPC) file per partition, by the executors,
+    into ``path`` (shared storage). Returns the file names (one per
+    partition, so bounded by the partition count)."""
+    import uuid
+
+    local = path[len("file:"):] if path.startswith("file:") else path
+    os.makedirs(local, exist_ok=True)
+    run = uuid.uuid4().hex
+
+    def write(batches):
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.feather as feather
+        from pyspark import TaskContext
+        ctx = TaskContext.get()
+        tables = [pa.Table.from_pandas(b, preserve_index=False) for b in batches]
+        if tables:
+            name = os.path.join(local, f"part-{ctx.partitionId():05d}-{ctx.attemptNumber()}-{run}.feather")
+            tmp = name + ".tmp"
+            feather.write_feather(pa.concat_tables(tables), tmp)
+            os.replace(tmp, name)        # a retried task overwrites nothing half-written
+            yield pd.DataFrame({"file": [name]})
+
+    files = [r["file"] for r in df.mapInPandas(write, "file string").collect()]
+    return files
