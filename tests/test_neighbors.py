@@ -87,3 +87,10 @@ def test_vector_distance_expression(spark):
                     for m in ("euclidean", "cityblock", "chebyshev", "hamming")]).first()
     assert math.isclose(r["euclidean"], math.sqrt(5)) and r["cityblock"] == 3.0
     assert r["chebyshev"] == 2.0 and math.isclose(r["hamming"], 2 / 3)
+
+
+def test_custom_metric(spark):
+    N.register_metric("l4", lambda a, b: (np.abs(a - b) ** 4).sum(axis=1) ** 0.25)
+    df = vecs(spark, [[0, 0], [1, 0], [3, 0]])
+    out = {r["row_id"]: r["dist"] for r in N.nearest_neighbors(df, None, "l4").collect()}
+    assert math.isclose(out[0], 1.0) and math.isclose(out[2], 2.0)

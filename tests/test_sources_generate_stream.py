@@ -147,3 +147,20 @@ def test_entry_and_registry(spark):
 def test_queries_run_on_smoke_data(spark, name):
     import __spark_entry__ as ent
     assert ent.queries()[name](spark, SF001).count() > 0
+
+
+def test_user_generator_protocol(spark):
+    class Half(G.Generator):
+        def fit(self, enc):
+            return len(enc.features)
+
+        def sample_batch(self, model, ids, seed):
+            return np.full((len(ids), model), 0.5)
+
+    df = multimodal(spark, 50)
+    enc = E.encode(df, P.profile(df, "row_id"), "row_id")
+    g = Half()
+    out = g.generate(spark, g.fit(enc), 20)
+    assert out.count() == 20 and all(v == 0.5 for r in out.collect() for v in r["x"])
+    cop = G.CopulaGenerator("marginal")
+    assert cop.generate(spark, cop.fit(enc), 10).count() == 10
