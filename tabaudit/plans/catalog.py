@@ -588,3 +588,17 @@ def feather_roundtrip(spark, sf):
     write_feather(_cohort(spark, sf), path)
     return read_table(spark, path, fmt="feather").select(
         "row_id", "constant", "tier", "categorical", "priority", "count", "continuous")
+
+
+@query("npy_roundtrip")
+def npy_roundtrip(spark, sf):
+    """S3: cohort -> one .npy matrix (header row + text cells) per partition,
+    written by the executors -> read back file-parallel and re-typed."""
+    from tabaudit.session import scratch_path
+    from tabaudit.sources.files import read_table, write_npy
+    path = scratch_path(spark, "npy")
+    write_npy(_cohort(spark, sf), path)
+    back = read_table(spark, path, fmt="npy")
+    return back.select(F.col("row_id").cast("long").alias("row_id"), "constant", "tier", "categorical",
+                       "priority", F.col("count").cast("double").alias("count"),
+                       F.col("continuous").cast("double").alias("continuous"))

@@ -384,3 +384,5 @@ oracle("summary_nearest", MEM + """
 SELECT 'nearest_neighbors' AS analysis, kind AS metric, round_even(avg(dist), 2) AS value FROM mem GROUP BY kind""")
 
 oracle("feather_roundtrip", with_(COHORT) + 'SELECT row_id, constant, tier, categorical, priority, "count", continuous FROM cohort')
+
+oracle("npy_roundtrip", with_(COHORT) + 'SELECT row_id, constant, tier, categorical, priority, "count", continuous FROM cohort')

@@ -42,6 +42,7 @@ def with_default_header(df: DataFrame, prefix: str = "C") -> DataFrame:
 
 
 def _expand(path: str) -> list[str]:
+    path = path[len("file:"):] if path.startswith("file:") else path
     if os.path.isdir(path):
         return sorted(glob.glob(os.path.join(path, "*")))
     return sorted(glob.glob(path)) or [path]
@@ -86,7 +87,7 @@ def read_table(spark: SparkSession, path: str, has_header: bool = True,
         register_feather(spark)
         return spark.read.format("feather").load(path)
     if fmt == "npy":
-        return read_npy(spark, _expand(path), has_header)
+        return read_npy(spark, [p for p in _expand(path) if p.endswith(".npy")], has_header)
     raise ValueError(fmt)
 
 
@@ -194,3 +195,31 @@ def write_feather(df: DataFrame, path: str) -> list[str]:
 
     files = [r["file"] for r in df.mapInPandas(write, "file string").collect()]
     return files
+
+
+def write_npy(df: DataFrame, path: str, with_header: bool = True) -> list[str]:
+    """Write one 2-D string ``.npy`` matrix per partition (header as the
+    first row when ``with_header``), by the executors, into ``path``."""
+    import uuid
+
+    local = path[len("file:"):] if path.startswith("file:") else path
+    os.makedirs(local, exist_ok=True)
+    run = uuid.uuid4().hex
+    header = list(df.columns)
+
+    def write(batches):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+        ctx = TaskContext.get()
+        parts = [b.astype(str).to_numpy() for b in batches if len(b)]
+        if parts:
+            body = np.vstack(parts)
+            m = np.vstack([np.array(header, dtype=str)[None, :], body]) if with_header else body
+            name = os.path.join(local, f"part-{ctx.partitionId():05d}-{ctx.attemptNumber()}-{run}.npy")
+            tmp = name + ".tmp.npy"
+            np.save(tmp, m.astype(str), allow_pickle=False)
+            os.replace(tmp, name)
+            yield pd.DataFrame({"file": [name]})
+
+    return [r["file"] for r in df.mapInPandas(write, "file string").collect()]
