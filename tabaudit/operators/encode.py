@@ -73,8 +73,15 @@ def one_hot(col: Column, dtype: T.DataType, unique: list[str],
         seg = F.array(*[F.when(text == F.lit(u), F.lit(1.0)).otherwise(F.lit(0.0))
                         for u in unique]) if unique else F.array().cast("array<double>")
     else:
-        seg = F.transform(F.array(*[F.lit(u) for u in unique]),
-                          lambda u: F.when(u == text, F.lit(1.0)).otherwise(F.lit(0.0)))
+        # wide dictionary: one map lookup for the position, then the vector is
+        # assembled from array_repeat pieces (built-ins, code-generated; no
+        # per-element lambda)
+        k = len(unique)
+        lookup = F.create_map(*[x for i, u in enumerate(unique) for x in (F.lit(u), F.lit(i + 1))])
+        pos = F.element_at(lookup, text)
+        zero = F.lit(0.0)
+        seg = F.when(pos.isNull(), F.array_repeat(zero, k)).otherwise(
+            F.concat(F.array_repeat(zero, pos - 1), F.array(F.lit(1.0)), F.array_repeat(zero, F.lit(k) - pos)))
     if add_missing_col and str(sentinel) not in unique:
         seg = F.concat(seg, F.array(missing_flag(col, dtype, sentinel)))
     return seg

@@ -139,3 +139,13 @@ def test_group_encoding_matches_separate(spark):
     sep = {r["row_id"]: r["x"] for r in E.encode(b, spec, "row_id").df.collect()}
     for r in st.df.filter("g = 'b'").collect():
         assert r["x"] == sep[r["row_id"]]
+
+
+def test_one_hot_wide_matches_narrow_rule(spark):
+    uniq = [f"c{i:04d}" for i in range(300)]
+    vals = ["c0000", "c0150", "c0299", "zzz", "c0042"]
+    rows = hot_rows(spark, vals, uniq, True)
+    for v, r in zip(vals, rows):
+        assert len(r) == 301
+        want = [1.0 if u == v else 0.0 for u in uniq] + [0.0]
+        assert r == want
