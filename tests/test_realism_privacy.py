@@ -114,3 +114,26 @@ def test_membership_attack_high_and_no_risk(spark):
                                    matrix_df(spark, synth, start=20_000))
     p2 = {r["label"]: r["p"] for r in res2["scores"].groupBy("label").agg(F.avg("prob").alias("p")).collect()}
     assert abs(p2[1] - p2[0]) < 0.05
+
+
+def test_wide_fallback_paths_agree(spark, monkeypatch):
+    """Above NEWTON_MAX_DIM the fits use MLlib (L-BFGS / OWL-QN with the
+    mirrored-row trick); force that path and compare with the Newton path."""
+    xy, _, _ = prediction_data(spark, seed=11)
+    l2_newton, b_newton = R.fit_effects(xy)
+    m_newton = R.fit_lr_l1(xy)
+    monkeypatch.setattr(R, "NEWTON_MAX_DIM", 2)
+    l2_mllib, b_mllib = R.fit_effects(xy, tol=1e-12)
+    m_mllib = R.fit_lr_l1(xy)
+    assert np.allclose(l2_newton, l2_mllib, atol=1e-3) and abs(b_newton - b_mllib) < 1e-3
+    assert np.allclose(np.r_[m_newton.w, m_newton.b], np.r_[m_mllib.w, m_mllib.b], atol=2e-2)
+
+
+def test_column_means_summarizer_path(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    df = matrix_df(spark, (rng.random((200, 5)) < 0.4).astype(float))
+    a = {r["feature"]: r for r in R.feature_frequency(df, df, df).collect()}
+    monkeypatch.setattr(R, "CODEGEN_MAX_FIELDS", 0)
+    b = {r["feature"]: r for r in R.feature_frequency(df, df, df).collect()}
+    assert a.keys() == b.keys()
+    assert all(math.isclose(a[k]["synth"], b[k]["synth"], abs_tol=1e-12) for k in a)
