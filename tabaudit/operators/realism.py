@@ -399,8 +399,12 @@ def train_test_comparison(enc: Encoded, outcome: str, model_type: str = "lr", n_
     gan_test (fit real *test*, test synth test). Returns {'auc': (arm, auc,
     status), 'roc': (arm, fpr, tpr, threshold)}."""
     from tabaudit.operators.sample import split_proportional
+    from tabaudit.session import cut_lineage
     g = enc.group_col
-    xy = _split_xy(enc, outcome)
+    # the encoded (y, x) frame is read ~15 times below (counts, exact split,
+    # guards, three fits, three scorings): write it once (n x d doubles) to
+    # the shared checkpoint directory
+    xy = cut_lineage(_split_xy(enc, outcome))
     part = {k: xy.filter(F.col(g) == F.lit(k)).drop(g) for k in (TRAIN, TEST, SYNTH)}
     n_tr, n_te = part[TRAIN].count(), part[TEST].count()
     s_tr, s_te = split_proportional(part[SYNTH], n_tr, n_te, "row_id", seed=seed)
