@@ -41,6 +41,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -71,3 +72,33 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     loss, unlike local checkpoints)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabaudit`` importable in the Python workers of this session.
+
+    Closures sent to mapInPandas / applyInPandas refer to package functions
+    by module, so workers must be able to import the package. The package is
+    zipped on the driver and distributed with ``SparkContext.addPyFile``
+    (Spark ships the file; executors never read the driver's disk). Done once
+    per SparkContext."""
+    import zipfile
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="tabaudit-pyfiles-")
+    path = os.path.join(out_dir, "tabaudit.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
