@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tabaudit.llm.common import materialize, read_table
 
-#: Fixed value: a word, after lower-casing A-Z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what separates words, after lower-casing A-Z.
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 10
 #: k of the fingerprints of full windows; w is WINDOW - K + 1.
@@ -38,38 +38,37 @@ BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
-    """Array of the words of a text; NULL text has none."""
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)),
-                      F.array().cast("array<string>"))
+    """Array of the words of a text; NULL text has none. (Splitting is ten
+    times as fast as regexp_extract_all.)"""
+    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
-def _starts(n: Column, length: int) -> Column:
-    """1-based starts of the runs of ``length`` in n things (empty if none)."""
-    return F.when(n >= length, F.sequence(F.lit(1), n - length + 1)).otherwise(F.array().cast("array<int>"))
+def _starts(n: Column, length: int, first: int = 1) -> Column:
+    """Starts of the runs of ``length`` in n things (empty if none)."""
+    return F.when(n >= length, F.sequence(F.lit(first), n - length + first)).otherwise(F.array().cast("array<int>"))
 
 
 def fingerprints(words: Column, k: int, w: int) -> Column:
-    """Distinct winnowed k-gram hashes of an array of words."""
-    hashes = F.transform(words, lambda x: F.xxhash64(x))
-
+    """Distinct winnowed k-gram hashes of an array of words. Elements are taken
+    by position: slice() inside a lambda would copy the whole array each time."""
     def grams(h: Column) -> Column:
-        if k == 1:
-            return h
-        return F.transform(_starts(F.size(h), k), lambda i: F.xxhash64(F.slice(h, i, F.lit(k))))
+        return h if k == 1 else F.transform(
+            _starts(F.size(h), k, 0), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
 
     def least(g: Column) -> Column:
-        if w == 1:
-            return g
-        return F.transform(_starts(F.size(g), w), lambda i: F.array_min(F.slice(g, i, F.lit(w))))
+        return g if w == 1 else F.transform(
+            _starts(F.size(g), w, 0), lambda i: F.least(*[F.get(g, i + j) for j in range(w)]))
 
     # transform over a one-element array binds a name, so that each step is computed once a row
-    bound = F.transform(F.array(hashes), lambda h: grams(h))
-    return F.array_distinct(F.transform(bound, lambda g: least(g))[0])
+    hashes = F.array(F.transform(words, lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.transform(F.transform(hashes, grams), least)[0])
 
 
 def window_texts(words: Column, length: int) -> Column:
     """Every run of ``length`` words as one text, in order."""
-    return F.transform(_starts(F.size(words), length), lambda i: F.array_join(F.slice(words, i, F.lit(length)), " "))
+    return F.transform(_starts(F.size(words), length, 0),
+                       lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(length)]))
 
 
 def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -109,8 +108,11 @@ def find_windows(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     test = by_length(lambda n: item_words.where(F.col("len") == n).select(
         F.lit(n).alias("len"), F.explode(prints(n)).alias("fp"))).distinct()
     test = materialize(test, "decon-prints")
-    marks = F.flatten(F.array(*[F.transform(prints(n), lambda fp, n=n: F.struct(F.lit(n).alias("len"), fp.alias("fp")))
-                                for n in lengths]))
+
+    def marked(n: int) -> Column:
+        return F.transform(prints(n), lambda fp: F.struct(F.lit(n).alias("len"), fp.alias("fp")))
+
+    marks = F.flatten(F.array(*[marked(n) for n in lengths]))
     shared = (base.select("text_key", F.explode(marks).alias("m")).select("text_key", "m.len", "m.fp")
               .join(_maybe_broadcast(test, test.count(), broadcast_rows), ["len", "fp"], "left_semi")
               .groupBy("text_key").agg(F.collect_set("len").alias("lens")))  # at most ``window`` lengths
