@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tabaudit.llm import decontaminate, sharding
+from tabaudit.llm import decontaminate, packing, sharding, token_files
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_sharding": sharding.op3_sharding,
+    "op4_packing": packing.op4_packing,
+    "op5_token_files": token_files.op5_token_files,
 }
 
 ORACLE = {
