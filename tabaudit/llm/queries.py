@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tabaudit.llm import decontaminate, packing, sharding, token_files
+from tabaudit.llm import decontaminate, packing, sharding, token_files, warc
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_sharding": sharding.op3_sharding,
     "op4_packing": packing.op4_packing,
     "op5_token_files": token_files.op5_token_files,
+    "op6_warc": warc.op6_warc,
 }
 
 ORACLE = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op3_sharding": sharding.oracle_sql(),
+    "op6_warc": warc.ORACLE,
 }
