@@ -151,7 +151,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     named = (found.select("text_key", "window").distinct().join(item_windows.distinct(), "window")
              .select("text_key", "item_id").distinct().groupBy("text_key")
              .agg(F.count("item_id").alias("n_items"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("ids")))
-    out = base.join(n_hit.join(named, "text_key"), "text_key", "left")
+    # written first: the join with all rows then has no aggregate in its stage, and copies of one text can be split
+    per_text = materialize(n_hit.join(named, "text_key"), "decon-texts")
+    out = base.join(per_text, "text_key", "left")
     return out.select(
         "text_key", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
