@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabaudit.llm import decontaminate, packing, sharding, token_files, topk, warc
+from tabaudit.llm import decontaminate, langid, packing, sharding, token_files, topk, warc
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_token_files": token_files.op5_token_files,
     "op6_warc": warc.op6_warc,
+    "op7_langid": langid.op7_langid,
     "op10_topk": topk.op10_topk,
 }
 

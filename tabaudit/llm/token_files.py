@@ -59,19 +59,30 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    big = ids >> np.uint64(60) != 0
-    place = np.arange(n)
-    pick = np.full(n, ESCAPE, np.uint8)
-    for selector in range(len(SELECTORS) - 1, -1, -1):  # later ones hold more ids and win
+    need = np.searchsorted(_LIMITS, ids, side="right").astype(np.uint8)  # bits that each id needs
+    most = need  # of the next ``width`` ids
+    width, pick = 1, np.where(need <= 60, np.uint8(14), np.uint8(ESCAPE))
+    for selector in range(len(SELECTORS) - 2, -1, -1):  # later ones hold more ids and win
         count, bits = SELECTORS[selector]
-        fits = (ids >> np.uint64(bits)) == 0 if bits < 60 else ~big
-        if not fits.any():
-            break
-        # distance to the next id that does not fit
-        stop = np.where(fits, n, place)
-        run = np.minimum.accumulate(stop[::-1])[::-1] - place
-        ok = run >= count
-        pick[ok] = selector
+        while width < count:
+            step = min(width, count - width)
+            if len(most) <= step:
+                return _pack(ids, pick)
+            most = np.maximum(most[:-step], most[step:])
+            width += step
+        ok = most <= bits
+        if ok.any():
+            np.copyto(pick[:len(ok)], np.uint8(selector), where=ok)
+    return _pack(ids, pick)
+
+
+#: 2**b, the least value that needs b + 1 bits.
+_LIMITS = np.array([1 << b for b in range(64)], np.uint64)
+
+
+def _pack(ids: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Follow the picked selectors from the first id on and fill the words."""
+    n = len(ids)
     counts = np.array([c for c, _ in SELECTORS] + [1])
     step = counts[pick].tolist()
     starts, i = [], 0

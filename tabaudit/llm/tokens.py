@@ -9,18 +9,27 @@ from a bounded cache. Cuts are made only where they provably change nothing:
   neighbours are not white space. A text with white space next to a space, or
   a space at its end, is encoded whole.
 * word BPE (white space is dropped): at space, tab, CR and LF.
+
+A piece that ends in ASCII punctuation after a letter or digit is encoded as
+its core and its tail, which both pre-tokenizers part too (not at apostrophes,
+which may start a contraction).
 """
 
 from __future__ import annotations
 
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces of a generation of a worker's cache (two generations, some 120 MB).
-CACHE_PIECES = 300_000
+#: Pieces of a generation of a worker's cache (two generations, some 200 MB).
+CACHE_PIECES = 500_000
+#: Fixed value: ASCII punctuation but the apostrophe.
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Marks a tail of punctuation among the pieces.
+_TAIL = "\x02"
 #: Marks the first piece of a text, which has no space before it.
 _HEAD = "\x00"
 
@@ -53,17 +62,30 @@ class WordCachedTokenizer:
 
     def _text(self, piece: str) -> str | None:
         """What the library is to encode; None if the cut is not allowed."""
+        if piece.startswith(_TAIL):
+            return piece[1:]
         if not self.keeps_space:
             return piece
         first = piece.startswith(_HEAD)
         word = piece[1:] if first else piece
-        if not word or word[0].isspace() or word[-1].isspace() or word.startswith(_HEAD):
-            return "" if first and not word else None
+        if not word:
+            return "" if first else None
+        if word[0].isspace() or word[-1].isspace() or word[0] == _HEAD:
+            return None
         return word if first else " " + word
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _core(self, piece: str) -> str:
+        """The piece without its tail; the piece itself if it has none."""
+        core = piece.rstrip(_PUNCTUATION)
+        if core == piece or not core or not core[-1].isalnum() or core[0] == _HEAD and not core[1:]:
+            core = piece
+        if not self.keeps_space and core.isascii():
+            core = core.lower()  # as its normalizer does
+        return core
+
     def _learn(self, pieces: set[str]) -> None:
         new = pieces.difference(self.cache)
         if not new:
@@ -72,30 +94,56 @@ class WordCachedTokenizer:
             self.older = self.cache
             self.cache = {}
             new = pieces
-        kept = new.intersection(self.older)
-        self.cache.update((p, self.older[p]) for p in kept)
-        texts = {p: self._text(p) for p in new.difference(kept)}
-        self.cache.update((p, None) for p, t in texts.items() if t is None)
-        alone = [p for p, t in texts.items() if t is not None and (self.mark in t or not t)]
-        self.cache.update((p, ids.tobytes()) for p, ids in zip(alone, self._encode([texts[p] for p in alone])))
-        joined = [p for p, t in texts.items() if t and self.mark not in t]
+        cache, older = self.cache, self.older
+        parts, wanted = {}, set()
+        for p in new:
+            if p in older:
+                cache[p] = older[p]
+                continue
+            core = self._core(p)
+            if core != p:
+                tail = _TAIL + p[len(core):] if len(core) < len(p) else None
+                parts[p] = (core, tail)
+                wanted.add(core)
+                if tail:
+                    wanted.add(tail)
+            else:
+                wanted.add(p)
+        alone, joined, texts = [], [], {}
+        for p in wanted.difference(cache):
+            if p in older:
+                cache[p] = older[p]
+                continue
+            t = texts[p] = self._text(p)
+            if t is None:
+                cache[p] = None
+            elif not t or self.mark in t:
+                alone.append(p)
+            else:
+                joined.append(p)
+        cache.update((p, ids.tobytes()) for p, ids in zip(alone, self._encode([texts[p] for p in alone])))
         groups = [joined[i:i + 200] for i in range(0, len(joined), 200)]
         for group, ids in zip(groups, self._encode([self.separator.join([texts[p] for p in g]) for g in groups])):
             cuts = (np.nonzero(ids == self.mark_id)[0] * 4).tolist()
             raw, a = ids.tobytes(), 0
             for p, b in zip(group, [*cuts, len(raw)], strict=True):
-                self.cache[p] = raw[a:b]
+                cache[p] = raw[a:b]
                 a = b + 4
+        for p, (core, tail) in parts.items():
+            ids = cache[core]
+            cache[p] = ids if ids is None or tail is None else ids + cache[tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id; texts are taken together, so
         callers pass a bounded amount of text."""
-        cut = [self._pieces(t) for t in texts]
+        cut = [self._pieces(t) if _TAIL not in t else [] for t in texts]
         self._learn(set(chain.from_iterable(cut)))
         known, out = self.cache, []
         for text, pieces in zip(texts, cut):
             try:
-                raw = b"".join([known[p] for p in pieces])
+                raw = b"".join(itemgetter(*pieces)(known)) if len(pieces) > 1 else known[pieces[0]] + b""
+            except IndexError:  # it holds the mark of tails
+                raw = self._encode([text])[0].tobytes()
             except TypeError:  # a piece at which the text must not be cut
                 raw = self._encode([text])[0].tobytes()
             out.append(np.frombuffer(raw + self.end, "<u4"))
