@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabaudit.llm import decontaminate, langid, packing, sharding, token_files, topk, warc
+from tabaudit.llm import decontaminate, langid, packing, sharding, token_files, topk, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_sharding": sharding.op3_sharding,
     "op4_packing": packing.op4_packing,
