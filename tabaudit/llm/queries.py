@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabaudit.llm import decontaminate, langid, packing, sharding, token_files, topk, toxicity, warc
+from tabaudit.llm import decontaminate, jaccard_join, langid, packing, sharding, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op6_warc": warc.op6_warc,
     "op7_langid": langid.op7_langid,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op10_topk": topk.op10_topk,
 }
 
