@@ -9,10 +9,11 @@ pairs of a group of near copies:
 2. Order. Tokens have one global order: those held by many sets come last
    (counted over all sets), all others by their hash. Two linked sets share a
    token among the first |A| - ceil(0.8 |A|) + 1 of each, its prefix.
-3. Groups. For every prefix token the sets that hold it are compared with one
-   of them, its leader, and linked if similar; the components of these links
-   are groups of similar sets, so a thousand near copies cost a few thousand
-   comparisons. Large groups are dealt into chunks.
+3. Groups. The smallest set of those that hold a prefix token is their leader;
+   every set is compared with the leader that most of its tokens have, and
+   linked if similar. The components of these links are groups of similar
+   sets, so a thousand near copies cost a thousand comparisons. Large groups
+   are dealt into chunks.
 4. Matrix. (token, chunk) rows of the groups' prefix tokens are joined with
    the sets of other groups: only a set that shares a prefix token with a chunk
    is a query to it. The query's overlap with the chunk's token union bounds
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import (SPACE_WORDS, gram_hashes, lower_ascii, materialize, read_table, row_chunks,
+from tabaudit.llm.common import (SPACE_WORDS, gram_hashes, lower_ascii, materialize, mix64, read_table, row_chunks,
                                  span_hashes, text_buffers, word_spans)
 
 SHINGLE = 5
@@ -50,8 +51,10 @@ MAX_FREQUENT = 1_000_000
 #: Members of a chunk of a group, and queries that one task compares with it.
 CHUNK_SETS = 1024
 QUERY_BLOCK = 1024
-#: Tokens that one counting task takes.
-COUNT_TOKENS = 8_000_000
+#: Tokens that one task counts or groups.
+RANGE_TOKENS = 4_000_000
+#: Rows (16 bytes each) up to which the ids of compared documents are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 # ---------------------------------------------------------------- sets of texts
@@ -109,79 +112,149 @@ def set_table(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE) -> Data
         run, "doc_id long, n_shingles long, sig binary")
 
 
-def _texts_of(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """The texts of the documents that stand for the wanted sets: ``wanted``
-    has (sig, doc_id), one row a set. Documents with a repeated id come along
-    and are told apart by their digest."""
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.join(wanted.select(F.col("doc_id").alias("_id"), "sig"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("sig", "text")
-
-
-def _each_set(batches, k: int):
-    """(sig, tokens) of the rows whose text has that digest."""
+def _fresh_sets(batches, k: int):
+    """(digest, tokens) of the non-empty sets of rows (text), each set once a
+    task, so that copies of a text are sent once."""
+    seen: set[bytes] = set()
     for batch in batches:
-        for sig, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), k)):
-            if len(s) and digest(s) == sig:
-                yield sig, s
+        for s in shingle_sets(batch.column(0), k):
+            if len(s):
+                sig = digest(s)
+                if sig not in seen:
+                    seen.add(sig)
+                    yield sig, s
 
 
 # --------------------------------------------------------------- frequent tokens
-def frequent_tokens(texts: DataFrame, n_tokens: int, frequent: int = FREQUENT, limit: int = MAX_FREQUENT,
-                    k: int = SHINGLE) -> np.ndarray:
-    """Tokens that more than ``frequent`` sets hold, sorted; at most ``limit``,
-    the most frequent first. The tokens of every set are counted in ranges of
-    the hash; a task sends each range one sorted array, and a range is sized by
-    the number of tokens, not by any one of them. Tokens of the upper half of
-    the hash space are hardly ever in a prefix and left out."""
-    ranges = max(1, -(-n_tokens // (2 * COUNT_TOKENS)))
+def range_bits(n_tokens: int) -> int:
+    """Leading bits of a token that number its range."""
+    return max(0, int(np.ceil(np.log2(max(1, n_tokens / RANGE_TOKENS)))))
+
+
+def token_keys(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """A token's range and the next 32 bits: what is counted and sent. Tokens
+    that agree in it are taken for one where only candidates or the order are
+    concerned, never where sets are compared."""
+    return tokens >> np.uint64(32 - bits)
+
+
+def _ranges(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(range, from, to) of sorted keys."""
+    if not len(keys):
+        return []
+    r = (keys >> np.uint64(32)).astype(np.int64)
+    first = np.nonzero(np.concatenate(([True], r[1:] != r[:-1])))[0]
+    return list(zip(r[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]))
+
+
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def frequent_keys(texts: DataFrame, n_tokens: int, bits: int, frequent: int = FREQUENT, limit: int = MAX_FREQUENT,
+                  k: int = SHINGLE) -> np.ndarray:
+    """Keys that more than ``frequent`` sets hold, sorted; at most ``limit``,
+    the most frequent first. All sets are counted: a task sends every range of
+    the hash one sorted array. Tokens of the upper half of the hash space are
+    hardly ever in a prefix and left out."""
     top = np.uint64(1) << np.uint64(63)
 
+    def flush(held):
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        rows = [(r, (keys[a:b] & _LOW).astype("<u4").tobytes(), np.minimum(n[a:b], 255).astype(np.uint8).tobytes())
+                for r, a, b in _ranges(keys)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary()),
+                                           pa.array([x[2] for x in rows], pa.binary())], names=["r", "t", "n"])
+
     def send(batches):
         held, size = [], 0
-
-        def flush():
-            t, n = np.unique(np.concatenate(held), return_counts=True)
-            r = (t // (top // np.uint64(ranges) + np.uint64(1))).astype(np.int64)
-            cut = np.searchsorted(r, np.arange(ranges + 1))
-            rows = [(i, t[a:b].tobytes(), n[a:b].astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary()),
-                                               pa.array([x[2] for x in rows], pa.binary())], names=["r", "t", "n"])
-
-        for _, s in _each_set(batches, k):
+        for _, s in _fresh_sets(batches, k):
             s = s[:np.searchsorted(s, top)]
-            held.append(s)
+            held.append(token_keys(s, bits))
             size += len(s)
             if size >= 2_000_000:
-                yield flush()
+                yield flush(held)
                 held, size = [], 0
-        if held:
-            yield flush()
+        if size:
+            yield flush(held)
 
-    def count(key, rows: pd.DataFrame) -> pd.DataFrame:
-        t = np.concatenate([np.frombuffer(x, "<u8") for x in rows["t"]])
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in rows["n"]]).astype(np.int64)
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        t = np.concatenate([np.frombuffer(x, "<u4") for x in rows["t"]])
+        n = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["n"]]).astype(np.int64)
         order = np.argsort(t, kind="stable")
         t, n = t[order], n[order]
-        first = np.nonzero(np.concatenate(([True], t[1:] != t[:-1])))[0] if len(t) else np.zeros(0, np.int64)
-        total = np.add.reduceat(n, first) if len(first) else n
+        first = np.nonzero(np.concatenate(([True], t[1:] != t[:-1])))[0]
+        total = np.add.reduceat(n, first)
         many = total > frequent
-        return pd.DataFrame({"token": t[first][many].astype(np.int64), "n": total[many]})
+        return pd.DataFrame({"token": (int(key[0]) << 32) + t[first][many].astype(np.int64), "n": total[many]})
 
-    sent = texts.mapInArrow(send, "r int, t binary, n binary")
-    counted = sent.groupBy("r").applyInPandas(count, "token long, n long")
+    counted = texts.mapInArrow(send, "r long, t binary, n binary").groupBy("r").applyInPandas(count, "token long, n long")
     rows = counted.orderBy(F.desc("n"), "token").limit(limit).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
+    return np.sort(rows["token"].to_numpy(np.int64).astype(np.uint64))
 
 
-def prefix(tokens: np.ndarray, often: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def prefix(tokens: np.ndarray, often: np.ndarray, bits: int, percent: int = PERCENT) -> np.ndarray:
     """The first tokens of a sorted set in the global order."""
     if len(often):
-        at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
-        last = often[at] == tokens
+        keys = token_keys(tokens, bits)
+        last = often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] == keys
         tokens = np.concatenate((tokens[~last], tokens[last]))
     return tokens[:prefix_length(len(tokens), percent)]
 
 
+# -------------------------------------------------------------------- prefix runs
+def prefix_runs(texts: DataFrame, often: np.ndarray, bits: int, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+    """(run, nid, n, leader, leader_n): the sets that share a prefix token,
+    with the smallest of them as leader. Runs of one set are left out, and of
+    runs with the same sets in one range one is kept. ``nid`` is half of a
+    set's digest; sets that agree in it share its rows."""
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+
+    def flush(keys, nids, sizes):
+        keys, nids, sizes = np.concatenate(keys), np.concatenate(nids), np.concatenate(sizes)
+        order = np.argsort(keys, kind="stable")
+        keys, nids, sizes = keys[order], nids[order], sizes[order]
+        rows = [(r, (keys[a:b] & _LOW).astype("<u4").tobytes(), nids[a:b].tobytes(), sizes[a:b].tobytes()) for r, a, b in _ranges(keys)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), *[
+            pa.array([x[i] for x in rows], pa.binary()) for i in (1, 2, 3)]], names=["r", "t", "nid", "n"])
+
+    def send(batches):
+        keys, nids, sizes, size = [], [], [], 0
+        for sig, s in _fresh_sets(batches, k):
+            p = token_keys(prefix(s, shared.value, bits, percent), bits)
+            keys.append(p)
+            nids.append(np.full(len(p), np.frombuffer(sig, "<i8", 1)[0]))
+            sizes.append(np.full(len(p), len(s), "<u4"))
+            size += len(p)
+            if size >= 1_000_000:
+                yield flush(keys, nids, sizes)
+                keys, nids, sizes, size = [], [], [], 0
+        if size:
+            yield flush(keys, nids, sizes)
+
+    def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        t = np.concatenate([np.frombuffer(x, "<u4") for x in rows["t"]])
+        nid = np.concatenate([np.frombuffer(x, "<i8") for x in rows["nid"]])
+        n = np.concatenate([np.frombuffer(x, "<u4") for x in rows["n"]])
+        order = np.lexsort((nid, n, t))
+        t, nid, n = t[order], nid[order], n[order]
+        fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (nid[1:] != nid[:-1])))  # copies of a set from other tasks
+        t, nid, n = t[fresh], nid[fresh], n[fresh]
+        first = np.nonzero(np.concatenate(([True], t[1:] != t[:-1])))[0]
+        length = np.diff(np.append(first, len(t)))
+        # an order-free hash of the run's sets names it
+        name = np.add.reduceat(mix64(nid.view(np.uint64)), first).view(np.int64)
+        order = np.lexsort((name, length))
+        once = np.zeros(len(first), bool)
+        once[order] = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (length[order][1:] != length[order][:-1])))
+        keep = np.repeat(once & (length > 1), length)
+        at = np.repeat(first, length)[keep]
+        return pd.DataFrame({"run": np.repeat(name, length)[keep], "nid": nid[keep], "n": n[keep].astype(np.int32),
+                             "leader": nid[at], "leader_n": n[at].astype(np.int32)})
+
+    return texts.mapInArrow(send, "r long, t binary, nid binary, n binary").groupBy("r").applyInPandas(
+        group, "run long, nid long, n int, leader long, leader_n int")
+
+
 # ---------------------------------------------------------- comparing with groups
 LINKS = "a binary, b binary"
 
@@ -202,7 +275,7 @@ def compare(queries: DataFrame, members: DataFrame, tokens: DataFrame, percent:
                                              "sig", F.lit(1).alias("side"))
     rows = left.unionByName(right).join(tokens, "sig")
 
-    def run(key, block: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("sig")
         side = block["side"].to_numpy()
         sets = [np.frombuffer(x, "<u8") for x in block["tokens"]]
@@ -257,79 +330,97 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     have no shingles and are their own component; rows with equal sets share
     one; a NULL doc_id counts only where its component has no other id. Other
     columns are not read; an empty table gives an empty result."""
-    spark = docs.sparkSession
     sets = materialize(set_table(docs, doc_id, text, k), "join-sets")
-    nodes = materialize(sets.where(F.col("sig").isNotNull()).groupBy("sig").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "join-nodes")
+    nodes = sets.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     n_tokens = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    texts = _texts_of(docs, doc_id, text, nodes)
-
-    # prefixes in the global order
-    often = spark.sparkContext.broadcast(frequent_tokens(texts, n_tokens, frequent, k=k))
-
-    def send(batches):
-        for batch in batches:
-            sigs, sizes, cells = [], [], []
-            for sig, s in _each_set([batch], k):
-                p = prefix(s, often.value, percent)
-                sigs += [sig] * len(p)
-                sizes.append(np.full(len(p), len(s), np.int32))
-                cells.append(p)
-            if cells:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).astype(np.int64)), pa.array(np.concatenate(sizes)),
-                                                  pa.array(sigs, pa.binary())], names=["token", "n", "sig"])
-
-    postings = texts.mapInArrow(send, "token long, n int, sig binary")
-    # tokens of one set only are of no use; the leader of the others is the set with the least (n, sig)
-    held = postings.groupBy("token").agg(F.min(F.struct("n", "sig")).alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    postings = materialize(postings.join(held.select("token", "leader"), "token").select(
-        "token", "n", "sig", F.col("leader.sig").alias("leader"), F.col("leader.n").alias("leader_n")), "join-postings")
-    # (links need sizes within the threshold)
-    star = (postings.where((F.col("sig") != F.col("leader")) & (100 * F.col("leader_n") >= percent * F.col("n")))
-            .select(F.col("leader").alias("gid"), "sig").distinct())
+    texts = docs.select(F.col(text).alias("text"))
+    bits = range_bits(n_tokens)
+    often = frequent_keys(texts, n_tokens, bits, frequent, k=k)
+    runs = materialize(prefix_runs(texts, often, bits, percent, k), "join-runs")
+
+    # from here on only sets that share a prefix token with another one
+    involved = runs.select("nid").distinct()
+    known = nodes.withColumn("nid", nid_of(F.col("sig"))).join(involved, "nid", "left_semi")
+    known = materialize(known.select("nid", "sig", "doc_id", "n"), "join-known")
+    tokens = materialize(_tokens_of(docs, doc_id, text, known, k), "join-tokens")
+
+    # each set is compared with the leader that most of its runs have
+    best = (runs.where((F.col("nid") != F.col("leader")) & (100 * F.col("leader_n") >= percent * F.col("n")))
+            .groupBy("nid", "leader").agg(F.count(F.lit(1)).alias("c"))
+            .groupBy("nid").agg(F.max(F.struct("c", "leader"))["leader"].alias("leader")))
+    names = known.select("nid", "sig")
+    star = (best.join(names, "nid").join(names.select(F.col("nid").alias("leader"), F.col("sig").alias("gid")), "leader")
+            .select("gid", "sig"))
     star = materialize(star, "join-star")
-    involved = postings.select("sig").distinct()
-    tokens = materialize(_texts_of(docs, doc_id, text, nodes.join(involved, "sig", "left_semi")).mapInArrow(
-        lambda batches: _token_rows(batches, k), "sig binary, tokens binary").dropDuplicates(["sig"]), "join-tokens")
     leaders = star.select("gid").distinct().select("gid", F.col("gid").alias("sig"))
     near = materialize(compare(star, leaders, tokens, percent, query_block), "join-near")
 
     # groups of similar sets, dealt into chunks; sets without a link are groups of one
-    group = components(near)
-    placed = postings.select("token", "n", "sig").join(group, "sig", "left").select(
-        "token", "n", "sig", F.coalesce("label", "sig").alias("group"))
-    sizes = placed.select("group", "sig").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("members"))
-    sizes = materialize(sizes, "join-sizes")
-    placed = materialize(placed.join(sizes, "group").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.ceil(
-        F.col("members") / chunk_sets)).cast("int")), "join-placed")
-    gid = F.concat(F.col("group"), F.lit("/").cast("binary"), F.col("chunk").cast("string").cast("binary"))
-    # the matrix: for a token and a chunk the range of its members' sizes
-    matrix = placed.groupBy("token", F.col("group").alias("g"), gid.alias("gid"), F.col("members").alias("m")).agg(
+    group = known.select("nid", "sig", "n").join(components(near), "sig", "left").withColumn("group", F.coalesce("label", "sig"))
+    sizes = group.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    group = group.join(sizes, "group").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / chunk_sets)).cast("int"))
+    group = materialize(group.select("nid", "sig", "n", "group", "members", F.concat(
+        "group", F.lit("/").cast("binary"), F.col("chunk").cast("string").cast("binary")).alias("gid")), "join-groups")
+    placed = materialize(runs.select("run", "nid").distinct().join(group, "nid").drop("nid"), "join-placed")
+    # the matrix: for a token (a run) and a chunk the range of its members' sizes
+    matrix = placed.groupBy("run", F.col("group").alias("g"), "gid", F.col("members").alias("m")).agg(
         F.min("n").alias("low"), F.max("n").alias("high"))
-    # of two groups the smaller one asks the larger one
-    asks = placed.join(matrix, "token").where(
+    # of two groups the smaller one asks the larger one; runs within one group ask nothing
+    mixed = matrix.groupBy("run").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("run")
+    asks = placed.drop("gid").join(mixed, "run", "left_semi").join(matrix, "run").where(
         (F.col("group") != F.col("g")) & ((F.col("members") < F.col("m")) | ((F.col("members") == F.col("m")) & (F.col("group") > F.col("g"))))
         & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
     ).select("gid", "sig").distinct()
     asks = materialize(asks, "join-asks")
-    members = placed.select(gid.alias("gid"), "sig").distinct().join(asks.select("gid").distinct(), "gid", "left_semi")
+    members = group.select("gid", "sig").join(asks.select("gid").distinct(), "gid", "left_semi")
     far = materialize(compare(asks, members, tokens, percent, query_block), "join-far")
 
     label = components(near.unionByName(far))
-    named = nodes.join(label, "sig", "left").select("sig", "doc_id", F.coalesce("label", "sig").alias("label"))
+    named = known.select("sig", "doc_id").join(label, "sig")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classes = materialize(named.join(least, "label").select("sig", "component_id"), "join-classes")
+    linked = named.join(least, "label").select("sig", "component_id")
+    alone = nodes.join(linked, "sig", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = materialize(alone, "join-classes")
     out = sets.join(classes, "sig", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _token_rows(batches, k: int):
-    for batch in batches:
-        rows = list(_each_set([batch], k))
-        for i in range(0, len(rows), 500):
-            part = rows[i:i + 500]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in part], pa.binary()),
-                                              pa.array([t.tobytes() for _, t in part], pa.binary())], names=["sig", "tokens"])
+def nid_of(sig):
+    """The first eight bytes of a digest as a bigint, little-endian."""
+    parts = [F.shiftleft(F.conv(F.hex(F.substring(sig, i + 1, 1)), 16, 10).cast("bigint"), 8 * i) for i in range(8)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.bitwiseOR(p)
+    return out
+
+
+def _tokens_of(docs: DataFrame, doc_id: str, text: str, known: DataFrame, k: int) -> DataFrame:
+    """(sig, tokens) of the known sets, from the texts of the documents that
+    stand for them. A document with the id of another one comes along; its set
+    is one more row that nothing asks for."""
+    ids = known.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")).distinct()
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = own.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_null", F.col("doc_id").isNull())
+
+    def run(batches):
+        held: list[tuple[bytes, bytes]] = []
+        size = 0
+        for sig, s in _fresh_sets(batches, k):
+            held.append((sig, s.tobytes()))
+            size += 8 * len(s)
+            if size >= 4 << 20:
+                yield _rows(held)
+                held, size = [], 0
+        if held:
+            yield _rows(held)
+
+    def _rows(held):
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.binary()), pa.array([t for _, t in held], pa.binary())],
+                                          names=["sig", "tokens"])
+
+    found = own.join(side, ["_id", "_null"], "left_semi").select("text").mapInArrow(run, "sig binary, tokens binary")
+    return found.dropDuplicates(["sig"])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,7 +106,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = BUCKET_
     n = max(1, -(-total // bucket_rows))
     cols = pieces.columns
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", *[c for c in cols if c != "length"]], ascending=False, kind="stable")
         bins, offsets = sum_of_squares(rows["length"].to_numpy(np.int64), capacity)
         return rows[cols].assign(sequence_id=(np.int64(key[0]) << 32) + bins, offset=offsets)

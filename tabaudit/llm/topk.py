@@ -129,7 +129,7 @@ def search_codes(entries: DataFrame, queries: DataFrame, k: int = K, segments: i
     e = entries.withColumn("eb", block)
     q = queries.withColumn("qb", F.pmod(F.xxhash64("code", F.lit("q")), F.lit(qb)).cast("int"))
 
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = {"query_code": [], "code": [], "distance": []}
         if len(left) and len(right):
             codes = left["code"].to_numpy(np.int64).view(np.uint64)
