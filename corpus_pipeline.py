@@ -1,10 +1,85 @@
-"""Corpus pipeline: the stages that take ``documents`` to packed sequences."""
+"""Corpus pipeline: from ``documents`` to packed token sequences.
+
+STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and
+returns a DataFrame that is written as Parquet and reread as the next one's
+docs. All but the last return the columns of documents; each works on all rows
+that its predecessor kept, and rows it rejects are gone for those after it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabaudit.llm import decontaminate, jaccard_join, langid, packing, toxicity
+from tabaudit.llm.common import materialize, read_table
+from tabaudit.session import ship_package
+
+#: A document whose most likely language is less likely than this is rejected.
+MIN_LANGUAGE_SCORE = 0.4
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a learned language; those without letters, or between
+    languages, go."""
+    ship_package(spark)
+    model = langid.fit(langid.learning_rows(docs))
+    scored = langid.predict(docs, model, lang_col="_lang_pred", score_col="_lang_score")
+    kept = scored.where((F.col("_lang_pred") != langid.UNDETERMINED) & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that are predicted not toxic."""
+    ship_package(spark)
+    model = toxicity.fit(toxicity.learning_rows(docs, read_table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model, score_col="_toxic_score", hits_col="_toxic_matches")
+    return scored.where(F.col("_toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of every component of similar documents: the one with
+    the smallest doc_id. Documents without words are linked with nothing and
+    stay; of rows that repeat that id one stays."""
+    ship_package(spark)
+    classes = jaccard_join.similarity_components(docs)
+    # component ids are doc_ids: the ids that stand for their component stay
+    keep = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    keep = materialize(keep, "stage-keep")
+    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in which no benchmark window occurs."""
+    ship_package(spark)
+    _, found = decontaminate.find_windows(docs, read_table(spark, sf_dir, "benchmark"))
+    hit = materialize(found.select("text_key").distinct(), "stage-hit")
+    key = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(hit, key == hit["text_key"], "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences; one row a piece."""
+    ship_package(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Language ID, toxicity and packing have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written and reread."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

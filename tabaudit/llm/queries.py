@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabaudit.llm import decontaminate, jaccard_join, langid, packing, sharding, token_files, topk, toxicity, warc
+from tabaudit.llm import decontaminate, html_extract, jaccard_join, langid, packing, sharding, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_langid": langid.op7_langid,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_html_extract": html_extract.op9_html_extract,
     "op10_topk": topk.op10_topk,
 }
 
