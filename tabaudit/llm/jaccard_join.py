@@ -15,9 +15,9 @@ pairs of a group of near copies:
    sets, so a thousand near copies cost a thousand comparisons. Large groups
    are dealt into chunks.
 4. Matrix. (token, chunk) rows of the groups' prefix tokens are joined with
-   the sets of other groups: only a set that shares a prefix token with a chunk
-   is a query to it. The query's overlap with the chunk's token union bounds
-   its similarity to every member; only chunks whose bound reaches the
+   the sets of other groups: only a set that shares enough prefix tokens with a
+   chunk is a query to it. The query's overlap with the chunk's token union
+   bounds its similarity to every member; only chunks whose bound reaches the
    threshold are opened, and members are compared until one is linked.
 5. Components of all links, by label propagation with pointer jumping.
 
@@ -48,6 +48,8 @@ FREQUENT = 40
 #: Frequent tokens that are told to the tasks (8 bytes each): the most frequent ones. Others stay in hash order,
 #: which changes the work and not the result.
 MAX_FREQUENT = 1_000_000
+#: Share of a leader's prefix, in percent, that a set compared with it holds.
+LIKELY = 60
 #: Members of a chunk of a group, and queries that one task compares with it.
 CHUNK_SETS = 1024
 QUERY_BLOCK = 1024
@@ -203,10 +205,10 @@ def prefix(tokens: np.ndarray, often: np.ndarray, bits: int, percent: int = PERC
 
 # -------------------------------------------------------------------- prefix runs
 def prefix_runs(texts: DataFrame, often: np.ndarray, bits: int, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
-    """(run, nid, n, leader, leader_n): the sets that share a prefix token,
+    """(run, w, nid, n, leader, leader_n): the sets that share a prefix token,
     with the smallest of them as leader. Runs of one set are left out, and of
-    runs with the same sets in one range one is kept. ``nid`` is half of a
-    set's digest; sets that agree in it share its rows."""
+    runs with the same sets in one range one is kept, with their number w.
+    ``nid`` is half of a set's digest; sets that agree in it share its rows."""
     shared = texts.sparkSession.sparkContext.broadcast(often)
 
     def flush(keys, nids, sizes):
@@ -248,11 +250,15 @@ def prefix_runs(texts: DataFrame, often: np.ndarray, bits: int, percent: int = P
         once[order] = np.concatenate(([True], (name[order][1:] != name[order][:-1]) | (length[order][1:] != length[order][:-1])))
         keep = np.repeat(once & (length > 1), length)
         at = np.repeat(first, length)[keep]
-        return pd.DataFrame({"run": np.repeat(name, length)[keep], "nid": nid[keep], "n": n[keep].astype(np.int32),
-                             "leader": nid[at], "leader_n": n[at].astype(np.int32)})
+        # tokens of the range that have these very sets: the weight of the one kept
+        rank = np.cumsum(once[order]) - 1
+        weight = np.empty(len(first), np.int64)
+        weight[order] = np.bincount(rank)[rank]
+        return pd.DataFrame({"run": np.repeat(name, length)[keep], "w": np.repeat(weight, length)[keep], "nid": nid[keep],
+                             "n": n[keep].astype(np.int32), "leader": nid[at], "leader_n": n[at].astype(np.int32)})
 
     return texts.mapInArrow(send, "r long, t binary, nid binary, n binary").groupBy("r").applyInPandas(
-        group, "run long, nid long, n int, leader long, leader_n int")
+        group, "run long, w long, nid long, n int, leader long, leader_n int")
 
 
 # ---------------------------------------------------------- comparing with groups
@@ -324,7 +330,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 # --------------------------------------------------------------------------- join
 def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
                           percent: int = PERCENT, frequent: int = FREQUENT, chunk_sets: int = CHUNK_SETS,
-                          query_block: int = QUERY_BLOCK) -> DataFrame:
+                          query_block: int = QUERY_BLOCK, likely: int = LIKELY) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest
     doc_id reachable by links. NULL and empty texts and texts without words
     have no shingles and are their own component; rows with equal sets share
@@ -342,17 +348,19 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     involved = runs.select("nid").distinct()
     known = nodes.withColumn("nid", nid_of(F.col("sig"))).join(involved, "nid", "left_semi")
     known = materialize(known.select("nid", "sig", "doc_id", "n"), "join-known")
-    tokens = materialize(_tokens_of(docs, doc_id, text, known, k), "join-tokens")
 
-    # each set is compared with the leader that most of its runs have
-    best = (runs.where((F.col("nid") != F.col("leader")) & (100 * F.col("leader_n") >= percent * F.col("n")))
-            .groupBy("nid", "leader").agg(F.count(F.lit(1)).alias("c"))
+    # each set is compared with the leader that most of its prefix tokens have
+    leading = (runs.where(F.col("nid") != F.col("leader")).groupBy("nid", "leader")
+               .agg(F.sum("w").alias("c"), F.max("n").alias("n"), F.max("leader_n").alias("leader_n")))
+    # (fewer shared tokens hardly ever make a link, and what is not compared here is asked below)
+    best = (leading.where(F.col("c") * 100 >= likely * (F.col("leader_n") - F.ceil(percent * F.col("leader_n") / 100) + 1))
             .groupBy("nid").agg(F.max(F.struct("c", "leader"))["leader"].alias("leader")))
     names = known.select("nid", "sig")
     star = (best.join(names, "nid").join(names.select(F.col("nid").alias("leader"), F.col("sig").alias("gid")), "leader")
             .select("gid", "sig"))
     star = materialize(star, "join-star")
     leaders = star.select("gid").distinct().select("gid", F.col("gid").alias("sig"))
+    tokens = materialize(_tokens_of(docs, doc_id, text, _named(known, star, leaders), k), "join-tokens")
     near = materialize(compare(star, leaders, tokens, percent, query_block), "join-near")
 
     # groups of similar sets, dealt into chunks; sets without a link are groups of one
@@ -361,18 +369,25 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     group = group.join(sizes, "group").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / chunk_sets)).cast("int"))
     group = materialize(group.select("nid", "sig", "n", "group", "members", F.concat(
         "group", F.lit("/").cast("binary"), F.col("chunk").cast("string").cast("binary")).alias("gid")), "join-groups")
-    placed = materialize(runs.select("run", "nid").distinct().join(group, "nid").drop("nid"), "join-placed")
-    # the matrix: for a token (a run) and a chunk the range of its members' sizes
+    weights = runs.groupBy("run", "nid").agg(F.sum("w").alias("w"))
+    placed = materialize(weights.join(group, "nid").drop("nid"), "join-placed")
+    # the matrix: a row for a token (a run) and a chunk, with the range of its members' sizes
     matrix = placed.groupBy("run", F.col("group").alias("g"), "gid", F.col("members").alias("m")).agg(
         F.min("n").alias("low"), F.max("n").alias("high"))
-    # of two groups the smaller one asks the larger one; runs within one group ask nothing
+    # runs within one group ask nothing; of two groups the smaller one asks the larger one
     mixed = matrix.groupBy("run").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("run")
-    asks = placed.drop("gid").join(mixed, "run", "left_semi").join(matrix, "run").where(
-        (F.col("group") != F.col("g")) & ((F.col("members") < F.col("m")) | ((F.col("members") == F.col("m")) & (F.col("group") > F.col("g"))))
-        & (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
-    ).select("gid", "sig").distinct()
+    meets = placed.drop("gid").join(mixed, "run", "left_semi").join(matrix, "run").where(
+        (F.col("group") != F.col("g")) & ((F.col("members") < F.col("m")) | ((F.col("members") == F.col("m")) & (F.col("group") > F.col("g")))))
+    # the prefix tokens that a set shares with a chunk bound its overlap with every member; sizes that cannot link are out
+    low = F.greatest(F.min("low"), F.ceil(percent * F.max("n") / 100))
+    high = F.least(F.max("high"), F.floor(100 * F.max("n") / percent))
+    asks = (meets.groupBy("gid", "sig").agg(F.sum("w").alias("c"), F.max("n").alias("n"), low.alias("low"), high.alias("high"))
+            .where((F.col("low") <= F.col("high")) & (F.col("c") >= F.least(
+                shared_needed(F.col("n"), F.col("low"), percent), shared_needed(F.col("n"), F.col("high"), percent))))
+            .select("gid", "sig"))
     asks = materialize(asks, "join-asks")
     members = group.select("gid", "sig").join(asks.select("gid").distinct(), "gid", "left_semi")
+    tokens = materialize(_tokens_of(docs, doc_id, text, _named(known, asks, members), k), "join-more-tokens")
     far = materialize(compare(asks, members, tokens, percent, query_block), "join-far")
 
     label = components(near.unionByName(far))
@@ -385,6 +400,23 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def shared_needed(a, b, percent: int = PERCENT):
+    """Prefix tokens that linked sets of a and b tokens share at least. Of the
+    two prefixes one ends first in the global order; common tokens up to there
+    are in both, and the others are among the rest of that set, whose prefix
+    leaves ceil(percent * size) - 1 tokens. One less, for rounding."""
+    overlap = F.ceil(percent * (a + b) / (100 + percent))
+    return F.greatest(F.lit(1), overlap - (F.ceil(percent * F.greatest(a, b) / 100) - 1) - 1)
+
+
+def _named(known: DataFrame, *parts: DataFrame) -> DataFrame:
+    """The known sets that some part names."""
+    sigs = parts[0].select("sig")
+    for p in parts[1:]:
+        sigs = sigs.unionByName(p.select("sig"))
+    return known.join(sigs.distinct(), "sig", "left_semi")
+
+
 def nid_of(sig):
     """The first eight bytes of a digest as a bigint, little-endian."""
     parts = [F.shiftleft(F.conv(F.hex(F.substring(sig, i + 1, 1)), 16, 10).cast("bigint"), 8 * i) for i in range(8)]
