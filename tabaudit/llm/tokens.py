@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 CACHE_PIECES = 500_000
 #: Fixed value: ASCII punctuation but the apostrophe.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Fixed value: white space.
+_WHITE = frozenset(chr(i) for i in range(0x3001) if chr(i).isspace())
 #: Marks a tail of punctuation among the pieces.
 _TAIL = "\x02"
 #: Marks the first piece of a text, which has no space before it.
@@ -60,32 +62,9 @@ class WordCachedTokenizer:
             return pieces
         return text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
 
-    def _text(self, piece: str) -> str | None:
-        """What the library is to encode; None if the cut is not allowed."""
-        if piece.startswith(_TAIL):
-            return piece[1:]
-        if not self.keeps_space:
-            return piece
-        first = piece.startswith(_HEAD)
-        word = piece[1:] if first else piece
-        if not word:
-            return "" if first else None
-        if word[0].isspace() or word[-1].isspace() or word[0] == _HEAD:
-            return None
-        return word if first else " " + word
-
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _core(self, piece: str) -> str:
-        """The piece without its tail; the piece itself if it has none."""
-        core = piece.rstrip(_PUNCTUATION)
-        if core == piece or not core or not core[-1].isalnum() or core[0] == _HEAD and not core[1:]:
-            core = piece
-        if not self.keeps_space and core.isascii():
-            core = core.lower()  # as its normalizer does
-        return core
-
     def _learn(self, pieces: set[str]) -> None:
         new = pieces.difference(self.cache)
         if not new:
@@ -95,43 +74,53 @@ class WordCachedTokenizer:
             self.cache = {}
             new = pieces
         cache, older = self.cache, self.older
-        parts, wanted = {}, set()
-        for p in new:
-            if p in older:
-                cache[p] = older[p]
-                continue
-            core = self._core(p)
-            if core != p:
-                tail = _TAIL + p[len(core):] if len(core) < len(p) else None
-                parts[p] = (core, tail)
-                wanted.add(core)
-                if tail:
-                    wanted.add(tail)
-            else:
-                wanted.add(p)
-        alone, joined, texts = [], [], {}
-        for p in wanted.difference(cache):
-            if p in older:
-                cache[p] = older[p]
-                continue
-            t = texts[p] = self._text(p)
-            if t is None:
-                cache[p] = None
-            elif not t or self.mark in t:
-                alone.append(p)
-            else:
-                joined.append(p)
-        cache.update((p, ids.tobytes()) for p, ids in zip(alone, self._encode([texts[p] for p in alone])))
-        groups = [joined[i:i + 200] for i in range(0, len(joined), 200)]
-        for group, ids in zip(groups, self._encode([self.separator.join([texts[p] for p in g]) for g in groups])):
+        back = new.intersection(older)
+        cache.update(zip(back, [older[p] for p in back]))
+        new = new - back
+        # pieces with a tail, and (where the library lowers case) pieces that others spell in lower case
+        parts = [(p, c) for p in new if (c := p.rstrip(_PUNCTUATION)) != p and c and c[-1].isalnum() and c != _HEAD]
+        whole = new.difference([p for p, _ in parts])
+        if not self.keeps_space:
+            parts = [(p, c.lower() if c.isascii() else c) for p, c in parts]
+            capital = [p for p in whole if p.isascii() and not p.islower()]
+            parts += [(p, c) for p in capital if (c := p.lower()) != p]
+            whole = whole.difference([p for p, _ in parts])
+        tails = {_TAIL + p[len(c):] for p, c in parts if len(c) < len(p)}
+        whole = whole.union([c for _, c in parts]).difference(cache)
+        if self.keeps_space:
+            odd = [p for p in whole if not p or p[0] in _WHITE or p[-1] in _WHITE or p[0] == _HEAD]
+            whole = list(whole.difference(odd))
+            texts = [" " + p for p in whole]
+            for p in odd:
+                first = p.startswith(_HEAD)
+                word = p[1:] if first else p
+                if word and (word[0] in _WHITE or word[-1] in _WHITE or word[0] == _HEAD) or not word and not first:
+                    cache[p] = None  # the text must not be cut here
+                else:
+                    whole.append(p)
+                    texts.append(word if first else " " + word)
+        else:
+            whole = list(whole)
+            texts = whole.copy()
+        tails = list(tails.difference(cache))
+        whole += tails
+        texts += [t[1:] for t in tails]
+        alone = [i for i, t in enumerate(texts) if not t or self.mark in t]
+        for i, ids in zip(alone, self._encode([texts[i] for i in alone])):
+            cache[whole[i]] = ids.tobytes()
+        if alone:
+            out = set(alone)
+            whole = [p for i, p in enumerate(whole) if i not in out]
+            texts = [t for i, t in enumerate(texts) if i not in out]
+        joined = [self.separator.join(texts[i:i + 200]) for i in range(0, len(texts), 200)]
+        for k, ids in enumerate(self._encode(joined)):
+            group = whole[200 * k:200 * k + 200]
             cuts = (np.nonzero(ids == self.mark_id)[0] * 4).tolist()
-            raw, a = ids.tobytes(), 0
-            for p, b in zip(group, [*cuts, len(raw)], strict=True):
-                cache[p] = raw[a:b]
-                a = b + 4
-        for p, (core, tail) in parts.items():
-            ids = cache[core]
-            cache[p] = ids if ids is None or tail is None else ids + cache[tail]
+            raw = ids.tobytes()
+            cache.update(zip(group, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)], strict=True))
+        for p, c in parts:
+            ids = cache[c]
+            cache[p] = ids if ids is None or len(c) == len(p) else ids + cache[_TAIL + p[len(c):]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id; texts are taken together, so
@@ -164,7 +153,7 @@ def tokenizer(path: str, keeps_space: bool, end_id: int) -> WordCachedTokenizer:
     return _LOADED[key]
 
 
-def text_slices(texts: pa.Array, limit: int = 1 << 20):
+def text_slices(texts: pa.Array, limit: int = 4 << 20):
     """Row ranges [a, b) of a column with about ``limit`` bytes each."""
     a = size = 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
