@@ -10,21 +10,21 @@ pairs of a group of near copies:
    (counted over all sets), all others by their hash. Two linked sets share a
    token among the first |A| - ceil(0.8 |A|) + 1 of each, its prefix.
 3. Groups. The smallest set of those that hold a prefix token is their leader;
-   every set is compared with the leader that most of its tokens have, and
-   linked if similar. The components of these links are groups of similar
-   sets, so a thousand near copies cost a thousand comparisons. Large groups
-   are dealt into chunks.
-4. Matrix. (token, chunk) rows of the groups' prefix tokens are joined with
-   the sets of other groups: only a set that shares enough prefix tokens with a
-   chunk is a query to it. The query's overlap with the chunk's token union
-   bounds its similarity to every member; only chunks whose bound reaches the
-   threshold are opened, and members are compared until one is linked.
+   a set that shares enough of its prefix with the leader that most of its
+   tokens have joins that leader's group, linked or not, so that a thousand near
+   copies are one group. Groups are dealt into chunks of bounded size.
+4. Matrix. (token, chunk) rows of the prefix tokens say which chunks a set
+   shares tokens with: it asks those chunks (its own one included) with which it
+   shares enough of them. Sent there, its overlap with the chunk's token union
+   bounds its similarity to every member; a chunk that qualifies is opened, and
+   the overlaps with all its members come from the chunk's inverted index.
+   Links that join sets which are joined already are not emitted, so that a
+   chunk sends back a forest and not all pairs.
 5. Components of all links, by label propagation with pointer jumping.
 
-Steps 3 and 4 verify on whole sets, so the result is exact up to equal 64-bit
-hashes. Groups of one key are split by salts (queries of a leader or a chunk
-are compared in blocks of bounded size), and each intermediate is written to
-the shared folder.
+Step 4 verifies on whole sets, so the result is exact up to equal 64-bit hashes.
+A chunk's queries are compared in blocks of bounded size, each with a copy of
+the chunk, and each intermediate is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -48,13 +48,12 @@ FREQUENT = 40
 #: Frequent tokens that are told to the tasks (8 bytes each): the most frequent ones. Others stay in hash order,
 #: which changes the work and not the result.
 MAX_FREQUENT = 1_000_000
-#: Share of a leader's prefix, in percent, that a set compared with it holds.
-LIKELY = 60
-#: Members of a chunk of a group, and queries that one task compares with it.
-CHUNK_SETS = 1024
-QUERY_BLOCK = 1024
+#: Share of its prefix tokens, in percent, that a set shares with the leader whose group it joins.
+LIKELY = 30
+#: Sets and tokens of a chunk of a group, and of a block of queries that one task compares with it.
+CHUNK_SETS, CHUNK_TOKENS = 1024, 2_000_000
 #: Tokens that one task counts or groups.
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 2_000_000
 #: Rows (16 bytes each) up to which the ids of compared documents are broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -261,46 +260,81 @@ def prefix_runs(texts: DataFrame, often: np.ndarray, bits: int, percent: int = P
         group, "run long, w long, nid long, n int, leader long, leader_n int")
 
 
-# ---------------------------------------------------------- comparing with groups
+# ---------------------------------------------------------- comparing with chunks
 LINKS = "a binary, b binary"
 
 
-def compare(queries: DataFrame, members: DataFrame, tokens: DataFrame, percent: int = PERCENT,
-            query_block: int = QUERY_BLOCK) -> DataFrame:
-    """Links (a, b) between queries and members of groups. ``queries``: (gid,
-    sig), ``members``: (gid, sig), ``tokens``: (sig, tokens). A query that
-    reaches the threshold with some member of a group gets one link, to the
-    first such member. A group's queries are dealt into blocks, each with a
-    copy of the members, whose number callers bound."""
-    load = queries.groupBy("gid").agg(F.count(F.lit(1)).alias("q")).select(
-        "gid", F.ceil(F.col("q") / query_block).cast("int").alias("blocks"))
+class Chunk:
+    """Members of a group with their inverted index."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent = percent
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        member = np.repeat(np.arange(len(sets)), self.sizes)
+        tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(tokens, kind="stable")
+        self.member = member[order]
+        self.union, self.first = np.unique(tokens[order], return_index=True)
+        self.first = np.append(self.first, len(tokens))
+
+    def linked(self, s: np.ndarray) -> np.ndarray:
+        """Places of the members that reach the threshold with a set."""
+        none = np.zeros(0, np.int64)
+        if not len(self.union):
+            return none
+        at = np.minimum(np.searchsorted(self.union, s), len(self.union) - 1)
+        at = at[self.union[at] == s]
+        # a linked member holds percent of the set's tokens, and so does the union
+        if 100 * len(at) < self.percent * len(s):
+            return none
+        a, n = self.first[at], self.first[at + 1] - self.first[at]
+        places = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        both = np.bincount(self.member[places], minlength=len(self.sizes))
+        return np.nonzero(100 * both >= self.percent * (self.sizes + len(s) - both))[0]
+
+
+def compare(asks: DataFrame, members: DataFrame, tokens: DataFrame, percent: int = PERCENT,
+            block_sets: int = CHUNK_SETS, block_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Links (a, b) that connect whatever is similar between the queries of a
+    chunk and its members, and among its members. ``asks``: (gid, sig, n,
+    own), own where the query is a member itself; ``members``: (gid, sig, n);
+    ``tokens``: (sig, tokens). Queries are dealt into blocks of bounded size,
+    each with a copy of the members, whose number callers bound."""
+    outside = asks.where(~F.col("own"))
+    load = (asks.groupBy("gid").agg(
+        F.sum(F.when(F.col("own"), 0).otherwise(1)).alias("q"), F.sum(F.when(F.col("own"), 0).otherwise(F.col("n"))).alias("t"),
+        F.max("own").alias("inner"))
+        .select("gid", "inner", F.greatest(F.lit(1), F.ceil(F.col("q") / block_sets), F.ceil(F.col("t") / block_tokens)).cast("int").alias("blocks")))
     load = materialize(load, "join-load")
-    left = queries.join(load, "gid").select("gid", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"),
+    left = outside.join(load, "gid").select("gid", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"),
                                             "sig", F.lit(0).alias("side"))
-    right = members.join(load, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-                                             "sig", F.lit(1).alias("side"))
+    # members are compared with each other in block 0, if some of them may be linked
+    right = members.join(load, "gid").select("gid", "sig", "inner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select(
+        "gid", "block", "sig", F.when(F.col("inner") & (F.col("block") == 0), 2).otherwise(1).alias("side"))
     rows = left.unionByName(right).join(tokens, "sig")
 
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("sig")
+        block = block.sort_values(["side", "sig"], ascending=[False, True])
         side = block["side"].to_numpy()
         sets = [np.frombuffer(x, "<u8") for x in block["tokens"]]
         sigs = block["sig"].tolist()
-        own = sorted(np.nonzero(side == 1)[0].tolist(), key=lambda i: len(sets[i]))
-        sizes = np.array([len(sets[i]) for i in own])
-        union = np.unique(np.concatenate([sets[i] for i in own])) if len(own) > 1 else (sets[own[0]] if own else np.zeros(0, np.uint64))
+        m = int((side > 0).sum())
+        chunk = Chunk(sets[:m], percent)
+        label = list(range(len(sets)))
+
+        def find(i: int) -> int:
+            while label[i] != i:
+                label[i] = i = label[label[i]]
+            return i
+
         found = []
-        for q in np.nonzero(side == 0)[0].tolist():
-            s = sets[q]
-            # any linked member holds percent of the query's tokens, and so does the union
-            if not len(union) or 100 * len(np.intersect1d(s, union, assume_unique=True)) < percent * len(s):
-                continue
-            lo = np.searchsorted(sizes, -(-percent * len(s) // 100))
-            hi = np.searchsorted(sizes, 100 * len(s) // percent, side="right")
-            for i in own[lo:hi]:
-                if sigs[i] != sigs[q] and similar(s, sets[i], percent):
-                    found.append((sigs[q], sigs[i]))
-                    break
+        for q in np.nonzero(side != 1)[0].tolist():
+            for i in chunk.linked(sets[q]).tolist():
+                x, y = find(q), find(i)
+                if x != y:
+                    label[x] = y
+                    if sigs[q] != sigs[i]:
+                        found.append((sigs[q], sigs[i]))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return rows.groupBy("gid", "block").applyInPandas(run, LINKS)
@@ -330,7 +364,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 # --------------------------------------------------------------------------- join
 def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
                           percent: int = PERCENT, frequent: int = FREQUENT, chunk_sets: int = CHUNK_SETS,
-                          query_block: int = QUERY_BLOCK, likely: int = LIKELY) -> DataFrame:
+                          chunk_tokens: int = CHUNK_TOKENS, likely: int = LIKELY) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest
     doc_id reachable by links. NULL and empty texts and texts without words
     have no shingles and are their own component; rows with equal sets share
@@ -349,48 +383,41 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     known = nodes.withColumn("nid", nid_of(F.col("sig"))).join(involved, "nid", "left_semi")
     known = materialize(known.select("nid", "sig", "doc_id", "n"), "join-known")
 
-    # each set is compared with the leader that most of its prefix tokens have
+    # groups: sets and the leader that most of their prefix tokens have; others are groups of one
     leading = (runs.where(F.col("nid") != F.col("leader")).groupBy("nid", "leader")
-               .agg(F.sum("w").alias("c"), F.max("n").alias("n"), F.max("leader_n").alias("leader_n")))
-    # (fewer shared tokens hardly ever make a link, and what is not compared here is asked below)
-    best = (leading.where(F.col("c") * 100 >= likely * (F.col("leader_n") - F.ceil(percent * F.col("leader_n") / 100) + 1))
+               .agg(F.sum("w").alias("c"), F.max("n").alias("n")))
+    best = (leading.where(F.col("c") * 100 >= likely * (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1))
             .groupBy("nid").agg(F.max(F.struct("c", "leader"))["leader"].alias("leader")))
     names = known.select("nid", "sig")
-    star = (best.join(names, "nid").join(names.select(F.col("nid").alias("leader"), F.col("sig").alias("gid")), "leader")
-            .select("gid", "sig"))
-    star = materialize(star, "join-star")
-    leaders = star.select("gid").distinct().select("gid", F.col("gid").alias("sig"))
-    tokens = materialize(_tokens_of(docs, doc_id, text, _named(known, star, leaders), k), "join-tokens")
-    near = materialize(compare(star, leaders, tokens, percent, query_block), "join-near")
-
-    # groups of similar sets, dealt into chunks; sets without a link are groups of one
-    group = known.select("nid", "sig", "n").join(components(near), "sig", "left").withColumn("group", F.coalesce("label", "sig"))
-    sizes = group.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
-    group = group.join(sizes, "group").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.ceil(F.col("members") / chunk_sets)).cast("int"))
-    group = materialize(group.select("nid", "sig", "n", "group", "members", F.concat(
-        "group", F.lit("/").cast("binary"), F.col("chunk").cast("string").cast("binary")).alias("gid")), "join-groups")
+    star = (best.join(names, "nid").join(names.select(F.col("nid").alias("leader"), F.col("sig").alias("b")), "leader")
+            .select(F.col("sig").alias("a"), "b").where("a != b"))
+    group = known.select("nid", "sig", "n").join(components(star), "sig", "left").withColumn("group", F.coalesce("label", "sig"))
+    sizes = group.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / chunk_tokens)).alias("chunks"))
+    group = materialize(group.join(sizes, "group").select("nid", "sig", "n", F.concat(
+        "group", F.lit("/").cast("binary"), F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("string").cast("binary")).alias("gid")), "join-groups")
+    chunk = group.groupBy(F.col("gid").alias("g")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
+    chunk = materialize(chunk, "join-chunks")
+
+    # the matrix: a row for a token (a run) and a chunk; a set asks the chunks that it shares tokens with
     weights = runs.groupBy("run", "nid").agg(F.sum("w").alias("w"))
     placed = materialize(weights.join(group, "nid").drop("nid"), "join-placed")
-    # the matrix: a row for a token (a run) and a chunk, with the range of its members' sizes
-    matrix = placed.groupBy("run", F.col("group").alias("g"), "gid", F.col("members").alias("m")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"))
-    # runs within one group ask nothing; of two groups the smaller one asks the larger one
-    mixed = matrix.groupBy("run").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("run")
-    meets = placed.drop("gid").join(mixed, "run", "left_semi").join(matrix, "run").where(
-        (F.col("group") != F.col("g")) & ((F.col("members") < F.col("m")) | ((F.col("members") == F.col("m")) & (F.col("group") > F.col("g")))))
-    # the prefix tokens that a set shares with a chunk bound its overlap with every member; sizes that cannot link are out
-    low = F.greatest(F.min("low"), F.ceil(percent * F.max("n") / 100))
-    high = F.least(F.max("high"), F.floor(100 * F.max("n") / percent))
-    asks = (meets.groupBy("gid", "sig").agg(F.sum("w").alias("c"), F.max("n").alias("n"), low.alias("low"), high.alias("high"))
-            .where((F.col("low") <= F.col("high")) & (F.col("c") >= F.least(
-                shared_needed(F.col("n"), F.col("low"), percent), shared_needed(F.col("n"), F.col("high"), percent))))
-            .select("gid", "sig"))
+    matrix = placed.select("run", F.col("gid").alias("g")).distinct()
+    shared = (placed.join(matrix, "run").groupBy("sig", "gid", "g").agg(F.sum("w").alias("c"), F.max("n").alias("n")))
+    own = chunk.select(F.col("g").alias("gid"), F.col("m").alias("own_m"))
+    # of two chunks the smaller one asks the larger one; the shared prefix tokens bound the overlap with every member
+    low = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
+    high = F.least(F.col("high"), F.floor(100 * F.col("n") / percent))
+    asks = (shared.join(chunk, "g").join(own, "gid")
+            .where((low <= high) & (F.col("c") >= F.least(shared_needed(F.col("n"), low, percent), shared_needed(F.col("n"), high, percent))))
+            .where(F.when(F.col("gid") == F.col("g"), F.col("m") > 1).otherwise(
+                (F.col("own_m") < F.col("m")) | ((F.col("own_m") == F.col("m")) & (F.col("gid") > F.col("g")))))
+            .select(F.col("g").alias("gid"), "sig", "n", (F.col("gid") == F.col("g")).alias("own")))
     asks = materialize(asks, "join-asks")
-    members = group.select("gid", "sig").join(asks.select("gid").distinct(), "gid", "left_semi")
-    tokens = materialize(_tokens_of(docs, doc_id, text, _named(known, asks, members), k), "join-more-tokens")
-    far = materialize(compare(asks, members, tokens, percent, query_block), "join-far")
+    members = materialize(group.select("gid", "sig", "n").join(asks.select("gid").distinct(), "gid", "left_semi"), "join-members")
+    tokens = materialize(_tokens_of(docs, doc_id, text, _named(known, asks, members), k), "join-tokens")
+    links = materialize(compare(asks, members, tokens, percent, chunk_sets, chunk_tokens), "join-links")
 
-    label = components(near.unionByName(far))
+    label = components(links)
     named = known.select("sig", "doc_id").join(label, "sig")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = named.join(least, "label").select("sig", "component_id")
