@@ -32,7 +32,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that are predicted not toxic."""
     ship_package(spark)
-    model = toxicity.fit(toxicity.learning_rows(docs, read_table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, score_col="_toxic_score", hits_col="_toxic_matches")
     return scored.where(F.col("_toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
 

@@ -274,21 +274,33 @@ def learn_lexicon(sample: DataFrame, min_texts: int = MIN_TEXTS, min_log_odds: f
     return words, kept
 
 
-def draw_sample(labelled: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[DataFrame, dict[int, float]]:
-    """A bounded sample of rows (key, text, toxic), chosen by a hash of the
-    key, and the rows that one sampled row of each class stands for."""
-    n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def draw_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic",
+                max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[DataFrame, dict[int, float]]:
+    """A bounded sample (text, toxic, half) of the documents to learn from, and
+    the rows that one sampled row of each class stands for. Those are the
+    labelled documents whose crc32 remainder by 4 is not 2; one with several
+    labels has the greatest. Rows are drawn by a hash of id and text before
+    any text moves; rows with equal id and text count once."""
+    one = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(
+        F.max(F.col(toxic).cast("int")).alias("toxic"))
+    own = docs.where((remainder(F.col(doc_id), 4) != 2) & F.col(text).isNotNull()).select(
+        F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text"))
+    named = materialize(own.select("_id", "_hash").distinct().join(one, "_id"), "toxic-labelled")
+    n = {r["toxic"]: r["n"] for r in named.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = {1: min(1.0, max_toxic / max(1, n.get(1, 0))), 0: min(1.0, max_clean / max(1, n.get(0, 0)))}
-    draw = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    picked = labelled.where(draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
-    half = F.pmod(F.xxhash64("key", F.lit("half")), F.lit(2)).cast("int").alias("half")
-    return materialize(picked.select("key", "text", "toxic", half), "toxic-sample"), {k: 1.0 / r for k, r in rate.items()}
-
-
-def fit(labelled: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> ToxicityModel:
-    """Fit on rows (key, text, toxic 0/1). With no toxic row every score is
-    that of a text without matches."""
-    sample, stands_for = draw_sample(labelled, max_toxic, max_clean)
+    draw = F.pmod(F.xxhash64("_id", "_hash"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    picked = named.where(draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
+    # broadcast: the drawn ids, some max_toxic + max_clean of 16 bytes
+    half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    sample = own.join(F.broadcast(picked), ["_id", "_hash"]).dropDuplicates(["_id", "_hash"])
+    return materialize(sample.select("text", "toxic", half), "toxic-sample"), {k: 1.0 / r for k, r in rate.items()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic",
+        max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> ToxicityModel:
+    """Fit on the labelled documents. With no toxic one every score is that of
+    a text without matches."""
+    sample, stands_for = draw_sample(docs, labels, doc_id, text, toxic, max_toxic, max_clean)
     words, stems = learn_lexicon(sample)
     model = ToxicityModel(words, stems)
     spark = sample.sparkSession
@@ -392,20 +404,9 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", score_col:
     return kept.mapInArrow(run, schema)
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                  toxic: str = "toxic") -> DataFrame:
-    """Rows to learn from: those whose crc32 remainder by 4 is not 2. A
-    document with several labels takes part once, with the greatest."""
-    one = labels.where(F.col(doc_id).isNotNull() & F.col(toxic).isin(0, 1)).groupBy(F.col(doc_id).alias("_id")).agg(
-        F.max(F.col(toxic).cast("int")).alias("toxic"))
-    own = docs.where((remainder(F.col(doc_id), 4) != 2) & F.col(text).isNotNull())
-    return own.join(one, own[doc_id] == one["_id"]).select(
-        own[doc_id].cast("string").alias("key"), own[text].alias("text"), one["toxic"].alias("toxic"))
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    model = fit(learning_rows(docs, read_table(spark, sf_dir, "labels")))
+    model = fit(docs, read_table(spark, sf_dir, "labels"))
     out = score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_matches")
