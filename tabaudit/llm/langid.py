@@ -33,6 +33,8 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 800
 SHARDS = 4
 UNDETERMINED = "und"
+#: Rows of (language, rate) up to which they are broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: FTRL: learning rate, its smoothing, L1 and L2 penalties, passes.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.0005, 2
 #: Features are scaled by this factor, as relative frequencies are small.
@@ -176,13 +178,15 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 def fit(learn: DataFrame, per_language: int = PER_LANGUAGE, shards: int = SHARDS) -> LanguageModel:
     """Fit on rows (key, text, lang), lang not NULL. The sample takes about
-    ``per_language`` texts of each language, chosen by a hash of the key."""
+    ``per_language`` texts of each language, chosen by a hash of key and text."""
     spark = learn.sparkSession
     counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     rate = counts.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("rate"))
-    draw = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    sample = learn.join(rate, "lang").where(draw < F.col("rate")).select(
-        "text", "lang", F.pmod(F.xxhash64("key", F.lit("shard")), F.lit(shards + 1)).cast("int").alias("shard"))
+    rate = materialize(rate, "lang-rates")
+    side = F.broadcast(rate) if rate.count() <= BROADCAST_LANGUAGES else rate
+    draw = F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    sample = learn.join(side, "lang").where(draw < F.col("rate")).select(
+        "text", "lang", F.pmod(F.xxhash64("key", "text", F.lit("shard")), F.lit(shards + 1)).cast("int").alias("shard"))
     sample = materialize(sample, "lang-sample")
     languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     if not languages:
