@@ -86,13 +86,17 @@ def grams(data: np.ndarray, offsets: np.ndarray):
             yield cells[inside], d[inside]
 
 
-def _vectors(data: np.ndarray, offsets: np.ndarray):
-    """Sparse (cells, relative frequencies) of every text."""
-    parts = list(grams(data, offsets))
+def _cells(data: np.ndarray, offsets: np.ndarray):
+    """The cells of all n-grams of every text."""
     n = len(offsets) - 1
+    parts = [(c, np.searchsorted(d, np.arange(n + 1, dtype=d.dtype)).tolist()) for c, d in grams(data, offsets)]
     for i in range(n):
-        cells = [c[np.searchsorted(d, i):np.searchsorted(d, i + 1)] for c, d in parts]
-        cells = np.concatenate(cells) if cells else np.zeros(0, np.uint32)
+        yield np.concatenate([c[at[i]:at[i + 1]] for c, at in parts]) if parts else np.zeros(0, np.uint32)
+
+
+def _vectors(data: np.ndarray, offsets: np.ndarray):
+    """Sparse (cells, relative frequencies) of every text."""
+    for cells in _cells(data, offsets):
         counts = np.bincount(cells, minlength=DIMENSION)
         used = np.nonzero(counts)[0]
         yield used, counts[used] / max(1, len(cells))
@@ -154,13 +158,15 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, epochs:
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """(texts that have each cell, texts) over a whole table."""
     def count(batches):
-        seen, n = np.zeros(DIMENSION, np.int64), 0
+        seen, here, n = np.zeros(DIMENSION, np.int64), np.zeros(DIMENSION, bool), 0
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             for a, b in row_chunks(offsets):
                 o = offsets[a:b + 1]
-                for used, _ in _vectors(data[o[0]:o[-1]], o - o[0]):
-                    seen[used] += 1
+                for cells in _cells(data[o[0]:o[-1]], o - o[0]):
+                    here[cells] = True
+                    seen += here
+                    here[cells] = False
                 n += b - a
         used = np.nonzero(seen)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(seen[used], n), pa.int64())],
