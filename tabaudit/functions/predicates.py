@@ -49,16 +49,17 @@ def is_sentinel(col: Column, dtype: T.DataType, sentinel=DEFAULT_SENTINEL) -> Co
         if s_float is not None and not math.isnan(s_float):
             cond = cond | (col.cast("double") == F.lit(s_float))
         return cond
-    cond = col.isNull() | (col == F.lit(str(sentinel)))
+    text = as_text(col, dtype)
+    cond = col.isNull() | (text == F.lit(str(sentinel)))
     if s_float is not None and math.isnan(s_float):
-        cond = cond | (F.lower(col) == F.lit("nan"))
+        cond = cond | (F.lower(text) == F.lit("nan"))
     return cond
 
 
 def is_missing(col: Column, dtype: T.DataType, sentinel=DEFAULT_SENTINEL) -> Column:
     cond = is_sentinel(col, dtype, sentinel)
     if not is_numeric_type(dtype):
-        cond = cond | (col == F.lit(""))
+        cond = cond | (as_text(col, dtype) == F.lit(""))
     return cond
 
 
@@ -67,14 +68,14 @@ def numeric_value(col: Column, dtype: T.DataType) -> Column:
     Strings must match NUMERIC_PATTERN first so every engine agrees."""
     if is_numeric_type(dtype):
         return col.cast("double")
-    trimmed = F.trim(col)
+    trimmed = F.trim(as_text(col, dtype))
     return F.when(trimmed.rlike(NUMERIC_PATTERN), trimmed.try_cast("double"))
 
 
 def is_numeric_cell(col: Column, dtype: T.DataType) -> Column:
     if is_numeric_type(dtype):
         return F.lit(True)
-    return F.trim(col).rlike(NUMERIC_PATTERN)
+    return F.trim(as_text(col, dtype)).rlike(NUMERIC_PATTERN)
 
 
 def missing_flag(col: Column, dtype: T.DataType, sentinel=DEFAULT_SENTINEL) -> Column:

@@ -69,13 +69,11 @@ def one_hot(col: Column, dtype: T.DataType, unique: list[str],
     An unseen value gives all zeros. The extra sentinel column is added only
     when the sentinel text is not already one of the categories."""
     text = F.coalesce(as_text(col, dtype), F.lit(str(sentinel)))
-    if len(unique) <= 64:
-        seg = F.array(*[F.when(text == F.lit(u), F.lit(1.0)).otherwise(F.lit(0.0))
-                        for u in unique]) if unique else F.array().cast("array<double>")
+    if not unique:
+        seg = F.array().cast("array<double>")
     else:
-        # wide dictionary: one map lookup for the position, then the vector is
-        # assembled from array_repeat pieces (built-ins, code-generated; no
-        # per-element lambda)
+        # one map lookup for the position, then the vector is assembled from
+        # array_repeat pieces (built-ins, code-generated; no per-element lambda)
         k = len(unique)
         lookup = F.create_map(*[x for i, u in enumerate(unique) for x in (F.lit(u), F.lit(i + 1))])
         pos = F.element_at(lookup, text)
@@ -99,9 +97,6 @@ def unscale(v: Column, lo: float, hi: float) -> Column:
     return v * F.lit(float(hi) - float(lo)) + F.lit(float(lo))
 
 
-MAX_GROUPS = 1024
-
-
 def numeric_ranges(df: DataFrame, columns: list[str], sentinel=DEFAULT_SENTINEL,
                    group_col: str | None = None) -> dict:
     """min/max of the non-missing numeric values of each column (one job).
@@ -116,9 +111,7 @@ def numeric_ranges(df: DataFrame, columns: list[str], sentinel=DEFAULT_SENTINEL,
     if group_col is None:
         row = df.agg(*aggs).first()
         return {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
-    rows = df.groupBy(group_col).agg(*aggs).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {group_col!r}")
+    rows = df.groupBy(group_col).agg(*aggs).collect()     # one row a table of the stack
     return {r[group_col]: {c: (r[f"lo{i}"], r[f"hi{i}"]) for i, c in enumerate(columns)}
             for r in rows}
 
@@ -230,7 +223,9 @@ def encode(df: DataFrame, spec: EncodingSpec, row_id: str = "row_id",
         elif c.type in (CONTINUOUS, COUNT):
             lo, hi = ranges[c.label]
             miss = is_missing(col, t, sent)
-            val = scale_expr(numeric_value(col, t), lo, hi)
+            number = numeric_value(col, t)
+            # a column with one value has an empty range: it encodes to 0
+            val = F.coalesce(scale_expr(number, lo, hi), F.when(number.isNotNull(), F.lit(0.0)))
             if flag:
                 val = F.when(miss, hash_uniform(seed, fill_tag, c.label, rid)).otherwise(val)
                 segments.append(F.array(val, fl))
@@ -268,6 +263,14 @@ def argmax_decode(seg: Column, values: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), pos.cast("int"))
 
 
+def plain_text(v: Column) -> Column:
+    """A double as text in plain digits: large and small numbers, which a cast
+    writes with an exponent, go through a decimal."""
+    text = v.cast("string")
+    digits = F.regexp_replace(v.try_cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1")
+    return F.when(text.contains("E"), F.coalesce(F.regexp_replace(digits, r"\.$", ".0"), text)).otherwise(text)
+
+
 def decode(enc: Encoded, missing_threshold: float = 1.0) -> DataFrame:
     """Restore the original columns from an encoding.
 
@@ -298,7 +301,7 @@ def decode(enc: Encoded, missing_threshold: float = 1.0) -> DataFrame:
             v = unscale(x[val_idx[0]], c.min, c.max)
             if c.type == COUNT:
                 v = F.bround(v, 0)
-            v = v if numeric_out else v.cast("string")
+            v = v if numeric_out else plain_text(v)
             col = F.when(is_flag, s_out).otherwise(v)
         elif c.type == CATEGORICAL:
             idx = [i for i, _ in fs]

@@ -22,36 +22,38 @@ SQRT_2PI = math.sqrt(2.0 * math.pi)
 
 # ----------------------------------------------------------------- ROC/AUC
 def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(score, pos, neg) per distinct score (map-side combined)."""
+    """(score, pos, neg) per distinct score (map-side combined). A NULL score
+    or label is an error: leaving it out would change the curve."""
     y = F.col(label).cast("long")
-    return df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
+    known = F.when(F.col(score).isNull() | y.isNull(), F.raise_error(F.lit("a score or label is NULL")).cast("double")) \
+        .otherwise(F.col(score).cast("double"))
+    return df.groupBy(known.alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
 
 
-def _cumulative(df: DataFrame, score: str, label: str, n_buckets: int) -> DataFrame:
-    sc = score_counts(df, score, label)
-    return prefix_sums(sc, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets)
-
-
-def auc(df: DataFrame, score: str, label: str, n_buckets: int = 64) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, n_buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve (trapezoid on the full curve, i.e. the
     Mann-Whitney statistic with half weight for ties). One row ``auc``;
     NULL when a class is empty. Computed eagerly: the per-score counts are
-    aggregated once and persisted for the few small jobs of the prefix sum."""
-    from pyspark import StorageLevel
-    sc = score_counts(df, score, label).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        cum = prefix_sums(sc, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets)
-        # each distinct score adds neg/N * (tps_i + tps_{i-1}) / 2P
-        value = cum.agg(F.try_divide(F.sum(F.col("neg") * (2 * F.col("cum_pos") - F.col("pos"))),
-                                     2.0 * F.sum("pos") * F.sum("neg")).alias("auc")).first()["auc"]
-    finally:
-        sc.unpersist()
-    return df.sparkSession.createDataFrame([(value,)], "auc double")
+    written once for the few small jobs of the prefix sum; products are
+    doubles, as counts of 1e9 a class overflow a bigint."""
+    from tabaudit.session import cut_lineage
+    sc = cut_lineage(score_counts(df, score, label))
+    return auc_of_counts(sc, n_buckets)
+
+
+def auc_of_counts(sc: DataFrame, n_buckets: int | None = None) -> DataFrame:
+    """AUC from (score, pos, neg) rows."""
+    cum = prefix_sums(sc, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets)
+    # each distinct score adds neg/N * (tps_i + tps_{i-1}) / 2P
+    area = F.col("neg").cast("double") * (2 * F.col("cum_pos").cast("double") - F.col("pos"))
+    value = cum.agg(F.try_divide(F.sum(area), 2.0 * F.sum("pos").cast("double") * F.sum("neg").cast("double"))
+                    .alias("auc")).first()["auc"]
+    return sc.sparkSession.createDataFrame([(value,)], "auc double")
 
 
 def roc_curve(df: DataFrame, score: str, label: str, drop_collinear: bool = True,
-              n_buckets: int = 64) -> DataFrame:
+              n_buckets: int | None = None) -> DataFrame:
     """(fpr, tpr, threshold) at each distinct score, descending, plus
     the (0, 0) start with threshold max+1. ``drop_collinear`` removes points
     whose neighbours are collinear with them (keeps first and last)."""
@@ -59,11 +61,9 @@ def roc_curve(df: DataFrame, score: str, label: str, drop_collinear: bool = True
     # per-score counts feed several jobs below: materialise them once in the
     # shared checkpoint directory (bounded by the number of distinct scores)
     sc = cut_lineage(score_counts(df, score, label))
-    cum = prefix_sums(sc, "score", ["pos", "neg"], descending=True, n_buckets=n_buckets)
-    cum = prefix_sums(cum.withColumn("_one", F.lit(1)), "score", ["_one"], descending=True,
-                      n_buckets=n_buckets).withColumnRenamed("cum__one", "idx")
-    tot = cum.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                  F.max("score").alias("smax"), F.max("idx").alias("last"))
+    cum = cut_lineage(prefix_sums(sc.withColumn("_one", F.lit(1)), "score", ["pos", "neg", "_one"], descending=True,
+                                  n_buckets=n_buckets).withColumnRenamed("cum__one", "idx"))
+    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.max("score").alias("smax"))
     pts = cum.select("idx", "score", F.col("cum_pos").alias("tps"), F.col("cum_neg").alias("fps"))
     if drop_collinear:
         prev = pts.select((F.col("idx") + 1).alias("idx"), F.col("tps").alias("tp0"),
@@ -94,11 +94,20 @@ def normal_pdf(v: Column) -> Column:
     return F.exp(-(x * x) / F.lit(2.0)) / F.lit(SQRT_2PI)
 
 
+def aligned(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Rows matched by key; a row without a partner raises."""
+    j = left.withColumn("_in_l", F.lit(True)).join(right.withColumn("_in_r", F.lit(True)), on, "full")
+    both = F.col("_in_l").isNotNull() & F.col("_in_r").isNotNull()
+    return j.where(F.when(both, F.lit(True)).otherwise(F.raise_error(F.lit("a key is on one side only")).cast("boolean"))) \
+        .drop("_in_l", "_in_r")
+
+
 def kl_divergence(p: DataFrame, q: DataFrame, key: str, p_col: str = "p",
                   q_col: str = "q") -> DataFrame:
     """Sum of p*ln(p/q) where both are non-zero, row-aligned on ``key``
-    (an explicit key replaces array position). One row ``kl``."""
-    j = p.select(key, F.col(p_col).alias("_p")).join(q.select(key, F.col(q_col).alias("_q")), key)
+    (an explicit key replaces array position; a key on one side only is an
+    error). One row ``kl``."""
+    j = aligned(p.select(key, F.col(p_col).alias("_p")), q.select(key, F.col(q_col).alias("_q")), [key])
     term = F.when((F.col("_p") != 0) & (F.col("_q") != 0),
                   F.col("_p") * F.log(F.col("_p") / F.col("_q"))).otherwise(F.lit(0.0))
     return j.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("kl"))
@@ -150,7 +159,7 @@ def feature_distance(real: DataFrame, synth: DataFrame, spec: EncodingSpec, key:
                               for c in num_cols])
             return df.select(key, F.explode(pairs).alias("p")).select(
                 key, F.col("p.label").alias("label"), F.col("p.v").alias(side))
-        j = long(real, dt_r, "_p").join(long(synth, dt_s, "_q"), [key, "label"])
+        j = aligned(long(real, dt_r, "_p"), long(synth, dt_s, "_q"), [key, "label"])
         term = F.when((F.col("_p") != 0) & (F.col("_q") != 0),
                       F.col("_p") * F.log(F.col("_p") / F.col("_q"))).otherwise(F.lit(0.0))
         nd = j.groupBy("label").agg(F.sum(term).alias("distance"))
@@ -166,8 +175,7 @@ def feature_distance(real: DataFrame, synth: DataFrame, spec: EncodingSpec, key:
 def reconstruction_bce(target: DataFrame, output: DataFrame, key: str = "row_id",
                        x_col: str = "x", eps: float = 1e-12) -> DataFrame:
     """Mean over rows of sum_j BCE(target_j, output_j), aligned on key."""
-    j = target.select(key, F.col(x_col).alias("_y")).join(
-        output.select(key, F.col(x_col).alias("_o")), key)
+    j = aligned(target.select(key, F.col(x_col).alias("_y")), output.select(key, F.col(x_col).alias("_o")), [key])
     e = F.lit(eps)
     terms = F.zip_with("_y", "_o", lambda y, o: y * F.log(o + e) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - o + e))
     per_row = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)

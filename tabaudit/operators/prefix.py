@@ -22,7 +22,15 @@ from pyspark.sql import functions as F
 BUCKET = "_bucket"
 
 
-def _bucketize(df: DataFrame, key: str, n_buckets: int) -> DataFrame:
+#: Keys that one window task orders.
+BUCKET_KEYS = 100_000
+
+
+def _bucketize(df: DataFrame, key: str, n_buckets: int | None) -> DataFrame:
+    if n_buckets is None:
+        n_buckets = -(-df.count() // BUCKET_KEYS)
+    if n_buckets <= 1:
+        return df.withColumn(BUCKET, F.lit(0.0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, 10_000).alias("q")).first()["q"]
     splits = sorted(set(float(b) for b in (bounds or []) if b is not None))
@@ -36,9 +44,10 @@ def _bucketize(df: DataFrame, key: str, n_buckets: int) -> DataFrame:
 
 
 def prefix_sums(df: DataFrame, key: str, values: list[str], descending: bool = False,
-                n_buckets: int = 64, inclusive: bool = True, tiebreak: str | None = None) -> DataFrame:
+                n_buckets: int | None = None, inclusive: bool = True, tiebreak: str | None = None) -> DataFrame:
     """Add ``cum_<v>`` = running sum of each value column in key order
-    (ties on key ordered by ``tiebreak``). Returns all input columns."""
+    (ties on key ordered by ``tiebreak``). Returns all input columns. The number
+    of buckets follows the number of rows unless given."""
     b = _bucketize(df, key, n_buckets)
     order_key = F.col(key).desc() if descending else F.col(key).asc()
     bucket_order = F.col(BUCKET).desc() if descending else F.col(BUCKET).asc()
@@ -55,7 +64,7 @@ def prefix_sums(df: DataFrame, key: str, values: list[str], descending: bool = F
     return out
 
 
-def row_index(df: DataFrame, key: str, n_buckets: int = 64, name: str = "idx") -> DataFrame:
+def row_index(df: DataFrame, key: str, n_buckets: int | None = None, name: str = "idx") -> DataFrame:
     """1-based position of each row in ``key`` order (keys unique)."""
     out = prefix_sums(df.withColumn("_one", F.lit(1)), key, ["_one"], n_buckets=n_buckets)
     return out.withColumnRenamed("cum__one", name).drop("_one")

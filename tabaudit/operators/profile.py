@@ -6,14 +6,14 @@ Plan (two small jobs, rows never leave the executors):
 1. one ``agg`` over all columns at once (partial aggregation map-side):
    non-missing count, all-numeric flag, numeric min/max, max |v - rint(v)|,
    sentinel count, min/max of the text form and an HLL distinct estimate.
-2. only for columns whose distinct count can matter (estimate <= EXACT_LIMIT,
+2. only for columns whose distinct count can matter (estimate near max_uniq,
    or non-numeric text that becomes a category list), one
    ``groupBy(label, value).count()`` over an exploded (label, value) pair;
    map-side combine bounds the shuffle by distinct pairs per partition, so a
    value holding a third of all rows costs one row per map task.
 
 The driver receives at most (#columns x 9) numbers from job 1 and at most
-(#columns x max_categories) rows from job 2.
+the distinct values of text columns as rows from job 2.
 """
 
 from __future__ import annotations
@@ -28,14 +28,15 @@ from tabaudit.functions.predicates import (DEFAULT_SENTINEL, as_text,
                                            is_missing, is_numeric_cell,
                                            is_sentinel, missing_flag,
                                            numeric_value)
+from tabaudit.session import cut_lineage
 from tabaudit.spec import (BINARY, CATEGORICAL, CONSTANT, CONTINUOUS, COUNT,
                            ColumnSpec, EncodingSpec)
 
-# Columns whose HLL estimate exceeds this are certainly above max_uniq (the
-# estimate error (rsd 0.05) is far below that margin), so they need no
-# exact pass. A larger HLL (rsd 0.01) costs ~1,600 buffer words per column.
-EXACT_LIMIT = 1000
+# The distinct estimate has rsd 0.05: twice max_uniq is far beyond its error,
+# so that columns above need no exact pass.
 
+#: Categories of one column; its one-hot vector and the spec on the driver have as many entries.
+MAX_CATEGORIES = 100_000
 
 def feature_columns(df: DataFrame, row_id: str | None, columns: Iterable[str] | None = None):
     if columns is not None:
@@ -109,9 +110,7 @@ def _pass1(df: DataFrame, cols: list[str], sentinel, group_col: str | None = Non
         return out
     if group_col is None:
         return unpack(df.agg(*aggs).first())
-    rows = df.groupBy(group_col).agg(*aggs).limit(1025).collect()
-    if len(rows) > 1024:
-        raise ValueError(f"more than 1024 groups in {group_col!r}")
+    rows = df.groupBy(group_col).agg(*aggs).collect()     # one row a table of the stack
     return {r[group_col]: unpack(r) for r in rows}
 
 
@@ -145,8 +144,8 @@ def _decide_type(label, s, exact_n, overrides, max_uniq, max_diff) -> str:
     if o in (CATEGORICAL, CONTINUOUS, COUNT, CONSTANT, BINARY):
         return o
     n_uniq = exact_n
-    if n_uniq is None:      # estimate > EXACT_LIMIT: certainly > max_uniq
-        n_uniq = max_uniq + 1 + EXACT_LIMIT
+    if n_uniq is None:      # the estimate is far above max_uniq
+        n_uniq = max_uniq + 1
     if n_uniq == 1:
         return CONSTANT
     if n_uniq == 2:
@@ -158,8 +157,7 @@ def _decide_type(label, s, exact_n, overrides, max_uniq, max_diff) -> str:
 
 def profile(df: DataFrame, row_id: str | None = "row_id", columns=None,
             sentinel=DEFAULT_SENTINEL, overrides: dict[str, str] | None = None,
-            max_uniq: int = 10, max_diff: float = 1e-10,
-            max_categories: int = 10_000, _stats: dict | None = None) -> EncodingSpec:
+            max_uniq: int = 10, max_diff: float = 1e-10, max_categories: int = MAX_CATEGORIES, _stats: dict | None = None) -> EncodingSpec:
     """P6 + P7: infer the modal type of every column and collect metadata."""
     cols = feature_columns(df, row_id, columns)
     overrides = dict(overrides or {})
@@ -172,16 +170,18 @@ def profile(df: DataFrame, row_id: str | None = "row_id", columns=None,
         if s["n"] == 0 or s["tmin"] == s["tmax"]:
             continue
         candidate_cat = (not s["numeric"]) or overrides.get(c) == CATEGORICAL
-        if s["hll"] <= EXACT_LIMIT or (candidate_cat and overrides.get(c) not in (CONTINUOUS, COUNT)):
-            if candidate_cat and s["hll"] > max_categories * 1.05:
-                raise ValueError(
-                    f"column {c!r} has ~{s['hll']} distinct text values; more than "
-                    f"max_categories={max_categories} would be one-hot encoded")
+        # the estimate is off by some percent: counts are exact wherever max_uniq might not be passed
+        if s["hll"] <= 2 * max_uniq + 16 or (candidate_cat and overrides.get(c) not in (CONTINUOUS, COUNT)):
             exact_cols.append(c)
 
     counts: dict[str, list] = {c: [] for c in exact_cols}
     if exact_cols:
-        for r in value_counts(df, exact_cols, sentinel).collect():   # bounded, see docstring
+        found = cut_lineage(value_counts(df, exact_cols, sentinel))
+        for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect():     # one row a column
+            if r["n"] > max_categories:
+                raise ValueError(f"column {r['label']!r} has {r['n']} distinct values to one-hot encode; "
+                                 f"max_categories is {max_categories}")
+        for r in found.collect():   # at most max_categories a column
             counts[r["label"]].append((r["value"], bool(r["missing"]), r["n"]))
 
     specs = []
@@ -212,8 +212,6 @@ def profile(df: DataFrame, row_id: str | None = "row_id", columns=None,
                 counts[c] = [(r["value"], bool(r["missing"]), r["n"])
                              for r in value_counts(df, [c], sentinel).collect()]
             vals = sorted({v for v, _, _ in counts[c]}, key=lambda x: x.encode("utf-8"))
-            if len(vals) > max_categories:
-                raise ValueError(f"column {c!r}: {len(vals)} categories > max_categories")
             cs.unique = vals
         specs.append(cs)
     return EncodingSpec(specs, str(sentinel))

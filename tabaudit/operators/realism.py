@@ -55,36 +55,37 @@ def prepare_stacked(df: DataFrame, group_col: str, train=TRAIN, row_id: str = "r
                   scale_by=scale_by, group_col=group_col, group_ranges=ranges)
 
 
-CODEGEN_MAX_FIELDS = 100     # spark.sql.codegen.maxFields default
-
-
 def column_means(enc: Encoded, groups: dict[str, str]) -> DataFrame:
     """Mean of every encoded feature per group, long format
-    (feature, <one column per group>). One aggregate pass with partial
-    aggregation per task. Narrow encodings use conditional sums plus one
-    count per group (code-generated while the buffer stays under Spark's
-    codegen field limit); wide ones use MLlib's Summarizer grouped by table
-    (one vector buffer whatever d is)."""
-    x, g = F.col("x"), F.col(enc.group_col)
-    d = len(enc.features)
-    labels = F.array(*[F.lit(lbl) for lbl in enc.labels])
-    if len(groups) * (d + 1) <= CODEGEN_MAX_FIELDS:
-        aggs = []
-        for k, (v, name) in enumerate(groups.items()):
-            aggs += [F.sum(F.when(g == F.lit(v), x[i])).alias(f"s{k}_{i}") for i in range(d)]
-            aggs.append(F.sum(F.when(g == F.lit(v), F.lit(1))).alias(f"n{k}"))
-        one = enc.df.agg(*aggs).select(*[
-            F.array(*[F.try_divide(F.col(f"s{k}_{i}"), F.col(f"n{k}")) for i in range(d)]).alias(name)
-            for k, name in enumerate(groups.values())])
-    else:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-        from pyspark.ml.stat import Summarizer
-        per = (enc.df.filter(g.isin(list(groups)))
-               .groupBy(g.alias("_g")).agg(vector_to_array(Summarizer.mean(array_to_vector(x))).alias("m")))
-        one = per.agg(*[F.first(F.when(F.col("_g") == F.lit(v), F.col("m")), ignorenulls=True).alias(name)
-                        for v, name in groups.items()])
-    return one.select(F.posexplode(labels).alias("pos", "feature"), *groups.values()) \
-              .select("feature", *[F.col(n)[F.col("pos")].alias(n) for n in groups.values()])
+    (feature, <one column per group>). One pass in which every batch is added
+    up in NumPy and a task sends one row a feature and group, whatever the
+    number of features; undefined values are left out of sums and counts, and
+    a feature without a defined value in a group has a NULL mean."""
+    labels = list(enc.labels)
+    names = list(groups)
+    g = F.coalesce(*[F.when(F.col(enc.group_col) == F.lit(v), F.lit(i)) for i, v in enumerate(names)])
+
+    def add(batches):
+        import pandas as pd
+        total, seen = np.zeros((len(names), len(labels))), np.zeros((len(names), len(labels)), np.int64)
+        for pdf in batches:
+            if len(pdf):
+                x = np.vstack(pdf["x"].to_numpy()).astype(np.float64)
+                k = pdf["g"].to_numpy()
+                known = np.isfinite(x)
+                x = np.where(known, x, 0.0)
+                for i in range(len(names)):
+                    total[i] += x[k == i].sum(axis=0)
+                    seen[i] += known[k == i].sum(axis=0)
+        i, j = np.nonzero(seen)
+        yield pd.DataFrame({"g": i.astype(np.int32), "pos": j.astype(np.int32), "s": total[i, j], "n": seen[i, j]})
+
+    parts = enc.df.select(g.alias("g"), "x").where("g IS NOT NULL").mapInPandas(add, "g int, pos int, s double, n long")
+    per = parts.groupBy("pos").agg(*[
+        F.try_divide(F.sum(F.when(F.col("g") == i, F.col("s"))), F.sum(F.when(F.col("g") == i, F.col("n")))).alias(groups[v])
+        for i, v in enumerate(names)])
+    every = enc.df.sparkSession.createDataFrame(list(enumerate(labels)), "pos int, feature string")
+    return every.join(per, "pos", "left").select("feature", *groups.values())
 
 
 def univariate(real: Encoded, synth: Encoded) -> DataFrame:
@@ -113,14 +114,6 @@ def frequency_correlation(freq: DataFrame) -> DataFrame:
                     F.corr("real_test", "synth").alias("corr_test"))
 
 
-def pearson(df: DataFrame, a: str, b: str, name: str = "corr") -> DataFrame:
-    return df.agg(F.corr(a, b).alias(name))
-
-
-def _round(c: Column, digits: int | None) -> Column:
-    return F.round(c, digits) if digits is not None else c
-
-
 # ------------------------------------------------------ R4-R11: model fits
 import numpy as np  # noqa: E402
 from pyspark import StorageLevel  # noqa: E402

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.rand import hash_int, hash_uniform
+from tabaudit.operators.prefix import row_index
+from tabaudit.session import cut_lineage
 
 _H = "_h"
 
@@ -82,7 +84,7 @@ def split_proportional(synth: DataFrame, n_train: int, n_test: int, row_id: str
     return split_exact(synth, frac, row_id, seed, tag)
 
 
-def row_cap(df: DataFrame, k: int = 10_000, row_id: str = "row_id", seed=0,
+def row_cap(df: DataFrame, k: int, row_id: str = "row_id", seed=0,
             tag: str = "cap") -> DataFrame:
     """At most k rows, chosen without replacement by keyed hash."""
     hd = _with_hash(df, row_id, seed, tag)
@@ -90,24 +92,14 @@ def row_cap(df: DataFrame, k: int = 10_000, row_id: str = "row_id", seed=0,
     return df if pred is None else hd.filter(pred).drop(_H)
 
 
-def poisson_thresholds(lam: float = 1.0, kmax: int = 20) -> list[float]:
-    """CDF of Poisson(lam) at 0..kmax (multiplicity = #thresholds <= u)."""
-    out, p, acc = [], math.exp(-lam), 0.0
-    for k in range(kmax + 1):
-        acc += p
-        out.append(acc)
-        p *= lam / (k + 1)
-    return out
-
-
 def bootstrap(df: DataFrame, row_id: str = "row_id", seed=0, tag: str = "boot") -> DataFrame:
-    """Sampling with replacement as a Poisson(1) bootstrap: each row is
-    repeated m ~ Poisson(1) times, m drawn by inverse CDF from a keyed
-    uniform. Partition-independent; expected size n. Adds ``copy`` 1..m."""
-    u = hash_uniform(seed, tag, F.col(row_id))
-    m = None
-    for t in poisson_thresholds():
-        term = F.when(u >= F.lit(t), F.lit(1)).otherwise(F.lit(0))
-        m = term if m is None else m + term
-    return (df.withColumn("_m", m).filter(F.col("_m") > 0)
-              .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_m")))).drop("_m"))
+    """Exactly n rows drawn with replacement. Every row makes one draw: a
+    keyed uniform names a position in row_id order, and the row there is
+    repeated once for each draw that names it. Adds ``copy`` 1..m. Draws are
+    counted before the join, so a row's copies are made at the end."""
+    placed = cut_lineage(row_index(df, row_id, name="_at"))
+    n = placed.count()
+    drawn = placed.select((F.floor(hash_uniform(seed, tag, F.col(row_id)) * F.lit(float(n))) + 1).cast("long").alias("_at")) \
+        .groupBy("_at").agg(F.count(F.lit(1)).alias("_m"))
+    hit = placed.join(drawn, "_at")
+    return hit.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int")))).select(*df.columns, "copy")

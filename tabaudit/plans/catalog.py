@@ -252,7 +252,8 @@ def split_proportional(spark, sf):
 
 @query("row_cap")
 def row_cap(spark, sf):
-    return D.row_cap(_cohort(spark, sf), 10_000, "row_id", seed=X.SEED).select("row_id")
+    c = _cohort(spark, sf)
+    return D.row_cap(c, c.count() // 3, "row_id", seed=X.SEED).select("row_id")
 
 
 @query("bootstrap")
@@ -262,9 +263,7 @@ def bootstrap(spark, sf):
 
 @query("union_rows")
 def union_rows(spark, sf):
-    r = _roles(spark, sf)
-    st = R.stack({"train": r["train"], "test": r["test"]}, "role")
-    return st.select("row_id", "role")
+    return R.stack(_roles(spark, sf), "role").select("row_id", "role")
 
 
 @query("sorted_distinct")
@@ -296,19 +295,30 @@ def uniform_bits(spark, sf):
 
 # ----------------------------------------------------------------- R12-R19
 from tabaudit.operators import metrics as M  # noqa: E402
+from tabaudit.operators.prefix import row_index  # noqa: E402
 
 
-def _test_and_restored(spark, sf):
-    spec = _spec(spark, sf)
-    test = _roles(spark, sf)["test"]
-    return spec, test, E.decode(E.encode(test, spec, "row_id"))
+def _ranked(spark, sf):
+    """Test rows and, by rank, the synthetic rows they are compared with
+    (ranks start anew when synthetic rows run out); numbers standardised by
+    the test rows, keyed by rank."""
+    r = _roles(spark, sf)
+    test, synth = row_index(r["test"], "row_id", name="rk"), row_index(r["synth"], "row_id", name="rk")
+    n = synth.count()
+    st = r["test"].agg(*[f(c).alias(f"{k}_{c}") for c in ("count", "continuous") for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+
+    def scaled(df):
+        return df.withColumns({c: (F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"] for c in ("count", "continuous")})
+    ranks = test.select(F.col("rk").alias("to"), ((F.col("rk") - 1) % n + 1).alias("rk"))
+    partner = ranks.join(synth, "rk").drop("rk", "row_id").withColumnRenamed("to", "row_id")
+    return scaled(test.drop("row_id").withColumnRenamed("rk", "row_id")), scaled(partner)
 
 
 @query("kl_divergence")
 def kl_divergence(spark, sf):
-    _, test, rest = _test_and_restored(spark, sf)
+    test, synth = _ranked(spark, sf)
     p = test.select("row_id", M.normal_pdf(F.col("count")).alias("p"))
-    qq = rest.select("row_id", M.normal_pdf(F.col("count")).alias("q"))
+    qq = synth.select("row_id", M.normal_pdf(F.col("count")).alias("q"))
     return M.kl_divergence(p, qq, "row_id").select(r6(F.col("kl")).alias("kl"))
 
 
@@ -327,8 +337,8 @@ def categorical_distance(spark, sf):
 
 @query("feature_distance")
 def feature_distance(spark, sf):
-    spec, test, rest = _test_and_restored(spark, sf)
-    out = M.feature_distance(test, rest, spec, "row_id")
+    test, synth = _ranked(spark, sf)
+    out = M.feature_distance(test, synth, _spec(spark, sf), "row_id")
     return out.select("label", "type", r6(F.col("distance")).alias("distance"))
 
 
@@ -524,10 +534,12 @@ def train_test_comparison(spark, sf):
 
 @query("constant_outcome_guard")
 def constant_outcome_guard(spark, sf):
+    """R8 on each table's outcome, and on the train rows of either class."""
     xy = _split_xy_all(spark, sf)
-    return (xy.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
-              .select("role", "n", "n_pos",
-                      ((F.col("n_pos") == 0) | (F.col("n_pos") == F.col("n"))).alias("constant")))
+    arms = {r: xy.where(F.col("role") == r) for r in ("train", "test", "synth")}
+    arms |= {f"train_{y}": arms["train"].where(F.col("y") == y) for y in (0, 1)}
+    rows = [(arm, bool(R.constant_outcome(df))) for arm, df in arms.items()]
+    return spark.createDataFrame(rows, "arm string, constant boolean")
 
 
 def _split_xy_all(spark, sf):
@@ -550,6 +562,17 @@ def generate_copula(spark, sf):
     return gen.wide(DIGITS)
 
 
+@query("generator_fidelity")
+def generator_fidelity(spark, sf):
+    """Every category, bit and missing flag that train rows have: whether the
+    generated share is within 0.02 of the train share."""
+    enc, gen = _copula(spark, sf)
+    numbers = {i for i, f in enumerate(enc.features) if f.role == "value" and f.source in ("count", "continuous")}
+    labels = [f for i, f in enumerate(enc.labels) if i not in numbers]
+    out = R.univariate(enc, gen).where(F.col("feature").isin(labels) & (F.col("real") > 0))
+    return out.select("feature", (F.abs(F.col("real") - F.col("synth")) <= 0.02).alias("ok"))
+
+
 @query("generate_restore")
 def generate_restore(spark, sf):
     _, gen = _copula(spark, sf)

@@ -163,7 +163,6 @@ UNION ALL
 SELECT 'feature_frequency', 'corr_test', round_even(corr(real_test, synth), 2) FROM freq""")
 
 # ----------------------------------------------------------------- D1-D5, X
-from tabaudit.operators.sample import poisson_thresholds  # noqa: E402
 from tabaudit.plans.sqlparts import H, nn_sql, vec  # noqa: E402
 
 oracle("split_exact", f"""
@@ -191,15 +190,15 @@ SELECT row_id, CASE WHEN rn <= round_even(n_s * (CAST(n_tr AS DOUBLE) / (n_tr +
 oracle("row_cap", f"""
 SELECT row_id FROM (SELECT o_orderkey AS row_id,
        row_number() OVER (ORDER BY {H(str(SEED), q('cap'), 'o_orderkey')}, o_orderkey) AS rn FROM orders)
-WHERE rn <= 10000""")
+WHERE rn <= (SELECT count(*) // 3 FROM orders)""")
 
-_M = " + ".join(f"(CASE WHEN u >= {t!r} THEN 1 ELSE 0 END)" for t in poisson_thresholds())
 oracle("bootstrap", f"""
-WITH m AS (SELECT row_id, {_M} AS m FROM (SELECT o_orderkey AS row_id,
-             {U(str(SEED), q('boot'), 'o_orderkey')} AS u FROM orders))
-SELECT row_id, CAST(unnest(generate_series(1, m)) AS INTEGER) AS copy FROM m WHERE m > 0""")
+WITH r AS (SELECT o_orderkey AS row_id, row_number() OVER (ORDER BY o_orderkey) AS at, count(*) OVER () AS n FROM orders),
+d AS (SELECT CAST(floor({U(str(SEED), q('boot'), 'row_id')} * n) AS BIGINT) + 1 AS at FROM r),
+m AS (SELECT at, count(*) AS m FROM d GROUP BY at)
+SELECT row_id, CAST(unnest(generate_series(1, m)) AS INTEGER) AS copy FROM r JOIN m USING (at)""")
 
-oracle("union_rows", with_(COHORT) + "SELECT row_id, role FROM cohort WHERE role IN ('train', 'test')")
+oracle("union_rows", with_(COHORT) + "SELECT row_id, role FROM cohort")
 
 oracle("sorted_distinct", with_(COHORT, """v AS (UNPIVOT (SELECT constant, tier, categorical, priority FROM cohort)
     ON constant, tier, categorical, priority INTO NAME label VALUE value)""",
@@ -227,10 +226,17 @@ def PDF(x: str) -> str:
 
 KL_TERM = "CASE WHEN p <> 0 AND q <> 0 THEN p * ln(p / q) ELSE 0.0 END"
 
-oracle("kl_divergence", with_(*BASE, enc_cte("enc", "own"), RESTORED) + f"""
+#: Test rows with the synthetic row of the same rank (ranks start anew when synthetic rows run out), standardised.
+RANKED = """te0 AS (SELECT *, row_number() OVER (ORDER BY row_id) AS rk FROM cohort WHERE role = 'test'),
+sy0 AS (SELECT *, row_number() OVER (ORDER BY row_id) AS rk, count(*) OVER () AS n FROM cohort WHERE role = 'synth'),
+st AS (SELECT avg("count") AS m1, stddev_samp("count") AS s1, avg(continuous) AS m2, stddev_samp(continuous) AS s2 FROM te0),
+te AS (SELECT rk AS row_id, constant, tier, categorical, priority, ("count" - m1) / s1 AS "count", (continuous - m2) / s2 AS continuous FROM te0, st),
+rt AS (SELECT te0.rk AS row_id, s.constant, s.tier, s.categorical, s.priority, (s."count" - m1) / s1 AS "count", (s.continuous - m2) / s2 AS continuous
+       FROM te0 JOIN sy0 s ON s.rk = (te0.rk - 1) % s.n + 1, st)"""
+
+oracle("kl_divergence", with_(COHORT, RANKED) + f"""
 SELECT {R6(f'coalesce(sum({KL_TERM}), 0.0)')} AS kl FROM (
-  SELECT {PDF('c."count"')} AS p, {PDF('r."count"')} AS q
-  FROM cohort c JOIN restored r ON c.row_id = r.row_id WHERE c.role = 'test')""")
+  SELECT {PDF('te."count"')} AS p, {PDF('rt."count"')} AS q FROM te JOIN rt USING (row_id))""")
 
 oracle("normal_pdf", with_(COHORT) + f'SELECT row_id, round({PDF(chr(34) + "count" + chr(34))}, 9) AS pdf FROM cohort')
 
@@ -251,9 +257,7 @@ oracle("categorical_distance", with_(COHORT, "te AS (SELECT * FROM cohort WHERE
                                      "sy AS (SELECT * FROM cohort WHERE role = 'synth')", _catdist("te", "sy"))
        + f"SELECT label, {R6('distance')} AS distance FROM cd")
 
-oracle("feature_distance", with_(*BASE, enc_cte("enc", "own"), RESTORED,
-                                 "te AS (SELECT * FROM cohort WHERE role = 'test')",
-                                 "rt AS (SELECT * FROM restored WHERE role = 'test')",
+oracle("feature_distance", with_(COHORT, RANKED,
                                  _catdist("te", "rt"),
                                  f"""nd AS (SELECT label, sum({KL_TERM}) AS distance FROM (
    SELECT 'count' AS label, {PDF('te."count"')} AS p, {PDF('rt."count"')} AS q FROM te JOIN rt USING (row_id)
@@ -372,11 +376,13 @@ SELECT o_orderkey AS row_id, 'helloworld' AS constant,
 FROM orders""")
 
 # ---------------------------------------------------------------- R8, S1
-oracle("constant_outcome_guard", with_(*BASE, enc_cte("enc", "own")) + """
-SELECT role, count(*) AS n, CAST(sum(CAST(round_even("tier__tier", 0) AS INTEGER)) AS BIGINT) AS n_pos,
-       (sum(CAST(round_even("tier__tier", 0) AS INTEGER)) = 0
-        OR sum(CAST(round_even("tier__tier", 0) AS INTEGER)) = count(*)) AS constant
-FROM enc GROUP BY role""")
+oracle("constant_outcome_guard", with_(COHORT) + """
+SELECT role AS arm, count(DISTINCT tier) <= 1 AS constant FROM cohort GROUP BY role
+UNION ALL SELECT 'train_0', TRUE UNION ALL SELECT 'train_1', TRUE""")
+
+_BITS = [x for x in ENC_LABELS if x not in ("count", "continuous")]
+oracle("generator_fidelity", with_(*BASE, enc_cte("enc", "own")) + " UNION ALL ".join(
+    f"SELECT {q(x)} AS feature, TRUE AS ok FROM enc WHERE role = 'train' HAVING avg({dq(x)}) > 0" for x in _BITS))
 
 oracle("file_roundtrip", with_(COHORT) + 'SELECT row_id, constant, tier, categorical, priority, "count", continuous FROM cohort')
 

@@ -54,7 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in tests / local runs where nothing is configured.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        # tests and local runs in one process
         configured = tempfile.mkdtemp(prefix="tabaudit-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

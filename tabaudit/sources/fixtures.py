@@ -30,37 +30,11 @@ FEATURES = ["constant", "tier", "categorical", "priority", "count", "continuous"
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet table; ``columns`` are projected before anything else so the
-    scan reads (and a small cached copy holds) only those columns."""
+    scan reads only those columns."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     if columns:
         df = df.select(*columns)
-    return balanced(df)
-
-
-# A scan this small is kept in memory once it has been spread out.
-CACHE_LIMIT_BYTES = 512 * 1024 * 1024
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster has cores
-    (e.g. one file with one row group, which cannot be split) so the
-    per-row work before the first shuffle is not single-task. Such a table
-    is small by construction; when the optimizer's size estimate is below
-    CACHE_LIMIT_BYTES it is also persisted, because the analyses read their
-    inputs several times (profile, ranges, encode). Large inputs already have
-    enough splits and are returned unchanged (never cached)."""
-    from pyspark import StorageLevel
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:       # no JVM handle (e.g. a Connect session): leave as is
-        return df
-    out = df.repartition(target)
-    if size <= CACHE_LIMIT_BYTES:
-        out = out.persist(StorageLevel.MEMORY_AND_DISK)
-    return out
+    return df
 
 
 def cohort(spark: SparkSession, sf_dir: str, with_role: bool = True) -> DataFrame:

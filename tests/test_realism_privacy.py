@@ -129,11 +129,20 @@ def test_wide_fallback_paths_agree(spark, monkeypatch):
     assert np.allclose(np.r_[m_newton.w, m_newton.b], np.r_[m_mllib.w, m_mllib.b], atol=2e-2)
 
 
-def test_column_means_summarizer_path(spark, monkeypatch):
+def test_column_means_of_wide_and_undefined_features(spark):
+    """One path for all widths: means leave undefined values out, and a
+    feature without a defined value has no mean."""
     rng = np.random.default_rng(12)
-    df = matrix_df(spark, (rng.random((200, 5)) < 0.4).astype(float))
-    a = {r["feature"]: r for r in R.feature_frequency(df, df, df).collect()}
-    monkeypatch.setattr(R, "CODEGEN_MAX_FIELDS", 0)
-    b = {r["feature"]: r for r in R.feature_frequency(df, df, df).collect()}
-    assert a.keys() == b.keys()
-    assert all(math.isclose(a[k]["synth"], b[k]["synth"], abs_tol=1e-12) for k in a)
+    x = (rng.random((60, 1200)) < 0.4).astype(float)
+    x[:30, 3], x[:, 7] = np.nan, np.nan
+    df = spark.createDataFrame([(i, "ab"[i % 2], v.tolist()) for i, v in enumerate(x)], "row_id long, g string, x array<double>")
+
+    class Wide:
+        labels, group_col = [f"f{i}" for i in range(1200)], "g"
+    Wide.df = df
+    got = {r["feature"]: (r["m"], r["n"]) for r in R.column_means(Wide, {"a": "m", "b": "n"}).collect()}
+    for i in range(1200):
+        for k in (0, 1):
+            own = x[k::2, i][np.isfinite(x[k::2, i])]
+            assert (got[f"f{i}"][k] is None) == (len(own) == 0)
+            assert len(own) == 0 or math.isclose(got[f"f{i}"][k], own.mean(), abs_tol=1e-12)

@@ -117,6 +117,20 @@ def test_copula_generates_n_rows_in_unit_box(spark):
     assert restored.count() == 500 and set(restored.columns) == set(df.columns)
 
 
+def test_copula_keeps_the_shares_of_the_table(spark):
+    rows = [(i, "XYZ"[(i * 7) % 10 // 4], "-999999" if i % 250 == 0 else float(i % 97), "B" if i % 5 == 0 else "A") for i in range(4000)]
+    df = spark.createDataFrame([(i, c, str(n), b) for i, c, n, b in rows], "row_id long, c string, n string, b string")
+    spec = P.profile(df, "row_id")
+    enc = E.encode(df, spec, "row_id")
+    gen = E.decode(enc.with_df(G.sample_copula(spark, G.fit_copula(enc), 20000, seed=5)))
+    for col in ("c", "b"):
+        want = {r[col]: r["count"] / 4000 for r in df.groupBy(col).count().collect()}
+        got = {r[col]: r["count"] / 20000 for r in gen.groupBy(col).count().collect()}
+        assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 0.02 for k in want)
+    missing = gen.where("n = '-999999'").count()
+    assert 40 <= missing <= 140      # 0.4 % of the rows
+
+
 def test_streaming_encode_matches_batch(spark):
     from tabaudit.streaming.encode_stream import encode_stream, running_frequency
     df = multimodal(spark, 100)
