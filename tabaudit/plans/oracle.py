@@ -193,10 +193,10 @@ SELECT row_id FROM (SELECT o_orderkey AS row_id,
 WHERE rn <= (SELECT count(*) // 3 FROM orders)""")
 
 oracle("bootstrap", f"""
-WITH r AS (SELECT o_orderkey AS row_id, row_number() OVER (ORDER BY o_orderkey) AS at, count(*) OVER () AS n FROM orders),
-d AS (SELECT CAST(floor({U(str(SEED), q('boot'), 'row_id')} * n) AS BIGINT) + 1 AS at FROM r),
-m AS (SELECT at, count(*) AS m FROM d GROUP BY at)
-SELECT row_id, CAST(unnest(generate_series(1, m)) AS INTEGER) AS copy FROM r JOIN m USING (at)""")
+WITH r AS (SELECT o_orderkey AS row_id, row_number() OVER (ORDER BY o_orderkey) AS place, count(*) OVER () AS n FROM orders),
+d AS (SELECT CAST(floor({U(str(SEED), q('boot'), 'row_id')} * n) AS BIGINT) + 1 AS place FROM r),
+m AS (SELECT place, count(*) AS m FROM d GROUP BY place)
+SELECT row_id, CAST(unnest(generate_series(1, m)) AS INTEGER) AS copy FROM r JOIN m USING (place)""")
 
 oracle("union_rows", with_(COHORT) + "SELECT row_id, role FROM cohort")
 
@@ -257,7 +257,7 @@ oracle("categorical_distance", with_(COHORT, "te AS (SELECT * FROM cohort WHERE
                                      "sy AS (SELECT * FROM cohort WHERE role = 'synth')", _catdist("te", "sy"))
        + f"SELECT label, {R6('distance')} AS distance FROM cd")
 
-oracle("feature_distance", with_(COHORT, RANKED,
+oracle("feature_distance", with_(*BASE, RANKED,
                                  _catdist("te", "rt"),
                                  f"""nd AS (SELECT label, sum({KL_TERM}) AS distance FROM (
    SELECT 'count' AS label, {PDF('te."count"')} AS p, {PDF('rt."count"')} AS q FROM te JOIN rt USING (row_id)
@@ -380,7 +380,7 @@ oracle("constant_outcome_guard", with_(COHORT) + """
 SELECT role AS arm, count(DISTINCT tier) <= 1 AS constant FROM cohort GROUP BY role
 UNION ALL SELECT 'train_0', TRUE UNION ALL SELECT 'train_1', TRUE""")
 
-_BITS = [x for x in ENC_LABELS if x not in ("count", "continuous")]
+_BITS = [x for x in ENC_LABELS if x not in ("count__count", "continuous__continuous")]
 oracle("generator_fidelity", with_(*BASE, enc_cte("enc", "own")) + " UNION ALL ".join(
     f"SELECT {q(x)} AS feature, TRUE AS ok FROM enc WHERE role = 'train' HAVING avg({dq(x)}) > 0" for x in _BITS))
 
