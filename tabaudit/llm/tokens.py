@@ -17,6 +17,7 @@ which may start a contraction).
 
 from __future__ import annotations
 
+import gc
 from itertools import chain
 from operator import itemgetter
 
@@ -24,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces of a generation of a worker's cache (two generations, some 200 MB).
-CACHE_PIECES = 500_000
+#: Pieces of a worker's cache (some 200 MB); a full cache starts anew.
+CACHE_PIECES = 1_000_000
 #: Fixed value: ASCII punctuation but the apostrophe.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Fixed value: white space.
@@ -53,7 +54,6 @@ class WordCachedTokenizer:
         self.mark = self.separator.strip(" ")
         self.mark_id, = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.cache: dict[str, bytes | None] = {}  # None: a text with this piece is encoded whole
-        self.older: dict[str, bytes | None] = {}
 
     def _pieces(self, text: str) -> list[str]:
         if self.keeps_space:
@@ -70,13 +70,8 @@ class WordCachedTokenizer:
         if not new:
             return
         if len(self.cache) + len(new) > CACHE_PIECES:
-            self.older = self.cache
-            self.cache = {}
-            new = pieces
-        cache, older = self.cache, self.older
-        back = new.intersection(older)
-        cache.update(zip(back, [older[p] for p in back]))
-        new = new - back
+            self.cache = {p: self.cache[p] for p in pieces.difference(new)}
+        cache = self.cache
         # pieces with a tail, and (where the library lowers case) pieces that others spell in lower case
         parts = [(p, c) for p in new if (c := p.rstrip(_PUNCTUATION)) != p and c and c[-1].isalnum() and c != _HEAD]
         whole = new.difference([p for p, _ in parts])
@@ -124,7 +119,17 @@ class WordCachedTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id; texts are taken together, so
-        callers pass a bounded amount of text."""
+        callers pass a bounded amount of text. The garbage collector rests
+        meanwhile: the many short lists here hold no cycles."""
+        running = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode_all(texts)
+        finally:
+            if running:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._pieces(t) if _TAIL not in t else [] for t in texts]
         self._learn(set(chain.from_iterable(cut)))
         known, out = self.cache, []
