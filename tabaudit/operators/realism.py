@@ -117,11 +117,9 @@ def frequency_correlation(freq: DataFrame) -> DataFrame:
 # ------------------------------------------------------ R4-R11: model fits
 import numpy as np  # noqa: E402
 from pyspark import StorageLevel  # noqa: E402
-from pyspark.ml.classification import (LogisticRegression,  # noqa: E402
-                                       MultilayerPerceptronClassifier)
+from pyspark.ml.classification import MultilayerPerceptronClassifier  # noqa: E402
 from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
 
-from tabaudit.functions.rand import hash_uniform  # noqa: E402
 from tabaudit.operators.encode import split_outcome  # noqa: E402
 from tabaudit.operators.metrics import auc as _auc  # noqa: E402
 from tabaudit.operators.metrics import roc_curve as _roc  # noqa: E402
@@ -132,26 +130,16 @@ def _vectors(xy: DataFrame) -> DataFrame:
                      array_to_vector(F.col("x")).alias("features"))
 
 
-def fit_effects(xy: DataFrame, C: float = 1.0, max_iter: int = 1000, tol: float = 1e-10):
+def fit_effects(xy: DataFrame, C: float = 1.0, max_iter: int = 100, tol: float = 1e-13):
     """L2 logistic regression with an unpenalised intercept (sklearn's
-    lbfgs objective  0.5||w||^2 + C * sum(logloss)). Newton (one aggregate
-    per step) up to NEWTON_MAX_DIM features, else MLlib L-BFGS with
-    regParam = 1/(n*C)."""
+    lbfgs objective  0.5||w||^2 + C * sum(logloss)) by Newton steps, one
+    aggregate each. A constant outcome has no finite fit: all effects are NaN."""
     d = xy.select(F.size("x").alias("d")).first()["d"]
-    if d + 1 <= NEWTON_MAX_DIM:
-        x1 = xy.select("row_id", "y", F.concat(F.col("x"), F.array(F.lit(1.0))).alias("x"))
-        beta = newton_logistic(x1, [0.0] * (d + 1), [1.0 / C] * d + [0.0], 100, 1e-13)
-        return beta[:-1], beta[-1]
-    data = _vectors(xy).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = data.count()
-        lr = LogisticRegression(regParam=1.0 / (n * C), elasticNetParam=0.0,
-                                standardization=False, fitIntercept=True,
-                                maxIter=max_iter, tol=tol)
-        m = lr.fit(data)
-        return list(m.coefficients.toArray()), float(m.intercept)
-    finally:
-        data.unpersist()
+    if constant_outcome(xy):
+        return [float("nan")] * d, float("nan")
+    x1 = xy.select("row_id", "y", F.concat(F.col("x"), F.array(F.lit(1.0))).alias("x"))
+    beta = newton_logistic(x1, [0.0] * (d + 1), [1.0 / C] * d + [0.0], max_iter, tol)
+    return beta[:-1], beta[-1]
 
 
 def _scale_vec(v: list[float]) -> list[float]:
@@ -194,37 +182,19 @@ class LinearModel:
         return xy.select("row_id", "y", (F.lit(1.0) / (F.lit(1.0) + F.exp(-(dot + F.lit(self.b))))).alias("p"))
 
 
-def _dot(x, w: list[float]):
-    """x . w as a flat arithmetic expression (code-generated) for modest d;
-    higher-order functions (interpreted per row) only for very wide x."""
-    if len(w) <= 512:
-        out = F.lit(0.0)
-        for i, v in enumerate(w):
-            if v != 0.0:
-                out = out + x[i] * F.lit(float(v))
-        return out
-    wl = F.array(*[F.lit(float(v)) for v in w])
-    return F.aggregate(F.zip_with(x, wl, lambda a, c: a * c), F.lit(0.0), lambda s, t: s + t)
-
-
-NEWTON_MAX_DIM = 2048      # d x d partial sums per batch stay small
-
-
 def _newton_stats(data: DataFrame, beta: list[float]):
     """One pass: log-loss at beta, A = sum w x x^T and b = sum (w*eta + y - p) x
-    with p = sigmoid(x.beta), w = p(1-p). Every Arrow batch is reduced to one
-    partial row with NumPy (mapInPandas); the partial rows are summed by
-    MLlib's Summarizer in two levels, so no single task receives more than
-    ~64 partial rows per group."""
+    with p = sigmoid(x.beta), w = p(1-p). Every task adds its batches up with
+    NumPy and sends one row for each row of A (from its diagonal on) and one
+    for the loss and b; they are summed by row number with partial sums, the
+    same for any width. The driver gets d + 1 rows."""
     from pyspark.ml.stat import Summarizer
     d = len(beta)
     bvec = np.asarray(beta, dtype=float)
-    iu = np.triu_indices(d)
 
     def partial(batches):
         import pandas as pd
-        acc = np.zeros(1 + len(iu[0]) + d)
-        seen = False
+        A, b, loss, seen = np.zeros((d, d)), np.zeros(d), 0.0, False
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -234,23 +204,21 @@ def _newton_stats(data: DataFrame, beta: list[float]):
             eta = X @ bvec
             p = 1.0 / (1.0 + np.exp(-eta))
             w = p * (1.0 - p)
-            loss = np.logaddexp(0.0, eta) - y * eta
-            A = (X * w[:, None]).T @ X
-            acc[0] += loss.sum()
-            acc[1:1 + len(iu[0])] += A[iu]
-            acc[1 + len(iu[0]):] += X.T @ (w * eta + y - p)
+            loss += (np.logaddexp(0.0, eta) - y * eta).sum()
+            A += (X * w[:, None]).T @ X
+            b += X.T @ (w * eta + y - p)
         if seen:
-            yield pd.DataFrame({"s": [acc.tolist()]})
+            yield pd.DataFrame({"i": np.arange(d + 1, dtype=np.int32),
+                                "s": [*[A[i, i:].tolist() for i in range(d)], [loss, *b.tolist()]]})
 
-    parts = data.select("y", "x").mapInPandas(partial, "s array<double>")
-    level1 = (parts.groupBy((F.spark_partition_id() % F.lit(64)).alias("g"))
-                   .agg(Summarizer.sum(array_to_vector(F.col("s"))).alias("v")))
-    total = level1.agg(Summarizer.sum(F.col("v")).alias("v")).first()["v"]
-    t = total.toArray()
+    rows = (data.select("y", "x").mapInPandas(partial, "i int, s array<double>").groupBy("i")
+            .agg(Summarizer.sum(array_to_vector(F.col("s"))).alias("v")).collect())
+    total = {r["i"]: r["v"].toArray() for r in rows}
     A = np.zeros((d, d))
-    A[iu] = t[1:1 + len(iu[0])]
+    for i in range(d):
+        A[i, i:] = total[i]
     A = A + np.triu(A, 1).T
-    return float(t[0]), A, t[1 + len(iu[0]):]
+    return float(total[d][0]), A, total[d][1:]
 
 
 def _penalised_quadratic(A, b, l1, l2, start, tol=1e-13, max_sweeps=10_000):
@@ -294,40 +262,22 @@ def newton_logistic(xy: DataFrame, l1: list[float], l2: list[float], max_iter: i
                 beta = (beta + prev_beta) / 2                  # damped step
                 continue
             if prev_obj is not None and abs(prev_obj - obj) <= tol * max(1.0, abs(obj)):
-                break
+                return list(beta)
             prev_obj, prev_beta = obj, beta
             beta = _penalised_quadratic(A, b, l1v, l2v, beta)
-        return list(beta)
+        raise RuntimeError(f"no convergence in {max_iter} steps")
     finally:
         data.unpersist()
 
 
-def fit_lr_l1(xy: DataFrame, C: float = 1.0, max_iter: int = 100, tol: float = 1e-12,
-              seed: int = 0) -> LinearModel:
+def fit_lr_l1(xy: DataFrame, C: float = 1.0, max_iter: int = 100, tol: float = 1e-12) -> LinearModel:
     """L1 logistic regression whose intercept is penalised too (the
     liblinear objective  ||w||_1 + C * sum(logloss)), by proximal Newton
-    (one aggregate per step, usually < 10 steps). Above NEWTON_MAX_DIM
-    features it falls back to MLlib's OWL-QN."""
+    (one aggregate per step, usually < 10 steps)."""
     d = xy.select(F.size("x").alias("d")).first()["d"] + 1
     x1 = xy.select("row_id", "y", F.concat(F.col("x"), F.array(F.lit(1.0))).alias("x"))
-    if d <= NEWTON_MAX_DIM:
-        beta = newton_logistic(x1, [1.0 / C] * d, [0.0] * d, max_iter, tol)
-        return LinearModel(beta[:-1], beta[-1])
-    # MLlib ignores zero-variance features: mirror half the rows (x -> -x,
-    # y -> 1-y, loss unchanged) so the constant column has variance
-    flip = hash_uniform(seed, "flip", F.col("row_id")) < F.lit(0.5)
-    xf = F.when(flip, F.transform(F.col("x"), lambda v: -v)).otherwise(F.col("x"))
-    yf = F.when(flip, F.lit(1) - F.col("y")).otherwise(F.col("y"))
-    data = x1.select(yf.cast("double").alias("label"), array_to_vector(xf).alias("features")) \
-             .persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = data.count()
-        lr = LogisticRegression(regParam=1.0 / (n * C), elasticNetParam=1.0, standardization=False,
-                                fitIntercept=False, maxIter=1000, tol=1e-6)
-        coef = list(lr.fit(data).coefficients.toArray())
-    finally:
-        data.unpersist()
-    return LinearModel(coef[:-1], coef[-1])
+    beta = newton_logistic(x1, [1.0 / C] * d, [0.0] * d, max_iter, tol)
+    return LinearModel(beta[:-1], beta[-1])
 
 
 class MLPModel:
@@ -358,20 +308,30 @@ def constant_outcome(xy: DataFrame) -> bool:
     return r["lo"] is None or r["lo"] == r["hi"]
 
 
+class ScoredArm(dict):
+    """The scores of an arm; its 'roc' and 'auc' are made when asked for."""
+
+    def __missing__(self, key: str) -> DataFrame:
+        if key not in ("roc", "auc"):
+            raise KeyError(key)
+        self[key] = (_roc if key == "roc" else _auc)(self["scores"], "p", "y")
+        return self[key]
+
+
 def validate_prediction(train_xy: DataFrame, test_xy: DataFrame, model_type: str = "lr",
                         n_epoch: int = 5, seed: int = 0) -> dict | None:
-    """Fit on one table, score the other: {'scores', 'roc', 'auc'}; None
+    """Fit on one table, score the other: {'scores', 'roc', 'auc'}, the curves only if asked for; None
     when the training outcome is constant (reference behaviour)."""
     if constant_outcome(train_xy):
         return None
     if model_type == "lr":
-        model = fit_lr_l1(train_xy, seed=seed)
+        model = fit_lr_l1(train_xy)
     elif model_type == "mlp":
         model = fit_mlp(train_xy, n_epoch=n_epoch, seed=seed)
     else:
         raise ValueError(model_type)
     scores = model.score(test_xy)
-    return {"scores": scores, "roc": _roc(scores, "p", "y"), "auc": _auc(scores, "p", "y")}
+    return ScoredArm(scores=scores)
 
 
 def gan_train(synth_xy, real_xy, **kw):

@@ -93,3 +93,18 @@ def test_reconstruction_bce(spark):
 def test_threshold_accuracy(spark):
     df = spark.createDataFrame([(0.1, 0), (0.6, 1), (0.5, 0), (0.4, 1)], "p double, y int")
     assert M.threshold_accuracy(df, "p", "y").first()["accuracy"] == 75.0
+
+
+def test_auc_of_billions_of_rows_a_class(spark):
+    counts = spark.createDataFrame([(0.1, 10 ** 9, 3 * 10 ** 9), (0.9, 3 * 10 ** 9, 10 ** 9)], "score double, pos long, neg long")
+    assert abs(M.auc_of_counts(counts).first()["auc"] - 0.75) < 1e-9
+
+
+def test_null_scores_and_unmatched_keys_raise(spark):
+    import pytest
+    df = spark.createDataFrame([(0.5, 1), (None, 0), (0.2, 0)], "s double, y int")
+    with pytest.raises(Exception, match="NULL"):
+        M.auc(df, "s", "y")
+    p = spark.createDataFrame([(1, 0.5), (2, 0.5)], "k long, p double")
+    with pytest.raises(Exception, match="one side only"):
+        M.kl_divergence(p, p.where("k = 1").withColumnRenamed("p", "q"), "k").collect()

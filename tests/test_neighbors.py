@@ -94,3 +94,46 @@ def test_custom_metric(spark):
     df = vecs(spark, [[0, 0], [1, 0], [3, 0]])
     out = {r["row_id"]: r["dist"] for r in N.nearest_neighbors(df, None, "l4").collect()}
     assert math.isclose(out[0], 1.0) and math.isclose(out[2], 2.0)
+
+
+def _nn(spark, rows, other=None, metric="euclidean", kind="long"):
+    a = spark.createDataFrame(rows, f"row_id {kind}, x array<double>")
+    b = None if other is None else spark.createDataFrame(other, f"row_id {kind}, x array<double>")
+    return {r["row_id"]: r["dist"] for r in N.nearest_neighbors(a, b, metric, block_rows=3).collect()}
+
+
+def test_undefined_rows_are_null_and_no_candidates(spark):
+    nan = float("nan")
+    got = _nn(spark, [(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [nan, 0.0]), (4, [None, 1.0]), (5, [0.0, 1.0])])
+    assert got[1] == 1.0 and got[5] == 1.0 and got[3] is None and got[4] is None
+    got = _nn(spark, [(1, [1.0, 0.0]), (2, [0.0, 0.0])], [(1, [0.0, 0.0]), (2, [2.0, 0.0])], "cosine")
+    assert abs(got[1]) < 1e-12 and got[2] is None
+    assert _nn(spark, [(1, [1.0])]) == {1: None}
+
+
+def test_large_offsets_are_exact(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = 1e8 + rng.random((200, 3))
+    got = _nn(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert all(abs(got[i] - d[i].min()) <= 1e-9 for i in range(200))
+
+
+def test_any_id_type_and_repeated_ids(spark):
+    import pytest
+    assert _nn(spark, [("a", [0.0]), ("b", [2.0])], kind="string") == {"a": 2.0, "b": 2.0}
+    with pytest.raises(Exception, match="repeat"):
+        _nn(spark, [(1, [0.0]), (1, [2.0]), (2, [5.0])])
+
+
+def test_vectorised_metrics_match_pairs(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (40, 6)).astype(float)
+    for metric in ("hamming", "cityblock", "chebyshev"):
+        got = _nn(spark, [(i, v.tolist()) for i, v in enumerate(x)], metric=metric)
+        for i in range(40):
+            others = np.delete(x, i, 0)
+            assert abs(got[i] - N.pair_distance(np.repeat(x[i:i + 1], 39, 0), others, metric).min()) < 1e-12

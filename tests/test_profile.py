@@ -142,3 +142,17 @@ def test_overrides(spark):
     spec = P.profile(one_col(spark, [str(i) for i in range(20)]), "row_id",
                      overrides={"v": "categorical"})
     assert spec["v"].type == "categorical" and len(spec["v"].unique) == 20
+
+
+def test_typed_columns_are_profiled(spark):
+    import datetime
+    rows = [(i, datetime.datetime(2024, 1, 1 + i % 20), i % 2 == 0, i % 3 == 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, ts timestamp, flag boolean, other boolean")
+    types = {c.label: c.type for c in P.profile(df, "row_id").columns}
+    assert types == {"ts": "categorical", "flag": "binary", "other": "binary"}
+
+
+def test_many_numbers_below_max_uniq_are_categories(spark):
+    df = spark.createDataFrame([(i, i % 3000) for i in range(6000)], "row_id long, n long")
+    assert P.profile(df, "row_id", max_uniq=5000).columns[0].type == "categorical"
+    assert P.profile(df, "row_id", max_uniq=10).columns[0].type == "count"
