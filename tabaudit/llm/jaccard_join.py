@@ -6,8 +6,8 @@ pairs of a group of near copies:
 
 1. Sets. Each text becomes its set of 64-bit shingle hashes; texts with equal
    sets are one node from then on, known by a digest of the set.
-2. Order. Tokens have one global order: those held by many sets come last
-   (counted over all sets), all others by their hash. Two linked sets share a
+2. Order. Tokens have one global order: those held by more than a few sets come
+   last, rarer ones first (counted over all sets), all others by their hash. Two linked sets share a
    token among the first |A| - ceil(0.8 |A|) + 1 of each, its prefix.
 3. Groups. The smallest set of those that hold a prefix token is their leader;
    a set that shares enough of its prefix with the leader that most of its
@@ -44,8 +44,8 @@ SHINGLE = 5
 #: Least similarity in percent.
 PERCENT = 80
 #: A token is frequent if more sets than this hold it; frequent tokens come last in the order.
-FREQUENT = 40
-#: Frequent tokens that are told to the tasks (8 bytes each): the most frequent ones. Others stay in hash order,
+FREQUENT = 8
+#: Frequent tokens that are told to the tasks (12 bytes each): the most frequent ones. Others stay in hash order,
 #: which changes the work and not the result.
 MAX_FREQUENT = 1_000_000
 #: Share of its prefix tokens, in percent, that a set shares with the leader whose group it joins.
@@ -152,9 +152,9 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 
 def frequent_keys(texts: DataFrame, n_tokens: int, bits: int, frequent: int = FREQUENT, limit: int = MAX_FREQUENT,
-                  k: int = SHINGLE) -> np.ndarray:
-    """Keys that more than ``frequent`` sets hold, sorted; at most ``limit``,
-    the most frequent first. All sets are counted: a task sends every range of
+                  k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sets) of the keys that more than ``frequent`` sets hold, sorted
+    by key; at most ``limit``, the most frequent ones. All sets are counted: a task sends every range of
     the hash one sorted array. Tokens of the upper half of the hash space are
     hardly ever in a prefix and left out."""
     top = np.uint64(1) << np.uint64(63)
@@ -189,21 +189,26 @@ def frequent_keys(texts: DataFrame, n_tokens: int, bits: int, frequent: int = FR
         return pd.DataFrame({"token": (int(key[0]) << 32) + t[first][many].astype(np.int64), "n": total[many]})
 
     counted = texts.mapInArrow(send, "r long, t binary, n binary").groupBy("r").applyInPandas(count, "token long, n long")
-    rows = counted.orderBy(F.desc("n"), "token").limit(limit).select("token").toPandas()
-    return np.sort(rows["token"].to_numpy(np.int64).astype(np.uint64))
+    rows = counted.orderBy(F.desc("n"), "token").limit(limit).toPandas()
+    keys, n = rows["token"].to_numpy(np.int64).astype(np.uint64), rows["n"].to_numpy(np.int64).astype(np.int32)
+    order = np.argsort(keys)
+    return keys[order], n[order]
 
 
-def prefix(tokens: np.ndarray, often: np.ndarray, bits: int, percent: int = PERCENT) -> np.ndarray:
+def prefix(tokens: np.ndarray, often: tuple[np.ndarray, np.ndarray], bits: int, percent: int = PERCENT) -> np.ndarray:
     """The first tokens of a sorted set in the global order."""
-    if len(often):
+    held, count = often
+    if len(held):
         keys = token_keys(tokens, bits)
-        last = often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] == keys
-        tokens = np.concatenate((tokens[~last], tokens[last]))
+        at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+        last = held[at] == keys
+        later = np.lexsort((tokens[last], count[at[last]]))
+        tokens = np.concatenate((tokens[~last], tokens[last][later]))
     return tokens[:prefix_length(len(tokens), percent)]
 
 
 # -------------------------------------------------------------------- prefix runs
-def prefix_runs(texts: DataFrame, often: np.ndarray, bits: int, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+def prefix_runs(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], bits: int, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """(run, w, nid, n, leader, leader_n): the sets that share a prefix token,
     with the smallest of them as leader. Runs of one set are left out, and of
     runs with the same sets in one range one is kept, with their number w.
@@ -393,6 +398,7 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
             .select(F.col("sig").alias("a"), "b").where("a != b"))
     group = known.select("nid", "sig", "n").join(components(star), "sig", "left").withColumn("group", F.coalesce("label", "sig"))
     sizes = group.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / chunk_tokens)).alias("chunks"))
+    sizes = materialize(sizes, "join-sizes")
     group = materialize(group.join(sizes, "group").select("nid", "sig", "n", F.concat(
         "group", F.lit("/").cast("binary"), F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("string").cast("binary")).alias("gid")), "join-groups")
     chunk = group.groupBy(F.col("gid").alias("g")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))

@@ -107,7 +107,7 @@ def test_prefixes_of_similar_sets_meet_often_enough():
         base = rng.choice(10 ** 6, n + 30, replace=False).astype(np.uint64) << np.uint64(40)
         a = np.sort(base[:n])
         b = np.sort(np.concatenate((base[int(rng.integers(0, max(1, n // 5))):n], base[n:n + int(rng.integers(0, max(1, n // 6)))])))
-        often = np.sort(rng.choice(base, 10, replace=False)) >> np.uint64(32)
+        often = np.sort(rng.choice(base, 10, replace=False)) >> np.uint64(32), rng.integers(9, 12, 10)
         if J.similar(a, b):
             shared = len(np.intersect1d(J.prefix(a, often, 0), J.prefix(b, often, 0)))
             overlap = -(-80 * (len(a) + len(b)) // 180)
