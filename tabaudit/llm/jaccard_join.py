@@ -50,6 +50,8 @@ FREQUENT = 8
 MAX_FREQUENT = 1_000_000
 #: Share of its prefix tokens, in percent, that a set shares with the leader whose group it joins.
 LIKELY = 30
+#: Rounds in which groups join larger groups that share their tokens.
+GATHER_ROUNDS = 2
 #: Sets and tokens of a chunk of a group, and of a block of queries that one task compares with it.
 CHUNK_SETS, CHUNK_TOKENS = 1024, 2_000_000
 #: Tokens that one task counts or groups.
@@ -396,7 +398,11 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     names = known.select("nid", "sig")
     star = (best.join(names, "nid").join(names.select(F.col("nid").alias("leader"), F.col("sig").alias("b")), "leader")
             .select(F.col("sig").alias("a"), "b").where("a != b"))
-    group = known.select("nid", "sig", "n").join(components(star), "sig", "left").withColumn("group", F.coalesce("label", "sig"))
+    group = known.select("nid", "sig", "n").join(components(star), "sig", "left").select(
+        "nid", "sig", "n", F.coalesce("label", "sig").alias("group"))
+    weights = materialize(runs.groupBy("run", "nid").agg(F.sum("w").alias("w")), "join-weights")
+    for _ in range(GATHER_ROUNDS):
+        group = gather_groups(weights, materialize(group, "join-gathered"), percent, likely)
     sizes = group.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / chunk_tokens)).alias("chunks"))
     sizes = materialize(sizes, "join-sizes")
     group = materialize(group.join(sizes, "group").select("nid", "sig", "n", F.concat(
@@ -405,7 +411,6 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     chunk = materialize(chunk, "join-chunks")
 
     # the matrix: a row for a token (a run) and a chunk; a set asks the chunks that it shares tokens with
-    weights = runs.groupBy("run", "nid").agg(F.sum("w").alias("w"))
     placed = materialize(weights.join(group, "nid").drop("nid"), "join-placed")
     matrix = placed.select("run", F.col("gid").alias("g")).distinct()
     shared = (placed.join(matrix, "run").groupBy("sig", "gid", "g").agg(F.sum("w").alias("c"), F.max("n").alias("n")))
@@ -433,6 +438,25 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def gather_groups(weights: DataFrame, group: DataFrame, percent: int, likely: int) -> DataFrame:
+    """Let each group join the larger group with which it shares most prefix
+    tokens, if they are enough: near copies whose rare tokens have different
+    leaders come together. A token stands for the largest group that holds it,
+    so that the rows are those of ``weights`` (run, nid, w)."""
+    sizes = group.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum(
+        F.col("n") - F.ceil(percent * F.col("n") / 100) + 1).alias("prefix"))
+    sizes = materialize(sizes, "join-group-sizes")
+    held = materialize(weights.join(group.select("nid", "group"), "nid").join(sizes, "group").groupBy("run", "group").agg(
+        F.sum("w").alias("w"), F.max("members").alias("members"), F.max("prefix").alias("prefix")), "join-held")
+    largest = held.groupBy("run").agg(F.max(F.struct("members", "group")).alias("top"))
+    meets = held.join(largest, "run").where(
+        (F.col("members") < F.col("top.members")) | ((F.col("members") == F.col("top.members")) & (F.col("group") < F.col("top.group"))))
+    best = (meets.groupBy("group", F.col("top.group").alias("to")).agg(F.sum("w").alias("c"), F.max("prefix").alias("prefix"))
+            .where(F.col("c") * 100 >= likely * F.col("prefix")).groupBy("group").agg(F.max(F.struct("c", "to"))["to"].alias("to")))
+    label = components(best.select(F.col("group").alias("a"), F.col("to").alias("b"))).withColumnRenamed("sig", "group")
+    return group.join(label, "group", "left").select("nid", "sig", "n", F.coalesce("label", "group").alias("group"))
+
+
 def shared_needed(a, b, percent: int = PERCENT):
     """Prefix tokens that linked sets of a and b tokens share at least. Of the
     two prefixes one ends first in the global order; common tokens up to there
