@@ -53,7 +53,7 @@ LIKELY = 30
 #: Rounds in which groups join larger groups that share their tokens.
 GATHER_ROUNDS = 2
 #: Sets and tokens of a chunk of a group, and of a block of queries that one task compares with it.
-CHUNK_SETS, CHUNK_TOKENS = 1024, 2_000_000
+CHUNK_SETS, CHUNK_TOKENS = 4096, 2_000_000
 #: Tokens that one task counts or groups.
 RANGE_TOKENS = 2_000_000
 #: Rows (16 bytes each) up to which the ids of compared documents are broadcast.
