@@ -39,15 +39,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of every component of similar documents: the one with
-    the smallest doc_id. Documents without words are linked with nothing and
-    stay; of rows that repeat that id one stays."""
+    the smallest doc_id (NULL after all others), then the smallest hash of id
+    and text, so that of different texts that repeat an id each component keeps
+    its own. Documents without words are linked with nothing and stay; of rows
+    that repeat an id and its text one stays."""
     ship_package(spark)
-    classes = jaccard_join.similarity_components(docs)
-    # component ids are doc_ids: the ids that stand for their component stay
-    keep = classes.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    # a hash of id and text names a row; rows that repeat both are one
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.coalesce(F.concat(F.lit("="), "text"), F.lit(""))))
+    sets = materialize(jaccard_join.set_table(docs, "doc_id", "text", key=key), "stage-sets")
+    classes = jaccard_join.similarity_classes(docs, sets)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+    of_set = sets.where(F.col("sig").isNotNull()).groupBy("sig").agg(first)
+    of_class = of_set.join(classes.select("sig", "class"), "sig").groupBy("class").agg(F.min("first").alias("first"))
+    wordless = sets.where(F.col("sig").isNull()).select(F.col("key").alias("_keep_key"), F.col("doc_id").isNull().alias("_keep_each")).distinct()
+    keep = of_class.select(F.col("first.key").alias("_keep_key"), F.lit(False).alias("_keep_each")).unionByName(wordless)
     keep = materialize(keep, "stage-keep")
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    # documents with neither id nor words are not known to be the same: each is a row of its own
+    named = docs.withColumn("_keep_row", F.monotonically_increasing_id()).withColumn("_keep_name", key)
+    kept = named.join(keep, F.col("_keep_name") == F.col("_keep_key")).withColumn("_keep_row", F.when(F.col("_keep_each"), F.col("_keep_row")))
+    return kept.dropDuplicates(["_keep_name", "_keep_row"]).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

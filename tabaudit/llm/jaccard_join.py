@@ -99,20 +99,20 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def set_table(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, sig): sig is NULL for an empty set."""
+def set_table(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, key=None) -> DataFrame:
+    """(doc_id, n_shingles, sig): sig is NULL for an empty set. With ``key``, a
+    string expression of ``docs``, it comes along as a column of that name."""
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
             sizes, sigs = [], []
             for s in shingle_sets(batch.column(1), k):
                 sizes.append(len(s))
                 sigs.append(digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())],
-                                             names=["doc_id", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), *batch.columns[2:]],
+                                             names=["doc_id", "n_shingles", "sig", *batch.schema.names[2:]])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, sig binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([] if key is None else [key.alias("key")]))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, sig binary" + (", key string" if key is not None else ""))
 
 
 def _fresh_sets(batches, k: int):
@@ -378,6 +378,17 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     one; a NULL doc_id counts only where its component has no other id. Other
     columns are not read; an empty table gives an empty result."""
     sets = materialize(set_table(docs, doc_id, text, k), "join-sets")
+    classes = similarity_classes(docs, sets, doc_id, text, k, percent, frequent, chunk_sets, chunk_tokens, likely)
+    out = sets.join(classes, "sig", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def similarity_classes(docs: DataFrame, sets: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
+                       percent: int = PERCENT, frequent: int = FREQUENT, chunk_sets: int = CHUNK_SETS,
+                       chunk_tokens: int = CHUNK_TOKENS, likely: int = LIKELY) -> DataFrame:
+    """(sig, class, component_id) of every set in ``sets``, the set_table of
+    ``docs``: class is the least digest reachable by links, which tells
+    components apart where ids are NULL or repeated."""
     nodes = sets.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     n_tokens = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     texts = docs.select(F.col(text).alias("text"))
@@ -431,11 +442,10 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     label = components(links)
     named = known.select("sig", "doc_id").join(label, "sig")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(least, "label").select("sig", "component_id")
-    alone = nodes.join(linked, "sig", "left").select("sig", F.coalesce("component_id", "doc_id").alias("component_id"))
-    classes = materialize(alone, "join-classes")
-    out = sets.join(classes, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    linked = named.join(least, "label").select("sig", "label", "component_id")
+    alone = nodes.join(linked, "sig", "left").select("sig", F.coalesce("label", "sig").alias("class"),
+                                                     F.coalesce("component_id", "doc_id").alias("component_id"))
+    return materialize(alone, "join-classes")
 
 
 def gather_groups(weights: DataFrame, group: DataFrame, percent: int, likely: int) -> DataFrame:

@@ -4,7 +4,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as C
 from tabaudit.llm import langid, packing, toxicity
 from tests.conftest import SF001
-from tests.llm.helpers import clashing, crc
+from tests.llm.helpers import clashing, crc, docs
 from tests.llm.test_decontaminate import brute as brute_windows
 from tests.llm.test_jaccard_join import brute as brute_components
 
@@ -62,3 +62,14 @@ def test_stages_take_awkward_tables(spark):
             rows = [tuple(r) for r in out.collect()]
             assert {r[0] for r in rows} <= {r[0] for r in data}
         assert C.packing_stage(spark, spark.createDataFrame(data, schema), SF001).count() >= len(data)
+
+
+def test_near_duplicates_keep_a_row_of_every_component(spark):
+    """Ids that are NULL or repeated lose no component."""
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(20)) for w in ("ash", "elm", "oak", "fir"))
+    rows = [(None, one), (None, two), (None, two + " more"), (1, three), (1, four), (2, three), (2, four + " more"), (3, two), (3, two),
+            (None, ""), (None, ""), (None, None), (4, None), (4, ""), (4, "")]
+    df = docs(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    expect = [(1, four), (1, three), (3, two), (4, ""), (4, None), (None, ""), (None, ""), (None, None), (None, one)]
+    got = [(r.doc_id, r.text) for r in C.near_duplicate_stage(spark, df.repartition(7), SF001).collect()]
+    assert sorted(got, key=repr) == sorted(expect, key=repr)
