@@ -9,7 +9,8 @@
    intersected with it. Both are run as one deterministic automaton over
    (trie node, edits) sets, built as words need it, so that nearly all words
    leave it after a few characters. Digits and signs that stand for letters are
-   folded first; a masked letter counts as an edit.
+   folded first; a masked letter counts as an edit, and so do two swapped ones.
+   Words that clean texts hold at least as often are no misspellings.
 3. Context: in a window around each match the scorer looks for quotation marks
    on both sides and for further matches; quoted matches are features of their
    own, so that a text that quotes an insult differs from one that hurls it.
@@ -41,7 +42,7 @@ MAX_TOXIC, MAX_CLEAN = 4000, 6000
 MIN_TEXTS, MIN_LOG_ODDS, MAX_CHANCE = 4, 2.0, 1e-7
 MAX_ENTRIES = 5000
 STEM_SIZES = range(3, 9)
-#: Whole words of this many letters or more may differ by one edit.
+#: Whole words of this many letters or more may differ by one edit, those of one letter less by a masked or doubled one.
 FUZZY_LETTERS = 5
 WINDOW_WORDS = 8
 THRESHOLD = 0.3
@@ -50,7 +51,7 @@ THRESHOLD = 0.3
 FOLD = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 #: Quotation marks.
 QUOTES = "\"'“”„«»‘’‹›`"
-_TOKEN = re.compile(r"\w+(?:[@$!|*]+\w+)*")
+_TOKEN = re.compile(r"[@$!|]?\w+(?:[@$!|*]+\w+)*")
 _MIXED = re.compile(r"[0-9@$!|*]")
 
 
@@ -58,7 +59,7 @@ class LexiconAutomaton:
     """Trie of words (whole) and stems (prefixes), intersected with the
     Levenshtein automaton of at most one edit."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], fuzzy: set[str] | None = None):
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.child: list[dict[str, int]] = [{}]
         self.word: list[float] = [0.0]
         self.stem: list[float] = [0.0]
@@ -78,7 +79,7 @@ class LexiconAutomaton:
                     node = self.child[node][c]
                     path.append(node)
                 weights[node] = weight
-                if group is words and len(text) >= FUZZY_LETTERS and (fuzzy is None or text in fuzzy):
+                if group is words and len(text) >= FUZZY_LETTERS:
                     self.fuzzy_ends.add(node)
                     for p in path:
                         self.fuzzy[p] = True
@@ -147,7 +148,7 @@ class LexiconAutomaton:
 class ToxicityModel:
     words: dict[str, float]
     stems: dict[str, float]
-    fuzzy: set[str] | None = None  # words that may be misspelled: those without near misses in clean texts; None: all
+    clean: set[str] = field(default_factory=set)  # near misses of lexicon words that are words of clean texts
     coef: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES))
     bias: float = -4.0
     mean: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES))
@@ -164,11 +165,31 @@ N_FEATURES = 7
 MEMO_WORDS = 500_000
 
 
+def variants(words: dict[str, float]) -> dict[str, float]:
+    """Misspellings that are not one edit of Levenshtein's: two neighbours
+    swapped; and of words a letter too short for edits a masked or a doubled
+    letter. The first letter is taken as written."""
+    out: dict[str, float] = {}
+    for w, weight in words.items():
+        places = range(1, len(w))
+        if len(w) >= FUZZY_LETTERS:
+            made = [w[:i] + w[i + 1] + w[i] + w[i + 2:] for i in places if i + 1 < len(w)]
+        elif len(w) == FUZZY_LETTERS - 1:
+            made = [w[:i] + "*" + w[i + 1:] for i in places] + [w[:i] + w[i] + w[i:] for i in places]
+        else:
+            made = []
+        for v in made:
+            out[v] = max(weight, out.get(v, 0.0))
+    return out
+
+
 class Scanner:
     """Features of texts under a lexicon."""
 
     def __init__(self, model: ToxicityModel):
-        self.automaton = LexiconAutomaton(model.words, model.stems, model.fuzzy)
+        self.automaton = LexiconAutomaton(model.words, model.stems)
+        self.variants = variants(model.words)
+        self.clean = model.clean
         self.plain: set[str] = set()
         self.hits: dict[str, tuple[float, int]] = {}
 
@@ -179,17 +200,24 @@ class Scanner:
         for t in new:
             if t in self.hits:
                 continue
-            word = t
-            if _MIXED.search(t) and not t.isdigit():
-                word = t.translate(FOLD)
-            weight, kind = self.automaton.match(word)
-            if weight and kind != 2 and word != t:
-                kind = 2
-            if weight:
+            weight, kind = self._match(t)
+            if weight and not (kind == 2 and t in self.clean):
                 self.hits[t] = (weight, kind)
             else:
                 self.plain.add(t)
 
+    def _match(self, t: str) -> tuple[float, int]:
+        word = t
+        if _MIXED.search(t) and not t.isdigit():
+            word = t.translate(FOLD)
+        weight, kind = self.automaton.match(word)
+        if not weight:
+            weight, kind = self.variants.get(word, 0.0), 2
+        if weight:
+            return weight, kind if word == t else 2
+        # a sign before the word may stand for no letter
+        return self._match(t[1:]) if t[0] in "@$!|" else (0.0, 1)
+
     def features(self, text: str) -> tuple[np.ndarray, list[tuple[str, int, float, int, bool]]]:
         """(features, matches (token, place, weight, kind, quoted))."""
         low = text.lower()
@@ -305,8 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     model = ToxicityModel(words, stems)
     spark = sample.sparkSession
     if words:
-        near = _near_misses(sample.where("toxic = 0"), model).distinct().limit(20 * MAX_ENTRIES).collect()
-        model.fuzzy = {w for w in words if not any(_one_edit(w, r["token"]) for r in near)}
+        model.clean = _clean_words(sample, model)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -335,19 +362,25 @@ def _one_edit(a: str, b: str) -> bool:
     return a[i:] == b[i + 1:] if len(a) < len(b) else a[i + 1:] == b[i + 1:]
 
 
-def _near_misses(clean: DataFrame, model: ToxicityModel) -> DataFrame:
-    shared = clean.sparkSession.sparkContext.broadcast(model)
+def _clean_words(sample: DataFrame, model: ToxicityModel) -> set[str]:
+    """Tokens of the sample that match as misspellings and that clean texts
+    hold, outside quotations, at least as often as toxic ones."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scanner = Scanner(shared.value)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                scanner.features(t or "")
-        found = [t for t, (_, kind) in scanner.hits.items() if kind == 2]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["token"])
-
-    return clean.select("text").mapInArrow(run, "token string")
+            found = [(t, y) for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                     for t in {t for t, _, _, kind, quoted in scanner.features(text or "")[1] if kind == 2 and not quoted}]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())],
+                                             names=["token", "toxic"])
+
+    toxic = F.sum("toxic").alias("t")
+    n = sample.agg(toxic, F.sum(1 - F.col("toxic")).alias("c")).first()
+    seen = sample.select("text", "toxic").mapInArrow(run, "token string, toxic int").groupBy("token").agg(toxic, F.sum(1 - F.col("toxic")).alias("c"))
+    # at most the near misses of a bounded sample
+    rows = seen.where((F.col("c") > 0) & (F.col("c") * F.lit(n["t"]) >= F.col("t") * F.lit(n["c"]))).select("token").collect()
+    return {r["token"] for r in rows}
 
 
 def _fit_logistic(model: ToxicityModel, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> None:

@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tabaudit.llm import toxicity as X
 from tests.conftest import SF01
@@ -55,6 +56,14 @@ def test_features_know_spelling_and_quotation():
     assert s.features("A clean text.")[1] == [] and s.features("")[1] == []
 
 
+def test_swapped_masked_and_signed_misspellings():
+    s = X.Scanner(X.ToxicityModel({"idiot": 5.0, "disgusting": 4.0, "scum": 3.0, "stupid": 2.0, "clown": 1.0}, {}, {"clowns", "scam"}))
+    said = {m[0]: m[2] for m in s.features("idoit disgsuting sc*m scuum $cum $tupid @idiot !$tupid clowns clwon cl0wn scam scan")[1]}
+    assert said == {"idoit": 5.0, "disgsuting": 4.0, "sc*m": 3.0, "scuum": 3.0, "$cum": 3.0, "$tupid": 2.0, "@idiot": 5.0, "clwon": 1.0, "cl0wn": 1.0}
+    assert s.features("an $tupid remark")[1][0][:2] == ("$tupid", 1)
+    assert s.features("it costs $100 @home !now |x")[1] == []
+
+
 def labelled(spark):
     rng = np.random.default_rng(5)
     pool = [f"w{a}{b}ord" for a in "abcdefgh" for b in "ijklmnop"]
@@ -81,6 +90,18 @@ def test_learns_and_scores_awkward_rows(spark):
     assert by[1] >= X.THRESHOLD and by[None] >= X.THRESHOLD and max(by[2], by[3], by[4]) < X.THRESHOLD
 
 
+def test_a_clean_near_miss_leaves_the_other_misspellings(spark):
+    """A clean text with 'clowns' takes that word out, not what else looks like 'clown'."""
+    d, labels = labelled(spark)
+    first = next(i for i in range(1, 400) if i % 5 and zlib.crc32(str(i).encode()) % 4 != 2)
+    text = F.replace(F.replace("text", F.lit("blockhead"), F.lit("clown")), F.lit("nitwitted"), F.lit("loser"))
+    d = d.withColumn("text", F.when(F.col("doc_id") == first, F.concat(F.lit('two clowns played, "clownn" was said '), text)).otherwise(text))
+    model = X.fit(d, labels)
+    assert "clown" in model.words and not model.stems and model.clean == {"clowns"}
+    s = X.Scanner(model)
+    assert [m[0] for m in s.features("clowns clwon clownn cl0wn clowwn")[1]] == ["clwon", "clownn", "cl0wn", "clowwn"]
+
+
 def test_labels_of_the_held_out_quarter_are_not_read(spark):
     d, labels = labelled(spark)
     sample, stands_for = X.draw_sample(d, labels)
