@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabaudit.llm import decontaminate, html_extract, jaccard_join, langid, packing, sharding, token_files, topk, toxicity, warc
+from tabaudit.llm import collocations, decontaminate, html_extract, jaccard_join, langid, merkle, packing, sharding, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_html_extract": html_extract.op9_html_extract,
     "op10_topk": topk.op10_topk,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLE = {
@@ -22,4 +24,6 @@ ORACLE = {
     "op3_sharding": sharding.oracle_sql(),
     "op6_warc": warc.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_merkle": merkle.ORACLE,
 }
