@@ -145,6 +145,39 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+# -------------------------------------------------------------- task sums
+class Tally:
+    """Sums of counts by hash; ``part`` is a function of the hash."""
+
+    def __init__(self):
+        self.h, self.part, self.n, self.rows = [], [], [], 0
+
+    def add(self, h: np.ndarray, part: np.ndarray, n: np.ndarray | None = None) -> None:
+        if len(h):
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            first = np.nonzero(np.concatenate(([True], h[1:] != h[:-1])))[0]
+            total = np.diff(np.append(first, len(h))) if n is None else np.add.reduceat(n[order], first)
+            self.h.append(h[first])
+            self.part.append(part[order[first]])
+            self.n.append(total)
+            self.rows += len(first)
+
+    def compact(self) -> None:
+        if len(self.h) < 2:
+            return
+        h, part, n = np.concatenate(self.h), np.concatenate(self.part), np.concatenate(self.n)
+        self.__init__()
+        self.add(h, part, n)
+
+    def take(self):
+        """(hash, part, count) arrays of all so far; starts anew."""
+        self.compact()
+        out = (self.h[0], self.part[0], self.n[0]) if self.h else None
+        self.__init__()
+        return out
+
+
 # ------------------------------------------------------------ range numbers
 def range_numbers(df: DataFrame, key: str, n: int, out: str, samples_per_range: int = 64) -> DataFrame:
     """Add the number (from 0) of the key range a row belongs to. The bounds
