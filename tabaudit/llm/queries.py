@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabaudit.llm import collocations, decontaminate, html_extract, jaccard_join, langid, merkle, packing, sharding, token_files, topk, toxicity, warc
+from tabaudit.llm import collocations, decontaminate, html_extract, jaccard_join, langid, maxent_lm, merkle, packing, sharding, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_html_extract": html_extract.op9_html_extract,
     "op10_topk": topk.op10_topk,
+    "op11_maxent_lm": maxent_lm.op11_maxent_lm,
     "op12_collocations": collocations.op12_collocations,
     "op13_merkle": merkle.op13_merkle,
 }
