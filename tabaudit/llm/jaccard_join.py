@@ -19,7 +19,10 @@ pairs of a group of near copies:
    bounds its similarity to every member; a chunk that qualifies is opened, and
    the overlaps with all its members come from the chunk's inverted index.
    Links that join sets which are joined already are not emitted, so that a
-   chunk sends back a forest and not all pairs.
+   chunk sends back a forest and not all pairs. Members of a chunk are compared
+   first, and those of a group of several chunks with the group's commonest
+   leader: sets that this joins need no comparing over the group's chunks, as
+   their component is known, and only the others ask there.
 5. Components of all links, by label propagation with pointer jumping.
 
 Step 4 verifies on whole sets, so the result is exact up to equal 64-bit hashes.
@@ -416,28 +419,47 @@ def similarity_classes(docs: DataFrame, sets: DataFrame, doc_id: str = "doc_id",
         group = gather_groups(weights, materialize(group, "join-gathered"), percent, likely)
     sizes = group.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("n") / chunk_tokens)).alias("chunks"))
     sizes = materialize(sizes, "join-sizes")
-    group = materialize(group.join(sizes, "group").select("nid", "sig", "n", F.concat(
+    group = materialize(group.join(sizes, "group").select("nid", "sig", "n", "group", "chunks", F.concat(
         "group", F.lit("/").cast("binary"), F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("string").cast("binary")).alias("gid")), "join-groups")
     chunk = group.groupBy(F.col("gid").alias("g")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
     chunk = materialize(chunk, "join-chunks")
+    tokens = materialize(_tokens_of(docs, doc_id, text, known, k), "join-tokens")
+
+    # links within the chunks, and of the members of a group of several chunks with the one that most have as leader
+    several = group.where(F.col("chunks") > 1).select("nid", "sig", "n", "group", "gid")
+    heads = several.join(best, "nid").groupBy("group", "leader").agg(F.count(F.lit(1)).alias("c"))
+    heads = heads.groupBy("group").agg(F.max(F.struct("c", "leader"))["leader"].alias("nid")).join(names, "nid")
+    at_head = F.concat("group", F.lit("/head").cast("binary")).alias("gid")
+    inside = group.join(chunk.where(F.col("m") > 1).select(F.col("g").alias("gid")), "gid", "left_semi").select("gid", "sig", "n")
+    near = materialize(compare(
+        inside.withColumn("own", F.lit(True)).unionByName(several.select(at_head, "sig", "n", F.lit(False).alias("own"))),
+        inside.select("gid", "sig", "n").unionByName(heads.select(at_head, "sig", F.lit(0).alias("n"))), tokens, percent, chunk_sets, chunk_tokens),
+        "join-near")
+    # the sets of a group that these links join already need no comparing over its chunks: only the others ask there
+    labels = components(near)
+    main = several.join(labels, "sig").groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = main.groupBy("group").agg(F.max(F.struct("c", "label"))["label"].alias("label"))
+    joined = materialize(several.select("sig", "group").join(labels, "sig").join(main, ["group", "label"], "left_semi").select("sig"), "join-joined")
 
     # the matrix: a row for a token (a run) and a chunk; a set asks the chunks that it shares tokens with
-    placed = materialize(weights.join(group, "nid").drop("nid"), "join-placed")
-    matrix = placed.select("run", F.col("gid").alias("g")).distinct()
-    shared = (placed.join(matrix, "run").groupBy("sig", "gid", "g").agg(F.sum("w").alias("c"), F.max("n").alias("n")))
-    own = chunk.select(F.col("g").alias("gid"), F.col("m").alias("own_m"))
-    # of two chunks the smaller one asks the larger one; the shared prefix tokens bound the overlap with every member
+    owned = chunk.select(F.col("g").alias("gid"), F.col("m").alias("own_m"))
+    placed = weights.join(group.select("nid", "sig", "n", "group", "gid"), "nid").drop("nid").join(owned, "gid")
+    placed = materialize(placed.join(joined.withColumn("core", F.lit(True)), "sig", "left").withColumn("core", F.coalesce("core", F.lit(False))), "join-placed")
+    matrix = placed.select("run", F.col("gid").alias("g"), F.col("group").alias("g_group"), F.col("own_m").alias("m")).distinct()
+    # of two groups' chunks the smaller one asks the larger one
+    other = (placed["group"] != matrix["g_group"]) & ((F.col("own_m") < F.col("m")) | ((F.col("own_m") == F.col("m")) & (F.col("gid") > F.col("g"))))
+    left = (placed["group"] == matrix["g_group"]) & ~F.col("core") & (F.col("gid") != F.col("g"))
+    shared = (placed.join(matrix, (placed["run"] == matrix["run"]) & (other | left))
+              .groupBy("sig", "g").agg(F.sum("w").alias("c"), F.max("n").alias("n")))
+    # the shared prefix tokens bound the overlap with every member
     low = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
     high = F.least(F.col("high"), F.floor(100 * F.col("n") / percent))
-    asks = (shared.join(chunk, "g").join(own, "gid")
+    asks = (shared.join(chunk, "g")
             .where((low <= high) & (F.col("c") >= F.least(shared_needed(F.col("n"), low, percent), shared_needed(F.col("n"), high, percent))))
-            .where(F.when(F.col("gid") == F.col("g"), F.col("m") > 1).otherwise(
-                (F.col("own_m") < F.col("m")) | ((F.col("own_m") == F.col("m")) & (F.col("gid") > F.col("g")))))
-            .select(F.col("g").alias("gid"), "sig", "n", (F.col("gid") == F.col("g")).alias("own")))
+            .select(F.col("g").alias("gid"), "sig", "n", F.lit(False).alias("own")))
     asks = materialize(asks, "join-asks")
     members = materialize(group.select("gid", "sig", "n").join(asks.select("gid").distinct(), "gid", "left_semi"), "join-members")
-    tokens = materialize(_tokens_of(docs, doc_id, text, _named(known, asks, members), k), "join-tokens")
-    links = materialize(compare(asks, members, tokens, percent, chunk_sets, chunk_tokens), "join-links")
+    links = near.unionByName(materialize(compare(asks, members, tokens, percent, chunk_sets, chunk_tokens), "join-links"))
 
     label = components(links)
     named = known.select("sig", "doc_id").join(label, "sig")
@@ -476,14 +498,6 @@ def shared_needed(a, b, percent: int = PERCENT):
     return F.greatest(F.lit(1), overlap - (F.ceil(percent * F.greatest(a, b) / 100) - 1) - 1)
 
 
-def _named(known: DataFrame, *parts: DataFrame) -> DataFrame:
-    """The known sets that some part names."""
-    sigs = parts[0].select("sig")
-    for p in parts[1:]:
-        sigs = sigs.unionByName(p.select("sig"))
-    return known.join(sigs.distinct(), "sig", "left_semi")
-
-
 def nid_of(sig):
     """The first eight bytes of a digest as a bigint, little-endian."""
     parts = [F.shiftleft(F.conv(F.hex(F.substring(sig, i + 1, 1)), 16, 10).cast("bigint"), 8 * i) for i in range(8)]
