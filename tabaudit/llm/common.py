@@ -3,6 +3,8 @@ hashes on Arrow text buffers, and range numbers for sorted writers."""
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from tabaudit.session import scratch_path
 
 #: Bytes of text that a task turns into NumPy arrays at a time (one longer text is taken alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and
+    what one stage has freed should not count against the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 # ------------------------------------------------------------ text buffers
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a NULL is an empty text."""
@@ -103,16 +115,18 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n, P odd."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        p = 0xD6E8FEB86659FD93
-        inv = pow(p, -1, 1 << 64)
-        for key, base in (("up", p), ("down", inv)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _POWERS[key] = np.cumprod(a, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+    """P**i and P**-i modulo 2**64 for i < n, P odd. A worker keeps those of a
+    chunk; those of a longer text go with it."""
+    if n <= len(_POWERS.get("up", ())):
+        return _POWERS["up"], _POWERS["down"]
+    p, out = 0xD6E8FEB86659FD93, {}
+    for key, base in (("up", p), ("down", pow(p, -1, 1 << 64))):
+        a = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        a[0] = 1
+        out[key] = np.cumprod(a, dtype=np.uint64)
+    if n <= CHUNK_BYTES + 1:
+        _POWERS.update(out)
+    return out["up"], out["down"]
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

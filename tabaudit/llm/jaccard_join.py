@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import (SPACE_WORDS, gram_hashes, lower_ascii, materialize, mix64, read_table, row_chunks,
+from tabaudit.llm.common import (SPACE_WORDS, gram_hashes, lower_ascii, materialize, mix64, read_table, release_memory, row_chunks,
                                  span_hashes, text_buffers, word_spans)
 
 SHINGLE = 5
@@ -129,6 +129,8 @@ def _fresh_sets(batches, k: int):
                 if sig not in seen:
                     seen.add(sig)
                     yield sig, s
+    seen.clear()
+    release_memory()
 
 
 # --------------------------------------------------------------- frequent tokens

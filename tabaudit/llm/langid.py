@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabaudit.llm.common import materialize, read_table, row_chunks, text_buffers
+from tabaudit.llm.common import CHUNK_BYTES, materialize, read_table, release_memory, row_chunks, text_buffers
 
 DIMENSION = 1 << 16
 ORDERS = (1, 2, 3)
@@ -86,6 +86,40 @@ def grams(data: np.ndarray, offsets: np.ndarray):
             yield cells[inside], d[inside]
 
 
+def _segments(data: np.ndarray, limit: int = CHUNK_BYTES):
+    """A text's bytes in parts of about ``limit``, cut between characters."""
+    a = 0
+    while a < len(data):
+        b = min(len(data), a + limit)
+        while b < len(data) and data[b] & 0xC0 == 0x80:
+            b += 1
+        yield data[a:b]
+        a = b
+
+
+def long_grams(data: np.ndarray, limit: int = CHUNK_BYTES):
+    """Cells of all n-grams of one text of any length, part by part: those of
+    ``grams``, with the last letters of a part carried into the next."""
+    shift = np.uint32(32 - (DIMENSION.bit_length() - 1))
+    carried = np.zeros(0, np.uint32)
+    for part in _segments(data, limit):
+        chars = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        m = np.concatenate((carried, letter_table()[np.minimum(chars, 0x10FFFF)]))
+        keep = np.ones(len(m), bool)
+        keep[1:] = (m[1:] != 32) | (m[:-1] != 32)
+        m, old = m[keep], len(carried)
+        h = m
+        for order in range(1, max(ORDERS) + 1):
+            if order > 1:
+                h = (h[:-1] * np.uint32(0x01000193)) ^ m[order - 1:]
+            if order in ORDERS and len(h):
+                new = np.arange(len(h)) + order > old  # n-grams that end in this part
+                if order == 1:
+                    new &= m != 32
+                yield ((h[new] + np.uint32(order * 0x3C6EF372)) * np.uint32(0x9E3779B1)) >> shift
+        carried = m[-(max(ORDERS) - 1):]
+
+
 def _cells(data: np.ndarray, offsets: np.ndarray):
     """The cells of all n-grams of every text."""
     n = len(offsets) - 1
@@ -114,6 +148,11 @@ class LanguageModel:
         n = len(offsets) - 1
         total = np.zeros((n, len(self.languages)))
         count = np.zeros(n, np.int64)
+        if n == 1 and len(data) > 2 * CHUNK_BYTES:
+            for cells in long_grams(data):
+                total[0] += self.weights[cells].sum(axis=0, dtype=np.float64)
+                count[0] += len(cells)
+            return total / max(count[0], 1) + self.bias, count
         for cells, doc in grams(data, offsets):
             if not len(cells):
                 continue
@@ -163,11 +202,13 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
             data, offsets = text_buffers(batch.column(0))
             for a, b in row_chunks(offsets):
                 o = offsets[a:b + 1]
-                for cells in _cells(data[o[0]:o[-1]], o - o[0]):
+                part = data[o[0]:o[-1]]
+                for cells in (_cells(part, o - o[0]) if len(part) <= 2 * CHUNK_BYTES or b - a > 1 else [np.concatenate([np.unique(c) for c in long_grams(part)])]):
                     here[cells] = True
                     seen += here
                     here[cells] = False
                 n += b - a
+        release_memory()
         used = np.nonzero(seen)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(seen[used], n), pa.int64())],
                                          names=["cell", "n"])
@@ -295,6 +336,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", lang_col:
                     name, score = [UNDETERMINED] * (b - a), np.zeros(b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name, pa.string()), pa.array(score)],
                                                  names=[*part.schema.names, lang_col, score_col])
+        release_memory()
 
     return kept.mapInArrow(run, schema)
 

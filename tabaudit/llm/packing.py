@@ -94,6 +94,7 @@ def tokenize_pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        t.forget()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, PIECES)
 

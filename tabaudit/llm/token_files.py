@@ -237,6 +237,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, doc_id:
                     out.add(d, ids)
         if out is not None:
             finish()
+        t.forget()
         if done:
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)],

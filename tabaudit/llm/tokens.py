@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces of a worker's cache (some 200 MB); a full cache starts anew.
-CACHE_PIECES = 1_000_000
+from tabaudit.llm.common import release_memory
+
+#: Pieces of a task's cache (some 100 MB); a full cache starts anew.
+CACHE_PIECES = 500_000
 #: Fixed value: ASCII punctuation but the apostrophe.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Fixed value: white space.
@@ -129,6 +131,11 @@ class WordCachedTokenizer:
             if running:
                 gc.enable()
 
+    def forget(self) -> None:
+        """Drop the cache, so that a worker carries none into other stages."""
+        self.cache = {}
+        release_memory()
+
     def _encode_all(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self._pieces(t) if _TAIL not in t else [] for t in texts]
         self._learn(set(chain.from_iterable(cut)))
@@ -148,7 +155,7 @@ _LOADED: dict[tuple, WordCachedTokenizer] = {}
 
 
 def tokenizer(path: str, keeps_space: bool, end_id: int) -> WordCachedTokenizer:
-    """The worker's tokenizer: loaded once, shared by its tasks."""
+    """The worker's tokenizer, loaded once; a task forgets its cache when it ends."""
     key = (path, keeps_space, end_id)
     if key not in _LOADED:
         import os

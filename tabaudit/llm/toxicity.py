@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabaudit.llm.common import materialize, read_table
+from tabaudit.llm.common import materialize, read_table, release_memory
 from tabaudit.llm.langid import remainder
 from tabaudit.llm.tokens import text_slices
 
@@ -433,6 +433,8 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", score_col:
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(s), pa.array([len(h) for _, h in found], pa.int32())],
                     names=[*part.schema.names, score_col, hits_col])
+        del scanner
+        release_memory()
 
     return kept.mapInArrow(run, schema)
 

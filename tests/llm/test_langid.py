@@ -79,3 +79,11 @@ def test_accuracy_on_the_test_tables(spark):
     docs_ = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang")
     rows = out.join(docs_, "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) >= 0.98
+
+
+def test_parts_of_a_long_text_have_its_grams():
+    text = ("Ab  c, Été dans l'été 12 x  " * 50 + " \n z").encode()
+    data = np.frombuffer(text, np.uint8)
+    whole = np.sort(np.concatenate(list(L._cells(data, np.array([0, len(data)])))))
+    for limit in (1, 2, 7, 50, 10 ** 6):
+        assert np.array_equal(whole, np.sort(np.concatenate(list(L.long_grams(data, limit)))))
