@@ -251,11 +251,6 @@ def encode(df: DataFrame, spec: EncodingSpec, row_id: str = "row_id",
     return Encoded(out, spec.features(flags), spec, row_id, group_col)
 
 
-def encode_many(tables: dict[str, DataFrame], spec: EncodingSpec, row_id: str = "row_id",
-                **kw) -> dict[str, Encoded]:
-    return {k: encode(v, spec, row_id, **kw) for k, v in tables.items()}
-
-
 # ----------------------------------------------------------------- decoding
 def argmax_decode(seg: Column, values: list[str]) -> Column:
     """Value at the position of the segment maximum; ties -> first."""

@@ -2,23 +2,23 @@
 
 A window without ``partitionBy`` runs in one task. Instead:
 
-1. cut the ordering key into B quantile buckets (``percentile_approx`` gives
-   B-1 boundaries to the driver; ``Bucketizer`` assigns buckets JVM-side),
-2. total each bucket (B rows), turn the totals into offsets on that tiny
-   frame, and join them back (broadcast of B rows: bounded by B),
-3. run the running sum as a window *within* each bucket, plus the offset.
+1. range-partition the rows by the ordering key itself, whatever its type, and
+   write them with the number of their range; ranges follow the number of keys,
+2. total each range (one row a range) and turn the totals into offsets,
+3. run the running sum as a window *within* each range, plus the offset.
 
-Bucket assignment is a pure function of the key, so retries are safe. Rows
-that share an ordering key always fall into the same bucket; callers that
+The ranges are written before they are read, so retries see the same ones.
+Rows that share an ordering key always fall into the same range; callers that
 need per-key totals aggregate by key first, which also removes any skew.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabaudit.session import cut_lineage
+
 BUCKET = "_bucket"
 
 
@@ -30,17 +30,8 @@ def _bucketize(df: DataFrame, key: str, n_buckets: int | None) -> DataFrame:
     if n_buckets is None:
         n_buckets = -(-df.count() // BUCKET_KEYS)
     if n_buckets <= 1:
-        return df.withColumn(BUCKET, F.lit(0.0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, 10_000).alias("q")).first()["q"]
-    splits = sorted(set(float(b) for b in (bounds or []) if b is not None))
-    splits = [float("-inf")] + splits + [float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(BUCKET, F.lit(0.0))
-    tmp = df.withColumn("_keyd", F.col(key).cast("double"))
-    out = Bucketizer(splits=splits, inputCol="_keyd", outputCol=BUCKET,
-                     handleInvalid="keep").transform(tmp)
-    return out.drop("_keyd")
+        return df.withColumn(BUCKET, F.lit(0))
+    return cut_lineage(df.repartitionByRange(n_buckets, key).withColumn(BUCKET, F.spark_partition_id()))
 
 
 def prefix_sums(df: DataFrame, key: str, values: list[str], descending: bool = False,
@@ -58,7 +49,7 @@ def prefix_sums(df: DataFrame, key: str, values: list[str], descending: bool = F
     orders = [order_key] + ([F.col(tiebreak).asc()] if tiebreak else [])
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
     w = Window.partitionBy(BUCKET).orderBy(*orders).rowsBetween(*frame)
-    joined = b.join(F.broadcast(offsets), on=BUCKET, how="inner")
+    joined = b.join(offsets, on=BUCKET, how="inner")
     out = joined.select(*df.columns, *[
         (F.coalesce(F.sum(v).over(w), F.lit(0)) + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values])
     return out

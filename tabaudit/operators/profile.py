@@ -217,6 +217,37 @@ def profile(df: DataFrame, row_id: str | None = "row_id", columns=None,
     return EncodingSpec(specs, str(sentinel))
 
 
+def infer_types(df: DataFrame, row_id: str | None = "row_id", columns=None, sentinel=DEFAULT_SENTINEL,
+                overrides: dict[str, str] | None = None, max_uniq: int = 10, max_diff: float = 1e-10) -> DataFrame:
+    """(label, type) of every column, without the lists of categories, so
+    that columns of any number of distinct values have a type. Distinct values
+    are counted exactly only where the estimate is near ``max_uniq``."""
+    cols = feature_columns(df, row_id, columns)
+    stats = _pass1(df, cols, sentinel)
+    near = [c for c in cols if stats[c]["n"] and stats[c]["tmin"] != stats[c]["tmax"] and stats[c]["hll"] <= 2 * max_uniq + 16]
+    exact = {}
+    if near:
+        found = value_counts(df, near, sentinel).where(~F.col("missing")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        exact = {r["label"]: r["n"] for r in found.collect()}     # one row a column
+    rows = []
+    for c in cols:
+        s = stats[c]
+        n = 0 if s["n"] == 0 else 1 if s["tmin"] == s["tmax"] else exact.get(c)
+        rows.append((c, _decide_type(c, s, n, dict(overrides or {}), max_uniq, max_diff)))
+    return df.sparkSession.createDataFrame(rows, "label string, type string")
+
+
+def sorted_distinct(df: DataFrame, columns: list[str], sentinel=DEFAULT_SENTINEL) -> DataFrame:
+    """(label, value, pos) of the distinct values of every column in UTF-8
+    order, ``pos`` from 0 within the column; values are ordered over all columns
+    at once, so no column's values meet in one task."""
+    from tabaudit.operators.prefix import row_index
+    values = value_counts(df, columns, sentinel).select("label", "value", F.struct("label", "value").alias("_key"))
+    placed = cut_lineage(row_index(values, "_key", name="_at"))
+    first = placed.groupBy("label").agg(F.min("_at").alias("_first"))     # one row a column
+    return placed.join(first, "label").select("label", "value", (F.col("_at") - F.col("_first")).cast("int").alias("pos"))
+
+
 def numeric_test(df: DataFrame, row_id: str | None = "row_id", columns=None,
                  sentinel=DEFAULT_SENTINEL) -> DataFrame:
     """P1 over every non-missing cell: (label, is_numeric). Deliberate change
@@ -232,10 +263,6 @@ def numeric_test(df: DataFrame, row_id: str | None = "row_id", columns=None,
     return wide.select(F.inline(pairs))
 
 
-def metadata_frame(df: DataFrame, spec: EncodingSpec) -> DataFrame:
-    return spec.to_frame(df.sparkSession)
-
-
 def profile_groups(df: DataFrame, group_col: str, train, row_id: str | None = "row_id",
                    columns=None, sentinel=DEFAULT_SENTINEL, **kw):
     """Profile the ``train`` group of a stacked frame and return, from the

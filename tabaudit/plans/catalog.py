@@ -58,9 +58,7 @@ def profile_metadata(spark, sf):
 
 @query("variable_type")
 def variable_type(spark, sf):
-    ev = X.table(spark, sf, "events", ["event_id", "user_id", "event_type", "value"])
-    spec = P.profile(ev, "event_id", sentinel=X.SENTINEL)
-    return spec.to_frame(spark).select("label", "type")
+    return P.infer_types(X.table(spark, sf, "events"), "event_id", sentinel=X.SENTINEL)
 
 
 @query("minority_class")
@@ -84,12 +82,17 @@ def numeric_test(spark, sf):
 STRING_FEATURES = ["constant", "tier", "categorical", "priority"]
 
 
+def _as_written(name):
+    """A feature as text; numbers with two decimals."""
+    return F.col(name) if name in STRING_FEATURES else F.col(name).cast("decimal(18,2)").cast("string")
+
+
 @query("remove_missing")
 def remove_missing(spark, sf):
     c = _cohort(spark, sf)
     parts = [P.remove_missing(c, n, X.SENTINEL)
-             .select("row_id", F.lit(n).alias("label"), F.col(n).alias("value"))
-             for n in STRING_FEATURES]
+             .select("row_id", F.lit(n).alias("label"), _as_written(n).alias("value"))
+             for n in X.FEATURES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -152,11 +155,15 @@ def random_fill(spark, sf):
                          F.col("x")[j].alias("continuous_missing"))
 
 
+def _all_roles(spark, sf, scale_by="self"):
+    """The whole cohort encoded in one pass, by the spec of the train rows;
+    ``self``: every role has its own ranges."""
+    return R.prepare_stacked(_cohort(spark, sf, role=True), "role", "train", "row_id", X.SENTINEL, scale_by=scale_by)
+
+
 @query("encode_table")
 def encode_table(spark, sf):
-    spec = _spec(spark, sf)
-    enc = E.encode(_roles(spark, sf)["test"], spec, "row_id")
-    return enc.wide(DIGITS)
+    return _all_roles(spark, sf).wide(DIGITS)
 
 
 @query("argmax_decode")
@@ -172,35 +179,28 @@ def argmax_decode(spark, sf):
 
 @query("restore_table")
 def restore_table(spark, sf):
-    spec = _spec(spark, sf)
-    enc = E.encode(_roles(spark, sf)["synth"], spec, "row_id")
-    out = E.decode(enc)
+    out = E.decode(_all_roles(spark, sf))
     return out.select("row_id", "constant", "tier", "categorical", "priority",
                       r6(F.col("count")).alias("count"), r6(F.col("continuous")).alias("continuous"))
 
 
 @query("clip")
 def clip(spark, sf):
-    spec = _spec(spark, sf)
-    enc = E.encode(_roles(spark, sf)["test"], spec, "row_id", scale_by="spec")
-    i = enc.labels.index("continuous__continuous")
-    return enc.df.select("row_id", r6(E.clip01(F.col("x"))[i]).alias("continuous"))
+    enc = _all_roles(spark, sf, scale_by="spec")
+    i, j = enc.labels.index("continuous__continuous"), enc.labels.index("count__count")
+    x = E.clip01(F.col("x"))
+    return enc.df.select("row_id", "role", r6(x[i]).alias("continuous"), r6(x[j]).alias("count"))
 
 
 @query("outcome_split")
 def outcome_split(spark, sf):
-    spec = _spec(spark, sf)
-    enc = E.encode(_roles(spark, sf)["train"], spec, "row_id")
-    df, feats = E.split_outcome(enc, "tier")
-    return df.select("row_id", "y", F.size("x").alias("n_features"),
-                     r6(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("x_sum"))
+    df, feats = E.split_outcome(_all_roles(spark, sf), "tier")
+    return df.select("row_id", "role", "y", *[r6(F.col("x")[i]).alias(f.label) for i, f in enumerate(feats)])
 
 
 # ------------------------------------------------------------ R1-R3, S9
 def _frequency(spark, sf):
-    c = _cohort(spark, sf, role=True)
-    enc = R.prepare_stacked(c, "role", "train", "row_id", X.SENTINEL)
-    return R.frequency_of(enc)
+    return R.frequency_of(_all_roles(spark, sf))
 
 
 @query("feature_frequency")
@@ -268,10 +268,7 @@ def union_rows(spark, sf):
 
 @query("sorted_distinct")
 def sorted_distinct(spark, sf):
-    from pyspark.sql import Window
-    vc = P.value_counts(_cohort(spark, sf), STRING_FEATURES, X.SENTINEL)
-    w = Window.partitionBy("label").orderBy("value")     # <= max_categories rows per label
-    return vc.select("label", "value", (F.row_number().over(w) - 1).alias("pos"))
+    return P.sorted_distinct(_cohort(spark, sf), X.FEATURES, X.SENTINEL)
 
 
 # ------------------------------------------------------------------- G1, G2
@@ -299,19 +296,21 @@ from tabaudit.operators.prefix import row_index  # noqa: E402
 
 
 def _ranked(spark, sf):
-    """Test rows and, by rank, the synthetic rows they are compared with
-    (ranks start anew when synthetic rows run out); numbers standardised by
-    the test rows, keyed by rank."""
-    r = _roles(spark, sf)
-    test, synth = row_index(r["test"], "row_id", name="rk"), row_index(r["synth"], "row_id", name="rk")
+    """Real rows (train and test) and, by rank, the synthetic rows they are
+    compared with (ranks start anew when synthetic rows run out); numbers
+    standardised by the real rows, keyed by rank. Both are written once."""
+    from tabaudit.session import cut_lineage
+    c = cut_lineage(_cohort(spark, sf, role=True))
+    synthetic = F.col("role") == "synth"
+    real, synth = (cut_lineage(row_index(c.where(k).drop("role"), "row_id", name="rk")) for k in (~synthetic, synthetic))
     n = synth.count()
-    st = r["test"].agg(*[f(c).alias(f"{k}_{c}") for c in ("count", "continuous") for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    st = real.agg(*[f(c).alias(f"{k}_{c}") for c in ("count", "continuous") for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
 
     def scaled(df):
         return df.withColumns({c: (F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"] for c in ("count", "continuous")})
-    ranks = test.select(F.col("rk").alias("to"), ((F.col("rk") - 1) % n + 1).alias("rk"))
+    ranks = real.select(F.col("rk").alias("to"), ((F.col("rk") - 1) % n + 1).alias("rk"))
     partner = ranks.join(synth, "rk").drop("rk", "row_id").withColumnRenamed("to", "row_id")
-    return scaled(test.drop("row_id").withColumnRenamed("rk", "row_id")), scaled(partner)
+    return cut_lineage(scaled(real.drop("row_id").withColumnRenamed("rk", "row_id"))), cut_lineage(scaled(partner))
 
 
 @query("kl_divergence")
@@ -344,11 +343,8 @@ def feature_distance(spark, sf):
 
 @query("reconstruction_bce")
 def reconstruction_bce(spark, sf):
-    spec = _spec(spark, sf)
-    test = _roles(spark, sf)["test"]
-    target = E.encode(test, spec, "row_id").df
-    output = E.encode(test, spec, "row_id", scale_by="spec").df.select(
-        "row_id", E.clip01(F.col("x")).alias("x"))
+    target = _all_roles(spark, sf).df
+    output = _all_roles(spark, sf, scale_by="spec").df.select("row_id", E.clip01(F.col("x")).alias("x"))
     return M.reconstruction_bce(target, output, "row_id").select(r6(F.col("loss")).alias("loss"))
 
 
@@ -481,8 +477,7 @@ OUTCOME = "tier"
 
 
 def _stacked(spark, sf):
-    c = _cohort(spark, sf, role=True)
-    return R.prepare_stacked(c, "role", "train", "row_id", X.SENTINEL)
+    return _all_roles(spark, sf)
 
 
 @query("feature_effect")

@@ -31,10 +31,10 @@ oracle("profile_metadata", with_(*BASE) + f"""
 SELECT label, pos, type, {R6('min')} AS min, {R6('max')} AS max, zero, one, unique_values, missing
 FROM ({profile_sql('train')}) p""")
 
-oracle("variable_type", with_("ev AS (SELECT event_id, user_id, event_type, value FROM events)") + f"""
-SELECT label, type FROM ({profile_sql('ev', [("user_id", "t.user_id", True),
+oracle("variable_type", with_("ev AS (SELECT *, CAST(ts AS VARCHAR) AS ts_text FROM events)") + f"""
+SELECT label, type FROM ({profile_sql('ev', [("ts", "t.ts_text", False), ("user_id", "t.user_id", True),
                                                 ("event_type", "t.event_type", False),
-                                                ("value", "t.value", True)])}) p""")
+                                                ("value", "t.value", True), ("props", "t.props", False)])}) p""")
 
 oracle("minority_class", "\nUNION ALL\n".join(f"""
 SELECT {q(c)} AS label,
@@ -56,8 +56,8 @@ oracle("numeric_test", with_(COHORT, "txt AS (SELECT row_id, " + ", ".join(
         f"AS is_numeric FROM txt" for f in FEATURES))
 
 oracle("remove_missing", with_(COHORT) + "\nUNION ALL\n".join(
-    f"SELECT row_id, {q(f)} AS label, {f} AS value FROM cohort WHERE NOT {missing_sql(f, False)}"
-    for f in ("constant", "tier", "categorical", "priority")))
+    f"SELECT row_id, {q(f)} AS label, {f'CAST(CAST({FEATURE_EXPR[f]} AS DECIMAL(18,2)) AS VARCHAR)' if f in NUMERIC else f} AS value "
+    f"FROM cohort WHERE NOT {missing_sql(FEATURE_EXPR[f], f in NUMERIC)}" for f in FEATURES))
 
 oracle("missing_rows", with_(COHORT) + "\nUNION ALL\n".join(
     f"SELECT row_id, {q(f)} AS label FROM cohort WHERE {missing_sql(FEATURE_EXPR[f], f in NUMERIC)}"
@@ -94,8 +94,8 @@ oracle("random_fill", with_(*BASE, ALL_RNG, enc_cte("enc_all", "own").replace(
 SELECT row_id, {R6('"continuous__continuous"')} AS continuous,
        "continuous__{SENTINEL}" AS continuous_missing FROM enc_all""")
 
-oracle("encode_table", with_(*BASE, enc_cte("enc", "own")) + "SELECT row_id, " + ", ".join(
-    f"{R6(dq(lbl))} AS {dq(lbl)}" for lbl in ENC_LABELS) + " FROM enc WHERE role = 'test'")
+oracle("encode_table", with_(*BASE, enc_cte("enc", "own")) + "SELECT row_id, role, " + ", ".join(
+    f"{R6(dq(lbl))} AS {dq(lbl)}" for lbl in ENC_LABELS) + " FROM enc")
 
 
 def _bit(i: int) -> str:
@@ -130,17 +130,17 @@ SELECT e.row_id,
   {R6(f'CASE WHEN "continuous__{SENTINEL}" >= 1.0 THEN {SF} ELSE "continuous__continuous" * (s.c_hi - s.c_lo) + s.c_lo END')} AS continuous
 FROM enc e CROSS JOIN spec_rng s"""
 
-oracle("restore_table", with_(*BASE, enc_cte("enc", "own")) + RESTORE + " WHERE e.role = 'synth'")
+oracle("restore_table", with_(*BASE, enc_cte("enc", "own")) + RESTORE)
 
 oracle("clip", with_(*BASE, enc_cte("encs", "spec")) + f"""
-SELECT row_id, {R6('greatest(0.0, least(1.0, "continuous__continuous"))')} AS continuous
-FROM encs WHERE role = 'test'""")
+SELECT row_id, role, {R6('greatest(0.0, least(1.0, "continuous__continuous"))')} AS continuous,
+       {R6('greatest(0.0, least(1.0, "count__count"))')} AS "count"
+FROM encs""")
 
-_REST = " + ".join(dq(lbl) for lbl in ENC_LABELS if lbl != "tier__tier")
 oracle("outcome_split", with_(*BASE, enc_cte("enc", "own")) + f"""
-SELECT row_id, CAST(round_even("tier__tier", 0) AS INTEGER) AS y, {len(ENC_LABELS) - 1} AS n_features,
-       {R6(_REST)} AS x_sum
-FROM enc WHERE role = 'train'""")
+SELECT row_id, role, CAST(round_even("tier__tier", 0) AS INTEGER) AS y,
+       {', '.join(f'{R6(dq(lbl))} AS {dq(lbl)}' for lbl in ENC_LABELS if lbl != 'tier__tier')}
+FROM enc""")
 
 # ------------------------------------------------------------ R1-R3, S9
 FREQ = with_(*BASE, enc_cte("enc", "own"), """long AS (
@@ -200,8 +200,9 @@ SELECT row_id, CAST(unnest(generate_series(1, m)) AS INTEGER) AS copy FROM r JOI
 
 oracle("union_rows", with_(COHORT) + "SELECT row_id, role FROM cohort")
 
-oracle("sorted_distinct", with_(COHORT, """v AS (UNPIVOT (SELECT constant, tier, categorical, priority FROM cohort)
-    ON constant, tier, categorical, priority INTO NAME label VALUE value)""",
+oracle("sorted_distinct", with_(COHORT, """v AS (UNPIVOT (SELECT constant, tier, categorical, priority,
+      CAST("count" AS VARCHAR) AS "count", CAST(continuous AS VARCHAR) AS continuous FROM cohort)
+    ON constant, tier, categorical, priority, "count", continuous INTO NAME label VALUE value)""",
     "d AS (SELECT DISTINCT label, value FROM v)") + """
 SELECT label, value, CAST(row_number() OVER (PARTITION BY label ORDER BY value) - 1 AS INTEGER) AS pos FROM d""")
 
@@ -226,8 +227,8 @@ def PDF(x: str) -> str:
 
 KL_TERM = "CASE WHEN p <> 0 AND q <> 0 THEN p * ln(p / q) ELSE 0.0 END"
 
-#: Test rows with the synthetic row of the same rank (ranks start anew when synthetic rows run out), standardised.
-RANKED = """te0 AS (SELECT *, row_number() OVER (ORDER BY row_id) AS rk FROM cohort WHERE role = 'test'),
+#: Real rows (train and test) with the synthetic row of the same rank (ranks start anew when synthetic rows run out), standardised.
+RANKED = """te0 AS (SELECT *, row_number() OVER (ORDER BY row_id) AS rk FROM cohort WHERE role <> 'synth'),
 sy0 AS (SELECT *, row_number() OVER (ORDER BY row_id) AS rk, count(*) OVER () AS n FROM cohort WHERE role = 'synth'),
 st AS (SELECT avg("count") AS m1, stddev_samp("count") AS s1, avg(continuous) AS m2, stddev_samp(continuous) AS s2 FROM te0),
 te AS (SELECT rk AS row_id, constant, tier, categorical, priority, ("count" - m1) / s1 AS "count", (continuous - m2) / s2 AS continuous FROM te0, st),
@@ -272,7 +273,7 @@ _BCE = " + ".join(
     for l in ENC_LABELS)
 oracle("reconstruction_bce", with_(*BASE, enc_cte("enc", "own"), enc_cte("encs", "spec")) + f"""
 SELECT {R6(f'avg(-({_BCE}))')} AS loss
-FROM enc t JOIN encs o ON t.row_id = o.row_id WHERE t.role = 'test' AND o.role = 'test'""")
+FROM enc t JOIN encs o ON t.row_id = o.row_id""")
 
 DOCS = """d AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS score, quality AS y FROM documents JOIN labels USING (doc_id))"""
 
