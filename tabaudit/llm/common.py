@@ -31,6 +31,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_memory() -> None:
+    """Let the C library give arrays of a megabyte and more back when they are
+    freed, instead of keeping them for later ones."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, not grown with use
+        libc.mallopt(-1, 1 << 22)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: workers outlive their tasks, and
     what one stage has freed should not count against the next."""
