@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm.common import (SPACE_WORDS, gram_hashes, lower_ascii, materialize, mix64, read_table, release_memory, row_chunks,
+from tabaudit.llm.common import (SPACE_WORDS, bound_memory, gram_hashes, lower_ascii, materialize, mix64, read_table, release_memory, row_chunks,
                                  span_hashes, text_buffers, word_spans)
 
 SHINGLE = 5
@@ -121,6 +121,7 @@ def set_table(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE, key=Non
 def _fresh_sets(batches, k: int):
     """(digest, tokens) of the non-empty sets of rows (text), each set once a
     task, so that copies of a text are sent once."""
+    bound_memory()
     seen: set[bytes] = set()
     for batch in batches:
         for s in shingle_sets(batch.column(0), k):
@@ -186,6 +187,7 @@ def frequent_keys(texts: DataFrame, n_tokens: int, bits: int, frequent: int = FR
             yield flush(held)
 
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bound_memory()
         t = np.concatenate([np.frombuffer(x, "<u4") for x in rows["t"]])
         n = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["n"]]).astype(np.int64)
         order = np.argsort(t, kind="stable")
@@ -245,6 +247,7 @@ def prefix_runs(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], bits: in
             yield flush(keys, nids, sizes)
 
     def group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bound_memory()
         t = np.concatenate([np.frombuffer(x, "<u4") for x in rows["t"]])
         nid = np.concatenate([np.frombuffer(x, "<i8") for x in rows["nid"]])
         n = np.concatenate([np.frombuffer(x, "<u4") for x in rows["n"]])
@@ -326,6 +329,7 @@ def compare(asks: DataFrame, members: DataFrame, tokens: DataFrame, percent: int
     rows = left.unionByName(right).join(tokens, "sig")
 
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        bound_memory()
         block = block.sort_values(["side", "sig"], ascending=[False, True])
         side = block["side"].to_numpy()
         sets = [np.frombuffer(x, "<u8") for x in block["tokens"]]
