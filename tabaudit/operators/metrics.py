@@ -52,6 +52,22 @@ def auc_of_counts(sc: DataFrame, n_buckets: int | None = None) -> DataFrame:
     return sc.sparkSession.createDataFrame([(value,)], "auc double")
 
 
+def auc_by(df: DataFrame, by: str, score: str, label: str) -> DataFrame:
+    """R13 for several sets of scores at once: (``by``, auc), one order over
+    (``by``, score) for all of them; NULL where a class is empty."""
+    from tabaudit.session import cut_lineage
+    y = F.col(label).cast("long")
+    known = F.when(F.col(score).isNull() | y.isNull(), F.raise_error(F.lit("a score or label is NULL")).cast("double")) \
+        .otherwise(F.col(score).cast("double"))
+    sc = cut_lineage(df.groupBy(F.col(by).alias("set"), known.alias("score")).agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
+    cum = cut_lineage(prefix_sums(sc.withColumn("_key", F.struct("set", "score")), "_key", ["pos"], descending=True))
+    # the order is by set first: a set's sums start from those of the sets before it
+    start = cum.groupBy("set").agg(F.min(F.col("cum_pos") - F.col("pos")).alias("before"))
+    area = F.col("neg").cast("double") * (2 * (F.col("cum_pos") - F.col("before")).cast("double") - F.col("pos"))
+    return cum.join(start, "set").groupBy(F.col("set").alias(by)).agg(
+        F.try_divide(F.sum(area), 2.0 * F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
+
+
 def roc_curve(df: DataFrame, score: str, label: str, drop_collinear: bool = True,
               n_buckets: int | None = None) -> DataFrame:
     """(fpr, tpr, threshold) at each distinct score, descending, plus

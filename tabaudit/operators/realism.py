@@ -9,11 +9,14 @@ same pass, so the inputs are scanned once per analysis, not once per table.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit.functions.predicates import DEFAULT_SENTINEL
 from tabaudit.operators.encode import Encoded, encode
+from tabaudit.operators.pivots import matrix
 from tabaudit.operators.profile import profile
 from tabaudit.spec import EncodingSpec
 
@@ -66,21 +69,20 @@ def column_means(enc: Encoded, groups: dict[str, str]) -> DataFrame:
     g = F.coalesce(*[F.when(F.col(enc.group_col) == F.lit(v), F.lit(i)) for i, v in enumerate(names)])
 
     def add(batches):
-        import pandas as pd
         total, seen = np.zeros((len(names), len(labels))), np.zeros((len(names), len(labels)), np.int64)
-        for pdf in batches:
-            if len(pdf):
-                x = np.vstack(pdf["x"].to_numpy()).astype(np.float64)
-                k = pdf["g"].to_numpy()
+        for batch in batches:
+            if batch.num_rows:
+                x, k = matrix(batch.column(1)), batch.column(0).to_numpy()
                 known = np.isfinite(x)
                 x = np.where(known, x, 0.0)
                 for i in range(len(names)):
                     total[i] += x[k == i].sum(axis=0)
                     seen[i] += known[k == i].sum(axis=0)
         i, j = np.nonzero(seen)
-        yield pd.DataFrame({"g": i.astype(np.int32), "pos": j.astype(np.int32), "s": total[i, j], "n": seen[i, j]})
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j]), pa.array(seen[i, j])],
+                                         names=["g", "pos", "s", "n"])
 
-    parts = enc.df.select(g.alias("g"), "x").where("g IS NOT NULL").mapInPandas(add, "g int, pos int, s double, n long")
+    parts = enc.df.select(g.alias("g"), "x").where("g IS NOT NULL").mapInArrow(add, "g int, pos int, s double, n long")
     per = parts.groupBy("pos").agg(*[
         F.try_divide(F.sum(F.when(F.col("g") == i, F.col("s"))), F.sum(F.when(F.col("g") == i, F.col("n")))).alias(groups[v])
         for i, v in enumerate(names)])
@@ -115,13 +117,12 @@ def frequency_correlation(freq: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------ R4-R11: model fits
-import numpy as np  # noqa: E402
-from pyspark import StorageLevel  # noqa: E402
 from pyspark.ml.classification import MultilayerPerceptronClassifier  # noqa: E402
 from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
 
 from tabaudit.operators.encode import split_outcome  # noqa: E402
 from tabaudit.operators.metrics import auc as _auc  # noqa: E402
+from tabaudit.operators.metrics import auc_by  # noqa: E402
 from tabaudit.operators.metrics import roc_curve as _roc  # noqa: E402
 
 
@@ -132,14 +133,11 @@ def _vectors(xy: DataFrame) -> DataFrame:
 
 def fit_effects(xy: DataFrame, C: float = 1.0, max_iter: int = 100, tol: float = 1e-13):
     """L2 logistic regression with an unpenalised intercept (sklearn's
-    lbfgs objective  0.5||w||^2 + C * sum(logloss)) by Newton steps, one
-    aggregate each. A constant outcome has no finite fit: all effects are NaN."""
+    lbfgs objective  0.5||w||^2 + C * sum(logloss)). A constant outcome has no
+    finite fit: all effects are NaN."""
     d = xy.select(F.size("x").alias("d")).first()["d"]
-    if constant_outcome(xy):
-        return [float("nan")] * d, float("nan")
-    x1 = xy.select("row_id", "y", F.concat(F.col("x"), F.array(F.lit(1.0))).alias("x"))
-    beta = newton_logistic(x1, [0.0] * (d + 1), [1.0 / C] * d + [0.0], max_iter, tol)
-    return beta[:-1], beta[-1]
+    beta = fit_arms(xy.withColumn("arm", F.lit(0)), d, 1, C, "l2", max_iter, tol)[0]
+    return (beta[:-1].tolist(), float(beta[-1])) if beta is not None else ([float("nan")] * d, float("nan"))
 
 
 def _scale_vec(v: list[float]) -> list[float]:
@@ -153,17 +151,30 @@ def feature_effect(enc: Encoded, outcome: str, groups: dict[str, str] | None = N
     (real train, real test, synthetic); the outcome column is removed."""
     groups = groups or {TRAIN: "effect_real_train", TEST: "effect_real_test",
                         SYNTH: "effect_synth"}
-    xy, feats = split_outcome(enc, outcome)
+    beta, feats = effects_by_group(enc, outcome, list(groups), C)
     cols = {}
     for g, name in groups.items():
-        part = xy.filter(F.col(enc.group_col) == F.lit(g)).drop(enc.group_col)
-        coef, _ = fit_effects(part, C)
+        coef = [float("nan")] * len(feats) if beta[g] is None else beta[g][:-1].tolist()
         cols[name] = _scale_vec(coef) if scaled else coef
     rows = [(f.label, *[float(cols[n][i]) for n in groups.values()]) for i, f in enumerate(feats)]
     schema = "feature string, " + ", ".join(f"{n} double" for n in groups.values())
     return enc.df.sparkSession.createDataFrame(rows, schema)
 
 
+def effects_by_group(enc: Encoded, outcome: str, groups: list[str], C: float = 1.0):
+    """({group: effects and intercept, None where its outcome is constant},
+    features), all groups fitted together."""
+    from tabaudit.session import cut_lineage
+    xy, feats = split_outcome(enc, outcome)
+    data = cut_lineage(xy.select(_number(F.col(enc.group_col), groups).alias("arm"), "y", "x").where("arm IS NOT NULL"))
+    return dict(zip(groups, fit_arms(data, len(feats), len(groups), C, "l2"))), feats
+
+
+def _number(col: Column, names: list[str]) -> Column:
+    """The place of a name in a list; NULL for others."""
+    return F.coalesce(*[F.when(col == F.lit(n), F.lit(i)) for i, n in enumerate(names)])
+
+
 def _split_xy(enc: Encoded, outcome: str) -> DataFrame:
     """E10 keeping the group column."""
     xy, _ = split_outcome(enc, outcome)
@@ -182,43 +193,53 @@ class LinearModel:
         return xy.select("row_id", "y", (F.lit(1.0) / (F.lit(1.0) + F.exp(-(dot + F.lit(self.b))))).alias("p"))
 
 
-def _newton_stats(data: DataFrame, beta: list[float]):
-    """One pass: log-loss at beta, A = sum w x x^T and b = sum (w*eta + y - p) x
-    with p = sigmoid(x.beta), w = p(1-p). Every task adds its batches up with
-    NumPy and sends one row for each row of A (from its diagonal on) and one
-    for the loss and b; they are summed by row number with partial sums, the
-    same for any width. The driver gets d + 1 rows."""
+def _newton_stats(data: DataFrame, betas: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """One pass for all arms: log-loss at beta, A = sum w x x^T and
+    b = sum (w*eta + y - p) x with p = sigmoid(x.beta), w = p(1-p); x has a 1
+    for the intercept appended here. Every task adds its batches up with NumPy
+    and sends one row for each arm and row of A (from its diagonal on) and one
+    for the loss and b; they are summed by (arm, row number) with partial sums,
+    the same for any width. The driver gets d + 1 rows an arm."""
     from pyspark.ml.stat import Summarizer
-    d = len(beta)
-    bvec = np.asarray(beta, dtype=float)
+    d = len(next(iter(betas.values())))
 
     def partial(batches):
-        import pandas as pd
-        A, b, loss, seen = np.zeros((d, d)), np.zeros(d), 0.0, False
-        for pdf in batches:
-            if len(pdf) == 0:
+        A, b = {k: np.zeros((d, d)) for k in betas}, {k: np.zeros(d) for k in betas}
+        loss, seen = dict.fromkeys(betas, 0.0), set()
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            seen = True
-            X = np.vstack(pdf["x"].to_numpy()).astype(float)
-            y = pdf["y"].to_numpy(dtype=float)
-            eta = X @ bvec
-            p = 1.0 / (1.0 + np.exp(-eta))
-            w = p * (1.0 - p)
-            loss += (np.logaddexp(0.0, eta) - y * eta).sum()
-            A += (X * w[:, None]).T @ X
-            b += X.T @ (w * eta + y - p)
-        if seen:
-            yield pd.DataFrame({"i": np.arange(d + 1, dtype=np.int32),
-                                "s": [*[A[i, i:].tolist() for i in range(d)], [loss, *b.tolist()]]})
-
-    rows = (data.select("y", "x").mapInPandas(partial, "i int, s array<double>").groupBy("i")
+            arm, y_all = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x_all = np.hstack([matrix(batch.column(2)), np.ones((batch.num_rows, 1))])
+            for k, beta in betas.items():
+                mine = arm == k
+                if not mine.any():
+                    continue
+                seen.add(k)
+                X, y = x_all[mine], y_all[mine]
+                eta = X @ beta
+                p = 1.0 / (1.0 + np.exp(-eta))
+                w = p * (1.0 - p)
+                loss[k] += (np.logaddexp(0.0, eta) - y * eta).sum()
+                A[k] += (X * w[:, None]).T @ X
+                b[k] += X.T @ (w * eta + y - p)
+        for k in sorted(seen):
+            rows = [*[A[k][i, i:].tolist() for i in range(d)], [float(loss[k]), *b[k].tolist()]]
+            yield pa.RecordBatch.from_arrays([pa.array([k] * (d + 1), pa.int32()), pa.array(range(d + 1), pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
+                                             names=["arm", "i", "s"])
+
+    wanted = F.col("arm").isin(list(betas))
+    rows = (data.where(wanted).select(F.col("arm").cast("int").alias("arm"), F.col("y").cast("double").alias("y"), F.col("x").cast("array<double>").alias("x"))
+            .mapInArrow(partial, "arm int, i int, s array<double>").groupBy("arm", "i")
             .agg(Summarizer.sum(array_to_vector(F.col("s"))).alias("v")).collect())
-    total = {r["i"]: r["v"].toArray() for r in rows}
-    A = np.zeros((d, d))
-    for i in range(d):
-        A[i, i:] = total[i]
-    A = A + np.triu(A, 1).T
-    return float(total[d][0]), A, total[d][1:]
+    total = {(r["arm"], r["i"]): r["v"].toArray() for r in rows}
+    out = {}
+    for k in betas:
+        A = np.zeros((d, d))
+        for i in range(d):
+            A[i, i:] = total[k, i]
+        out[k] = float(total[k, d][0]), A + np.triu(A, 1).T, total[k, d][1:]
+    return out
 
 
 def _penalised_quadratic(A, b, l1, l2, start, tol=1e-13, max_sweeps=10_000):
@@ -242,42 +263,80 @@ def _penalised_quadratic(A, b, l1, l2, start, tol=1e-13, max_sweeps=10_000):
     return x
 
 
-def newton_logistic(xy: DataFrame, l1: list[float], l2: list[float], max_iter: int = 100,
-                    tol: float = 1e-12) -> list[float]:
-    """Penalised logistic regression by (proximal) Newton / IRLS:
-    minimise sum logloss(y, x.beta) + sum l1_j|beta_j| + 0.5 sum l2_j beta_j^2.
-    Each step is ONE aggregate over the data (d(d+1)/2 + d + 1 sums); the
-    d x d subproblem is solved on the driver. ``x`` must already contain the
-    intercept column if one is wanted."""
-    data = xy.select(F.col("y").cast("double").alias("y"), F.col("x")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        d = data.select(F.size("x").alias("d")).first()["d"]
-        l1v, l2v = np.asarray(l1, float), np.asarray(l2, float)
-        beta = np.zeros(d)
-        prev_obj, prev_beta = None, None
-        for _ in range(max_iter):
-            loss, A, b = _newton_stats(data, list(beta))
-            obj = loss + float(l1v @ np.abs(beta)) + 0.5 * float(l2v @ (beta * beta))
-            if prev_obj is not None and obj > prev_obj * (1 + 1e-13):
-                beta = (beta + prev_beta) / 2                  # damped step
+def newton_logistic(data: DataFrame, arms: list[int], l1: np.ndarray, l2: np.ndarray, max_iter: int = 100,
+                    tol: float = 1e-12) -> dict[int, np.ndarray]:
+    """Penalised logistic regressions of several arms by (proximal) Newton /
+    IRLS, each minimising sum logloss(y, x.beta) + sum l1_j|beta_j| + 0.5 sum
+    l2_j beta_j^2. A step of all arms that have not converged is ONE aggregate
+    over ``data`` (arm, y, x); the d x d subproblems are solved on the driver."""
+    beta = {k: np.zeros(len(l1)) for k in arms}
+    last: dict[int, tuple[float, np.ndarray]] = {}
+    done: dict[int, np.ndarray] = {}
+    for _ in range(max_iter):
+        left = {k: v for k, v in beta.items() if k not in done}
+        if not left:
+            return done
+        for k, (loss, A, b) in _newton_stats(data, left).items():
+            here = beta[k]
+            obj = loss + float(l1 @ np.abs(here)) + 0.5 * float(l2 @ (here * here))
+            if k in last and obj > last[k][0] * (1 + 1e-13):
+                beta[k] = (here + last[k][1]) / 2                  # damped step
                 continue
-            if prev_obj is not None and abs(prev_obj - obj) <= tol * max(1.0, abs(obj)):
-                return list(beta)
-            prev_obj, prev_beta = obj, beta
-            beta = _penalised_quadratic(A, b, l1v, l2v, beta)
-        raise RuntimeError(f"no convergence in {max_iter} steps")
-    finally:
-        data.unpersist()
+            if k in last and abs(last[k][0] - obj) <= tol * max(1.0, abs(obj)):
+                done[k] = here
+                continue
+            last[k] = obj, here
+            beta[k] = _penalised_quadratic(A, b, l1, l2, here)
+    if len(done) == len(arms):
+        return done
+    raise RuntimeError(f"no convergence in {max_iter} steps")
+
+
+def fit_arms(data: DataFrame, d: int, n_arms: int, C: float = 1.0, penalty: str = "l1", max_iter: int = 100,
+             tol: float = 1e-12) -> list[np.ndarray | None]:
+    """Coefficients and intercept of the arms 0 .. n_arms - 1 of ``data`` (arm,
+    y, x with d values): ``l2`` leaves the intercept out of the penalty, ``l1``
+    penalises it too. None for an arm whose outcome is constant (or empty)."""
+    span = {r["arm"]: r for r in data.groupBy("arm").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).collect()}
+    arms = [k for k in range(n_arms) if k in span and span[k]["lo"] is not None and span[k]["lo"] != span[k]["hi"]]
+    if not arms:
+        return [None] * n_arms
+    l1 = np.full(d + 1, 1.0 / C if penalty == "l1" else 0.0)
+    l2 = np.zeros(d + 1) if penalty == "l1" else np.append(np.full(d, 1.0 / C), 0.0)
+    found = newton_logistic(data, arms, l1, l2, max_iter, tol)
+    return [found.get(k) for k in range(n_arms)]
+
+
+def optimality(data: DataFrame, betas: list[np.ndarray | None], penalty: str, C: float = 1.0) -> DataFrame:
+    """(arm, pos, residual): how far each coefficient (the intercept last) is
+    from the conditions of a minimum, from one plain aggregate of the rows: the
+    gradient for ``l2``; for ``l1`` the distance of the loss's gradient from
+    the subgradient of the penalty. 0 at a minimum."""
+    d = len(next(b for b in betas if b is not None)) - 1
+    w = F.coalesce(*[F.when(F.col("arm") == k, F.array(*[F.lit(float(v)) for v in b])) for k, b in enumerate(betas) if b is not None])
+    x1 = F.concat(F.col("x"), F.array(F.lit(1.0)))
+    eta = F.aggregate(F.zip_with(x1, w, lambda a, c: a * c), F.lit(0.0), lambda s, t: s + t)
+    part = data.select("arm", (F.lit(C) * (F.lit(1.0) / (F.lit(1.0) + F.exp(-eta)) - F.col("y"))).alias("r"), x1.alias("x"))
+    long = part.select("arm", "r", F.posexplode("x").alias("pos", "v")).groupBy("arm", "pos").agg(F.sum(F.col("r") * F.col("v")).alias("g"))
+    flat = [(k, j, float(b[j])) for k, b in enumerate(betas) if b is not None for j in range(d + 1)]
+    coef = data.sparkSession.createDataFrame(flat, "arm int, pos int, w double")
+    joined = long.join(coef, ["arm", "pos"])
+    if penalty == "l2":
+        res = F.abs(F.col("g") + F.when(F.col("pos") < d, F.col("w")).otherwise(0.0))
+    else:
+        res = F.when(F.col("w") != 0, F.abs(F.col("g") + F.signum("w"))).otherwise(F.greatest(F.lit(0.0), F.abs(F.col("g")) - 1.0))
+    return joined.select("arm", "pos", res.alias("residual"))
 
 
 def fit_lr_l1(xy: DataFrame, C: float = 1.0, max_iter: int = 100, tol: float = 1e-12) -> LinearModel:
     """L1 logistic regression whose intercept is penalised too (the
     liblinear objective  ||w||_1 + C * sum(logloss)), by proximal Newton
     (one aggregate per step, usually < 10 steps)."""
-    d = xy.select(F.size("x").alias("d")).first()["d"] + 1
-    x1 = xy.select("row_id", "y", F.concat(F.col("x"), F.array(F.lit(1.0))).alias("x"))
-    beta = newton_logistic(x1, [1.0 / C] * d, [0.0] * d, max_iter, tol)
-    return LinearModel(beta[:-1], beta[-1])
+    d = xy.select(F.size("x").alias("d")).first()["d"]
+    beta = fit_arms(xy.withColumn("arm", F.lit(0)), d, 1, C, "l1", max_iter, tol)[0]
+    if beta is None:
+        raise ValueError("the outcome is constant")
+    return LinearModel(beta[:-1].tolist(), float(beta[-1]))
 
 
 class MLPModel:
@@ -344,39 +403,82 @@ def gan_test(synth_xy, real_xy, **kw):
     return validate_prediction(real_xy, synth_xy, **kw)
 
 
-def train_test_comparison(enc: Encoded, outcome: str, model_type: str = "lr", n_epoch: int = 5,
-                          seed: int = 0) -> dict[str, DataFrame]:
-    """R11 on a stacked encoding (train / test / synth groups): the synthetic
-    rows are split in the real train:test proportion; arms gan_real (fit real
-    train, test real test), gan_train (fit synth train, test real test) and
-    gan_test (fit real *test*, test synth test). Returns {'auc': (arm, auc,
-    status), 'roc': (arm, fpr, tpr, threshold)}."""
+ARMS = ("gan_real", "gan_train", "gan_test")
+
+
+def comparison_arms(enc: Encoded, outcome: str, seed: int = 0) -> tuple[DataFrame, int]:
+    """R11's rows, written once: (row_id, y, x, arm, on_real, on_synth). The
+    synthetic rows are split in the real train:test proportion; ``arm`` is the
+    one that fits on a row (0 real train, 1 synthetic train, 2 real test; NULL
+    for none), ``on_real`` marks the rows that arms 0 and 1 score, ``on_synth``
+    those of arm 2. Also the number of features."""
     from tabaudit.operators.sample import split_proportional
     from tabaudit.session import cut_lineage
     g = enc.group_col
-    # the encoded (y, x) frame is read ~15 times below (counts, exact split,
-    # guards, three fits, three scorings): write it once (n x d doubles) to
-    # the shared checkpoint directory
-    xy = cut_lineage(_split_xy(enc, outcome))
-    part = {k: xy.filter(F.col(g) == F.lit(k)).drop(g) for k in (TRAIN, TEST, SYNTH)}
-    n_tr, n_te = part[TRAIN].count(), part[TEST].count()
-    s_tr, s_te = split_proportional(part[SYNTH], n_tr, n_te, "row_id", seed=seed)
-    arms = {"gan_real": (part[TRAIN], part[TEST]), "gan_train": (s_tr, part[TEST]),
-            "gan_test": (part[TEST], s_te)}
+    xy, feats = split_outcome(enc, outcome)
+    # read for the counts, the split, every step of the fits and the scores
+    xy = cut_lineage(xy)
+    n = {r[g]: r["n"] for r in xy.groupBy(g).agg(F.count(F.lit(1)).alias("n")).collect()}
+    s_tr, s_te = split_proportional(xy.where(F.col(g) == SYNTH), n.get(TRAIN, 0), n.get(TEST, 0), "row_id", seed=seed)
+    none = F.lit(None).cast("int")
+    parts = [(xy.where(F.col(g) == TRAIN), F.lit(0), False, False), (s_tr, F.lit(1), False, False),
+             (xy.where(F.col(g) == TEST), F.lit(2), True, False), (s_te, none, False, True)]
+    out = None
+    for df, arm, real, synth in parts:
+        df = df.select("row_id", "y", "x", arm.cast("int").alias("arm"), F.lit(real).alias("on_real"), F.lit(synth).alias("on_synth"))
+        out = df if out is None else out.unionByName(df)
+    return out, len(feats)
+
+
+def score_arms(data: DataFrame, betas: list[np.ndarray | None]) -> DataFrame:
+    """(arm, row_id, y, p) of all arms over the rows that they are tested on."""
+    out = None
+    for k, beta in enumerate(betas):
+        if beta is not None:
+            rows = data.where("on_synth" if k == 2 else "on_real")
+            part = LinearModel(beta[:-1].tolist(), float(beta[-1])).score(rows).select(F.lit(ARMS[k]).alias("arm"), "row_id", "y", "p")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+class Comparison(dict):
+    """The result of R11; 'roc' (arm, fpr, tpr, threshold) is made when asked for."""
+
+    def __missing__(self, key: str) -> DataFrame:
+        if key != "roc":
+            raise KeyError(key)
+        out = None
+        for arm in self["arms"]:
+            curve = _roc(self["scores"].where(F.col("arm") == arm), "p", "y")
+            curve = curve.select(F.lit(arm).alias("arm"), "fpr", "tpr", "threshold")
+            out = curve if out is None else out.unionByName(curve)
+        self[key] = out
+        return out
+
+
+def train_test_comparison(enc: Encoded, outcome: str, model_type: str = "lr", n_epoch: int = 5,
+                          seed: int = 0) -> Comparison:
+    """R11 on a stacked encoding (train / test / synth groups): arms gan_real
+    (fit real train, test real test), gan_train (fit synth train, test real
+    test) and gan_test (fit real *test*, test synth test). All arms are fitted,
+    scored and rated together. Returns 'auc': (arm, auc, status), 'scores':
+    (arm, row_id, y, p) and 'roc'."""
+    data, d = comparison_arms(enc, outcome, seed)
     spark = enc.df.sparkSession
-    aucs, rocs = [], []
-    for arm, (fit_on, test_on) in arms.items():
-        res = validate_prediction(fit_on, test_on, model_type, n_epoch, seed)
-        if res is None:
-            aucs.append(spark.createDataFrame([(arm, None, "constant_outcome")],
-                                              "arm string, auc double, status string"))
-            continue
-        aucs.append(res["auc"].select(F.lit(arm).alias("arm"), "auc", F.lit("ok").alias("status")))
-        rocs.append(res["roc"].select(F.lit(arm).alias("arm"), "fpr", "tpr", "threshold"))
-    out_auc = aucs[0]
-    for a in aucs[1:]:
-        out_auc = out_auc.unionByName(a)
-    out_roc = None
-    for r in rocs:
-        out_roc = r if out_roc is None else out_roc.unionByName(r)
-    return {"auc": out_auc, "roc": out_roc}
+    if model_type == "lr":
+        betas = fit_arms(data.where("arm IS NOT NULL"), d, len(ARMS))
+        fitted = [a for a, b in zip(ARMS, betas) if b is not None]
+        scores = score_arms(data, betas)
+    else:
+        scores, fitted = None, []
+        for k, arm in enumerate(ARMS):
+            res = validate_prediction(data.where(F.col("arm") == k), data.where("on_synth" if k == 2 else "on_real"), model_type, n_epoch, seed)
+            if res is not None:
+                part = res["scores"].select(F.lit(arm).alias("arm"), "row_id", "y", "p")
+                scores = part if scores is None else scores.unionByName(part)
+                fitted.append(arm)
+    failed = spark.createDataFrame([(a, None, "constant_outcome") for a in ARMS if a not in fitted], "arm string, auc double, status string")
+    if scores is None:
+        return Comparison(auc=failed, scores=spark.createDataFrame([], "arm string, row_id long, y int, p double"), arms=[], roc=None)
+    rated = auc_by(scores, "arm", "p", "y").select("arm", "auc", F.lit("ok").alias("status"))
+    return Comparison(auc=rated.unionByName(failed), scores=scores, arms=fitted)

@@ -527,6 +527,41 @@ def train_test_comparison(spark, sf):
     return res["auc"].select("arm", F.round("auc", 4).alias("auc"), "status")
 
 
+def _named_residuals(data, betas, feats, arms, penalty):
+    """(arm, feature, residual) of fitted arms; 4 digits, as the sums have some 1e5 terms."""
+    names = data.sparkSession.createDataFrame([(k, a) for k, a in enumerate(arms)], "arm int, name string")
+    labels = data.sparkSession.createDataFrame(list(enumerate([f.label for f in feats] + ["intercept"])), "pos int, feature string")
+    out = R.optimality(data, betas, penalty).join(names, "arm").join(labels, "pos")
+    return out.select(F.col("name").alias("arm"), "feature", (F.round("residual", 4) + F.lit(0.0)).alias("residual"))
+
+
+@query("effect_residual")
+def effect_residual(spark, sf):
+    """How far the effects of each table are from the conditions of the L2 minimum."""
+    from tabaudit.session import cut_lineage
+    enc, roles = _stacked(spark, sf), ["train", "test", "synth"]
+    xy, feats = E.split_outcome(enc, OUTCOME)
+    data = cut_lineage(xy.select(R._number(F.col("role"), roles).alias("arm"), "y", "x"))
+    return _named_residuals(data, R.fit_arms(data, len(feats), 3, 1.0, "l2"), feats, roles, "l2")
+
+
+@query("arm_residual")
+def arm_residual(spark, sf):
+    """How far the models of the three arms are from the conditions of the L1 minimum."""
+    enc = _stacked(spark, sf)
+    data, d = R.comparison_arms(enc, OUTCOME, X.SEED)
+    fitted = data.where("arm IS NOT NULL").select("arm", "y", "x")
+    feats = E.split_outcome(enc, OUTCOME)[1]
+    return _named_residuals(fitted, R.fit_arms(fitted, d, 3), feats, R.ARMS, "l1")
+
+
+@query("arm_rows")
+def arm_rows(spark, sf):
+    """The rows that each arm is fitted and tested on, with their outcome."""
+    data, _ = R.comparison_arms(_stacked(spark, sf), OUTCOME, X.SEED)
+    return data.select("row_id", "y", "arm", "on_real", "on_synth")
+
+
 @query("constant_outcome_guard")
 def constant_outcome_guard(spark, sf):
     """R8 on each table's outcome, and on the train rows of either class."""

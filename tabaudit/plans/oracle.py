@@ -376,6 +376,28 @@ SELECT o_orderkey AS row_id, 'helloworld' AS constant,
        {_u('continuous')} AS continuous
 FROM orders""")
 
+# -------------------------------------------------------------- R4-R11
+_FITTED = [lbl for lbl in ENC_LABELS if lbl != "tier__tier"] + ["intercept"]
+
+
+def _zeros(arms) -> str:
+    """At a minimum all residuals are 0."""
+    return (f"SELECT arm, feature, CAST(0.0 AS DOUBLE) AS residual FROM (SELECT unnest([{', '.join(q(a) for a in arms)}]) AS arm) a, "
+            f"(SELECT unnest([{', '.join(q(x) for x in _FITTED)}]) AS feature) f")
+
+
+oracle("effect_residual", _zeros(("train", "test", "synth")))
+oracle("arm_residual", _zeros(("gan_real", "gan_train", "gan_test")))
+oracle("arm_rows", with_(*BASE, enc_cte("enc", "own"), """n AS (SELECT
+    count(CASE WHEN role = 'train' THEN 1 END) AS n_tr, count(CASE WHEN role = 'test' THEN 1 END) AS n_te,
+    count(CASE WHEN role = 'synth' THEN 1 END) AS n_s FROM cohort)""",
+    f"""r AS (SELECT row_id, row_number() OVER (ORDER BY {H(str(SEED), q('synth_split'), 'row_id')}, row_id) AS rn
+           FROM cohort WHERE role = 'synth')""") + """
+SELECT e.row_id, CAST(round_even("tier__tier", 0) AS INTEGER) AS y,
+       CASE role WHEN 'train' THEN 0 WHEN 'test' THEN 2 ELSE (CASE WHEN rn <= k THEN 1 END) END AS arm,
+       role = 'test' AS on_real, coalesce(rn > k, FALSE) AS on_synth
+FROM enc e LEFT JOIN r USING (row_id), (SELECT round_even(n_s * (CAST(n_tr AS DOUBLE) / (n_tr + n_te)), 0) AS k FROM n)""")
+
 # ---------------------------------------------------------------- R8, S1
 oracle("constant_outcome_guard", with_(COHORT) + """
 SELECT role AS arm, count(DISTINCT tier) <= 1 AS constant FROM cohort GROUP BY role
