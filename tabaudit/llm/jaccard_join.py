@@ -37,6 +37,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -313,7 +314,7 @@ def compare(asks: DataFrame, members: DataFrame, tokens: DataFrame, percent: int
     """Links (a, b) that connect whatever is similar between the queries of a
     chunk and its members, and among its members. ``asks``: (gid, sig, n,
     own), own where the query is a member itself; ``members``: (gid, sig, n);
-    ``tokens``: (sig, tokens). Queries are dealt into blocks of bounded size,
+    ``tokens``: (sig, tokens, part), of which a set's first part counts. Queries are dealt into blocks of bounded size,
     each with a copy of the members, whose number callers bound."""
     outside = asks.where(~F.col("own"))
     load = (asks.groupBy("gid").agg(
@@ -326,7 +327,8 @@ def compare(asks: DataFrame, members: DataFrame, tokens: DataFrame, percent: int
     # members are compared with each other in block 0, if some of them may be linked
     right = members.join(load, "gid").select("gid", "sig", "inner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select(
         "gid", "block", "sig", F.when(F.col("inner") & (F.col("block") == 0), 2).otherwise(1).alias("side"))
-    rows = left.unionByName(right).join(tokens, "sig")
+    first = tokens.groupBy("sig").agg(F.min("part").alias("part"))
+    rows = left.unionByName(right).join(first, "sig").join(tokens, ["sig", "part"]).drop("part")
 
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         bound_memory()
@@ -447,16 +449,18 @@ def similarity_classes(docs: DataFrame, sets: DataFrame, doc_id: str = "doc_id",
     main = main.groupBy("group").agg(F.max(F.struct("c", "label"))["label"].alias("label"))
     joined = materialize(several.select("sig", "group").join(labels, "sig").join(main, ["group", "label"], "left_semi").select("sig"), "join-joined")
 
-    # the matrix: a row for a token (a run) and a chunk; a set asks the chunks that it shares tokens with
+    # the matrix: a row for a token (a run) and a chunk; a set asks the chunks that it shares tokens with (numbers stand for
+    # the names of sets, groups and chunks)
     owned = chunk.select(F.col("g").alias("gid"), F.col("m").alias("own_m"))
-    placed = weights.join(group.select("nid", "sig", "n", "group", "gid"), "nid").drop("nid").join(owned, "gid")
-    placed = materialize(placed.join(joined.withColumn("core", F.lit(True)), "sig", "left").withColumn("core", F.coalesce("core", F.lit(False))), "join-placed")
-    matrix = placed.select("run", F.col("gid").alias("g"), F.col("group").alias("g_group"), F.col("own_m").alias("m")).distinct()
+    asking = group.join(owned, "gid").join(joined.withColumn("core", F.lit(True)), "sig", "left").select(
+        "nid", F.xxhash64("group").alias("in"), F.xxhash64("gid").alias("at"), F.col("own_m").cast("int"), F.coalesce("core", F.lit(False)).alias("core"))
+    placed = materialize(weights.join(asking, "nid"), "join-placed")
+    matrix = placed.select("run", F.col("at").alias("to"), F.col("in").alias("to_in"), F.col("own_m").alias("m")).distinct()
     # of two groups' chunks the smaller one asks the larger one
-    other = (placed["group"] != matrix["g_group"]) & ((F.col("own_m") < F.col("m")) | ((F.col("own_m") == F.col("m")) & (F.col("gid") > F.col("g"))))
-    left = (placed["group"] == matrix["g_group"]) & ~F.col("core") & (F.col("gid") != F.col("g"))
-    shared = (placed.join(matrix, (placed["run"] == matrix["run"]) & (other | left))
-              .groupBy("sig", "g").agg(F.sum("w").alias("c"), F.max("n").alias("n")))
+    other = (placed["in"] != matrix["to_in"]) & ((F.col("own_m") < F.col("m")) | ((F.col("own_m") == F.col("m")) & (F.col("at") > F.col("to"))))
+    left = (placed["in"] == matrix["to_in"]) & ~F.col("core") & (F.col("at") != F.col("to"))
+    shared = placed.join(matrix, (placed["run"] == matrix["run"]) & (other | left)).groupBy("nid", "to").agg(F.sum("w").alias("c"))
+    shared = shared.join(group.select("nid", "sig", "n"), "nid").join(chunk.select("g", F.xxhash64("g").alias("to")), "to")
     # the shared prefix tokens bound the overlap with every member
     low = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
     high = F.least(F.col("high"), F.floor(100 * F.col("n") / percent))
@@ -514,32 +518,40 @@ def nid_of(sig):
 
 
 def _tokens_of(docs: DataFrame, doc_id: str, text: str, known: DataFrame, k: int) -> DataFrame:
-    """(sig, tokens) of the known sets, from the texts of the documents that
-    stand for them. A document with the id of another one comes along; its set
-    is one more row that nothing asks for."""
-    ids = known.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")).distinct()
+    """(sig, tokens, part) of the known sets, from the texts of the documents
+    that stand for them; rows that repeat an id and its text give a set once a
+    task, and ``part`` tells these apart."""
+    ids = known.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), "nid").distinct()
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = own.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_null", F.col("doc_id").isNull())
 
     def run(batches):
+        bound_memory()
+        seen: set[bytes] = set()
+        part = TaskContext.get().partitionId()
         held: list[tuple[bytes, bytes]] = []
         size = 0
-        for sig, s in _fresh_sets(batches, k):
-            held.append((sig, s.tobytes()))
-            size += 8 * len(s)
-            if size >= 4 << 20:
-                yield _rows(held)
-                held, size = [], 0
+        for batch in batches:
+            for wanted, s in zip(batch.column(1).to_pylist(), shingle_sets(batch.column(0), k)):
+                sig = digest(s) if len(s) else b""
+                # a document with the id of another one has a set of its own
+                if len(s) and int.from_bytes(sig[:8], "little", signed=True) == wanted and sig not in seen:
+                    seen.add(sig)
+                    held.append((sig, s.tobytes()))
+                    size += 8 * len(s)
+                    if size >= 4 << 20:
+                        yield _rows(held, part)
+                        held, size = [], 0
         if held:
-            yield _rows(held)
+            yield _rows(held, part)
+        release_memory()
 
-    def _rows(held):
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.binary()), pa.array([t for _, t in held], pa.binary())],
-                                          names=["sig", "tokens"])
+    def _rows(held, part):
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.binary()), pa.array([t for _, t in held], pa.binary()),
+                                           pa.array([part] * len(held), pa.int32())], names=["sig", "tokens", "part"])
 
-    found = own.join(side, ["_id", "_null"], "left_semi").select("text").mapInArrow(run, "sig binary, tokens binary")
-    return found.dropDuplicates(["sig"])
+    return own.join(side, ["_id", "_null"]).select("text", "nid").mapInArrow(run, "sig binary, tokens binary, part int")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
