@@ -237,17 +237,6 @@ def infer_types(df: DataFrame, row_id: str | None = "row_id", columns=None, sent
     return df.sparkSession.createDataFrame(rows, "label string, type string")
 
 
-def sorted_distinct(df: DataFrame, columns: list[str], sentinel=DEFAULT_SENTINEL) -> DataFrame:
-    """(label, value, pos) of the distinct values of every column in UTF-8
-    order, ``pos`` from 0 within the column; values are ordered over all columns
-    at once, so no column's values meet in one task."""
-    from tabaudit.operators.prefix import row_index
-    values = value_counts(df, columns, sentinel).select("label", "value", F.struct("label", "value").alias("_key"))
-    placed = cut_lineage(row_index(values, "_key", name="_at"))
-    first = placed.groupBy("label").agg(F.min("_at").alias("_first"))     # one row a column
-    return placed.join(first, "label").select("label", "value", (F.col("_at") - F.col("_first")).cast("int").alias("pos"))
-
-
 def numeric_test(df: DataFrame, row_id: str | None = "row_id", columns=None,
                  sentinel=DEFAULT_SENTINEL) -> DataFrame:
     """P1 over every non-missing cell: (label, is_numeric). Deliberate change

@@ -198,6 +198,40 @@ def outcome_split(spark, sf):
     return df.select("row_id", "role", "y", *[r6(F.col("x")[i]).alias(f.label) for i, f in enumerate(feats)])
 
 
+def _sparse_events(spark, sf):
+    from tabaudit.operators.sparse import sparse_spec
+    events = X.table(spark, sf, "events")
+    return events, sparse_spec(events, "event_id", sentinel=X.SENTINEL)
+
+
+@query("sparse_encode")
+def sparse_encode(spark, sf):
+    """E1/E6 with dictionaries of any size: every column of events, one of
+    them with as many values as rows."""
+    from tabaudit.operators.sparse import encode_sparse
+    events, spec = _sparse_events(spark, sf)
+    out = encode_sparse(events, spec, "event_id")
+    return out.select("event_id", "label", "pos", r6(F.col("value")).alias("value"))
+
+
+@query("sparse_vectors")
+def sparse_vectors(spark, sf):
+    from tabaudit.operators.sparse import encode_sparse, to_vectors
+    events, spec = _sparse_events(spark, sf)
+    v = to_vectors(encode_sparse(events, spec, "event_id"), "event_id")
+    return v.select("event_id", F.size("indices").alias("n"), F.element_at("indices", 1).alias("first"), F.element_at("indices", -1).alias("last"),
+                    r6(F.aggregate("values", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query("sparse_restore")
+def sparse_restore(spark, sf):
+    """E7/E8 through the dictionary."""
+    from tabaudit.operators.sparse import decode_sparse, encode_sparse
+    events, spec = _sparse_events(spark, sf)
+    out = decode_sparse(encode_sparse(events, spec, "event_id"), spec, events, "event_id")
+    return out.select("event_id", "ts", r6(F.col("user_id")).alias("user_id"), "event_type", r6(F.col("value")).alias("value"), "props")
+
+
 # ------------------------------------------------------------ R1-R3, S9
 def _frequency(spark, sf):
     return R.frequency_of(_all_roles(spark, sf))
@@ -268,7 +302,8 @@ def union_rows(spark, sf):
 
 @query("sorted_distinct")
 def sorted_distinct(spark, sf):
-    return P.sorted_distinct(_cohort(spark, sf), X.FEATURES, X.SENTINEL)
+    from tabaudit.operators.sparse import value_dictionary
+    return value_dictionary(_cohort(spark, sf), X.FEATURES, X.SENTINEL).select("label", "value", F.col("pos").cast("int").alias("pos"))
 
 
 # ------------------------------------------------------------------- G1, G2

@@ -142,6 +142,21 @@ SELECT row_id, role, CAST(round_even("tier__tier", 0) AS INTEGER) AS y,
        {', '.join(f'{R6(dq(lbl))} AS {dq(lbl)}' for lbl in ENC_LABELS if lbl != 'tier__tier')}
 FROM enc""")
 
+_SPARSE = with_("ev AS (SELECT event_id, CAST(ts AS VARCHAR) AS ts, user_id, event_type, value, props FROM events)",
+                "cells AS (UNPIVOT (SELECT event_id, ts, event_type, props FROM ev) ON ts, event_type, props INTO NAME label VALUE v)",
+                "st AS (SELECT min(user_id) AS u0, max(user_id) AS u1, min(value) AS v0, max(value) AS v1 FROM ev)",
+                """entries AS (
+  SELECT event_id, label, dense_rank() OVER (PARTITION BY label ORDER BY v) - 1 AS pos, CAST(1.0 AS DOUBLE) AS value FROM cells
+  UNION ALL SELECT event_id, 'user_id', 0, (user_id - u0) / CAST(u1 - u0 AS DOUBLE) FROM ev, st WHERE user_id <> u0
+  UNION ALL SELECT event_id, 'value', 0, (value - v0) / (v1 - v0) FROM ev, st WHERE value <> v0)""",
+                """width AS (SELECT count(DISTINCT ts) AS ts, count(DISTINCT event_type) AS ty FROM ev)""",
+                """placed AS (SELECT e.*, pos + CASE label WHEN 'ts' THEN 0 WHEN 'user_id' THEN w.ts WHEN 'event_type' THEN w.ts + 2
+     WHEN 'value' THEN w.ts + 2 + w.ty ELSE w.ts + 4 + w.ty END AS idx FROM entries e, width w)""")
+oracle("sparse_encode", _SPARSE + f"SELECT event_id, label, pos, {R6('value')} AS value FROM placed")
+oracle("sparse_vectors", _SPARSE + f"""SELECT event_id, CAST(count(*) AS INTEGER) AS n, min(idx) AS first, max(idx) AS last, {R6('sum(value)')} AS total
+FROM placed GROUP BY event_id""")
+oracle("sparse_restore", f"""SELECT event_id, CAST(ts AS VARCHAR) AS ts, {R6('user_id')} AS user_id, event_type, {R6('value')} AS value, props FROM events""")
+
 # ------------------------------------------------------------ R1-R3, S9
 FREQ = with_(*BASE, enc_cte("enc", "own"), """long AS (
   UNPIVOT (SELECT * EXCLUDE (row_id) FROM enc) ON COLUMNS(* EXCLUDE (role)) INTO NAME feature VALUE value)""",
