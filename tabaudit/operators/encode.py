@@ -252,9 +252,16 @@ def encode(df: DataFrame, spec: EncodingSpec, row_id: str = "row_id",
 
 
 # ----------------------------------------------------------------- decoding
-def argmax_decode(seg: Column, values: list[str]) -> Column:
-    """Value at the position of the segment maximum; ties -> first."""
-    pos = F.array_position(seg, F.array_max(seg))
+def argmax_decode(seg: Column, values: list[str], key: Column | None = None, seed: int = 0, tag: str = "tie") -> Column:
+    """Value at the position of the segment maximum. Of equal maxima the
+    first is taken, or with ``key`` (a column that names the row) one by a
+    keyed draw, each with the same chance."""
+    if key is None:
+        pos = F.array_position(seg, F.array_max(seg))
+    else:
+        top = F.array_max(seg)
+        equal = F.filter(F.sequence(F.lit(1), F.lit(len(values))), lambda i: F.element_at(seg, i) == top)
+        pos = F.element_at(equal, F.floor(hash_uniform(seed, tag, key) * F.size(equal)).cast("int") + 1)
     return F.element_at(F.array(*[F.lit(v) for v in values]), pos.cast("int"))
 
 

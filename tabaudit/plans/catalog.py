@@ -198,6 +198,39 @@ def outcome_split(spark, sf):
     return df.select("row_id", "role", "y", *[r6(F.col("x")[i]).alias(f.label) for i, f in enumerate(feats)])
 
 
+@query("encode_optional_flags")
+def encode_optional_flags(spark, sf):
+    """E6 with require_missing=False: flags only for columns with missing cells."""
+    return R.prepare_stacked(_cohort(spark, sf, role=True), "role", "train", "row_id", X.SENTINEL, require_missing=False).wide(DIGITS)
+
+
+@query("argmax_random_tie")
+def argmax_random_tie(spark, sf):
+    """E7 with a keyed draw among equal maxima."""
+    from tabaudit.functions.rand import hash_bit
+    cat = _spec(spark, sf)["categorical"]
+    c = _cohort(spark, sf).select("row_id")
+    bits = F.array(*[hash_bit(X.SEED, "argmax", i, F.col("row_id")) for i in range(len(cat.unique))])
+    return c.select("row_id", E.argmax_decode(bits, cat.unique, F.col("row_id"), X.SEED).alias("categorical"))
+
+
+@query("type_overrides")
+def type_overrides(spark, sf):
+    return P.infer_types(_cohort(spark, sf), "row_id", sentinel=X.SENTINEL, overrides={"count": "continuous", "tier": "categorical"})
+
+
+@query("spec_roundtrip")
+def spec_roundtrip(spark, sf):
+    """The spec is written and read back."""
+    from tabaudit.session import scratch_path
+    from tabaudit.spec import EncodingSpec
+    path = scratch_path(spark, "spec")
+    _spec(spark, sf).save(spark, path)
+    return EncodingSpec.load(spark, path).to_frame(spark).select(
+        "label", "pos", "type", r6(F.col("min")).alias("min"), r6(F.col("max")).alias("max"),
+        "zero", "one", F.array_join("unique", ",").alias("unique_values"), "missing")
+
+
 def _sparse_events(spark, sf):
     from tabaudit.operators.sparse import sparse_spec
     events = X.table(spark, sf, "events")
@@ -268,6 +301,13 @@ def split_exact(spark, sf):
         te.select("row_id", F.lit("test").alias("part")))
 
 
+@query("split_floor")
+def split_floor(spark, sf):
+    """floor(n * share) rows."""
+    tr, te = D.split_exact(_cohort(spark, sf), 0.3333, "row_id", seed=X.SEED, tag="split_floor", rounding="floor")
+    return tr.select("row_id", F.lit("train").alias("part")).unionByName(te.select("row_id", F.lit("test").alias("part")))
+
+
 @query("split_complement")
 def split_complement(spark, sf):
     c = _cohort(spark, sf)
@@ -495,6 +535,19 @@ def membership_attack(spark, sf):
     return M.auc(_membership(spark, sf), "prob", "label").select(r6(F.col("auc")).alias("auc"))
 
 
+@query("membership_roc")
+def membership_roc(spark, sf):
+    """N7's curve, over probabilities of 6 digits."""
+    s = _membership(spark, sf).withColumn("prob", r6(F.col("prob")))
+    return M.roc_curve(s, "prob", "label").select(r6(F.col("fpr")).alias("fpr"), r6(F.col("tpr")).alias("tpr"), r6(F.col("threshold")).alias("threshold"))
+
+
+@query("summary_membership")
+def summary_membership(spark, sf):
+    from tabaudit.operators.report import summarize_membership
+    return summarize_membership(M.auc(_membership(spark, sf), "prob", "label"))
+
+
 # ------------------------------------------------------------------ S5, S8
 @query("default_header")
 def default_header(spark, sf):
@@ -646,6 +699,35 @@ def generate_restore(spark, sf):
                       r6(F.col("count")).alias("count"), r6(F.col("continuous")).alias("continuous"))
 
 
+def _tree(spark, sf):
+    from tabaudit.operators import tree as T
+    train = _roles(spark, sf)["train"]
+    model = T.fit_tree(train, "row_id", sentinel=X.SENTINEL)
+    return T, train, model
+
+
+@query("generate_tree")
+def generate_tree(spark, sf):
+    """G4 by a dependence tree: as many rows as the train table has."""
+    T, train, model = _tree(spark, sf)
+    out = T.sample_tree(spark, model, train.count(), seed=X.SEED)
+    return out.withColumns({c: r6(F.col(c)) for c in ("count", "continuous")})
+
+
+@query("tree_joint_shares")
+def tree_joint_shares(spark, sf):
+    """For all pairs of columns and all pairs of states that train rows have:
+    whether the generated share of the pair is within 0.03 of the train share."""
+    from tabaudit.session import cut_lineage
+    T, train, model = _tree(spark, sf)
+    n = train.count()
+    gen = T.sample_tree(spark, model, n, seed=X.SEED)
+    real, synth = (T.pair_counts(T.states(df, model), X.FEATURES) for df in (train, gen))
+    both = cut_lineage(real.join(synth.withColumnRenamed("n", "m"), ["a", "b", "va", "vb"], "left"))
+    off = F.abs(F.col("n") - F.coalesce(F.col("m"), F.lit(0))) / F.lit(float(n))
+    return both.groupBy("a", "b").agg(F.bool_and(off <= 0.03).alias("ok"), (F.sum("n") == n).alias("whole"))
+
+
 # ------------------------------------------------------------ S1, S4, S6
 @query("file_roundtrip")
 def file_roundtrip(spark, sf):
@@ -660,6 +742,18 @@ def file_roundtrip(spark, sf):
                        F.col("continuous").cast("double").alias("continuous"))
 
 
+@query("file_row_ids")
+def file_row_ids(spark, sf):
+    """S1 for files without a key: the cohort in order of its keys, written
+    without them to several files, and numbered by reading them."""
+    from tabaudit.session import scratch_path
+    from tabaudit.sources.files import read_table, write_table
+    path = scratch_path(spark, "keyless") + ".csv"
+    write_table(_cohort(spark, sf).repartitionByRange(5, "row_id").sortWithinPartitions("row_id").drop("row_id"), path)
+    back = read_table(spark, path, fmt="csv", row_id="line")
+    return back.select("line", "tier", "categorical", "priority", F.col("continuous").cast("double").alias("continuous"))
+
+
 @query("summary_nearest")
 def summary_nearest(spark, sf):
     from tabaudit.operators.report import summarize_nearest

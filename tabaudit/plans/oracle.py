@@ -142,6 +142,21 @@ SELECT row_id, role, CAST(round_even("tier__tier", 0) AS INTEGER) AS y,
        {', '.join(f'{R6(dq(lbl))} AS {dq(lbl)}' for lbl in ENC_LABELS if lbl != 'tier__tier')}
 FROM enc""")
 
+oracle("encode_optional_flags", with_(*BASE, enc_cte("enc", "own")) + "SELECT row_id, role, " + ", ".join(
+    f"{R6(dq(x))} AS {dq(name)}" for x, name in [("constant__constant", "constant"), ("tier__tier", "tier"), ("count__count", "count")]
+    + [(x, x) for x in ENC_LABELS if x[:4] in ("cate", "prio", "cont") and x != f"priority__{N_PRI}"]) + " FROM enc")
+
+_EQUAL = "list_filter(range(1, 5), lambda i: [b0, b1, b2, b3][i] = greatest(b0, b1, b2, b3))"
+oracle("argmax_random_tie", with_(*BASE, "bits AS (SELECT row_id, " + ", ".join(f"{_bit(i)} AS b{i}" for i in range(4)) + " FROM cohort)",
+                                  f"eq AS (SELECT row_id, {_EQUAL} AS e FROM bits)") + f"""
+SELECT row_id, (SELECT u FROM cat_u)[e[CAST(floor({U(str(SEED), q('tie'), 'row_id')} * len(e)) AS INTEGER) + 1]] AS categorical FROM eq""")
+
+oracle("type_overrides", with_(COHORT) + f"""
+SELECT label, CASE label WHEN 'count' THEN 'continuous' WHEN 'tier' THEN 'categorical' ELSE type END AS type
+FROM ({profile_sql('cohort')}) p""")
+
+oracle("spec_roundtrip", ORACLE["profile_metadata"])
+
 _SPARSE = with_("ev AS (SELECT event_id, CAST(ts AS VARCHAR) AS ts, user_id, event_type, value, props FROM events)",
                 "cells AS (UNPIVOT (SELECT event_id, ts, event_type, props FROM ev) ON ts, event_type, props INTO NAME label VALUE v)",
                 "st AS (SELECT min(user_id) AS u0, max(user_id) AS u1, min(value) AS v0, max(value) AS v1 FROM ev)",
@@ -187,6 +202,13 @@ WITH r AS (SELECT o_orderkey AS row_id,
 k AS (SELECT round_even(count(*) * 0.75, 0) AS k FROM orders)
 SELECT row_id, CASE WHEN rn <= k THEN 'train' ELSE 'test' END AS part FROM r, k""")
 
+oracle("split_floor", f"""
+WITH r AS (SELECT o_orderkey AS row_id,
+                  row_number() OVER (ORDER BY {H(str(SEED), q('split_floor'), 'o_orderkey')}, o_orderkey) AS rn
+           FROM orders),
+k AS (SELECT floor(count(*) * CAST(0.3333 AS DOUBLE)) AS k FROM orders)
+SELECT row_id, CASE WHEN rn <= k THEN 'train' ELSE 'test' END AS part FROM r, k""")
+
 oracle("split_complement", f"""
 WITH r AS (SELECT o_orderkey AS row_id,
                   row_number() OVER (ORDER BY {H(str(SEED), q('split_exact'), 'o_orderkey')}, o_orderkey) AS rn
@@ -373,6 +395,24 @@ oracle("membership_attack", MEMB + f""", s2 AS (SELECT prob AS score, sum(label)
 c2 AS (SELECT pos, neg, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps FROM s2)
 SELECT {R6('sum(neg * (2 * tps - pos)) / (2.0 * sum(pos) * sum(neg))')} AS auc FROM c2""")
 
+oracle("membership_roc", MEMB + f""", s2 AS (SELECT round(prob, 6) AS score, sum(label) AS pos, sum(1 - label) AS neg FROM sc GROUP BY 1),
+cum AS (SELECT score, pos, neg,
+    sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps,
+    sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fps,
+    row_number() OVER (ORDER BY score DESC) AS idx FROM s2),
+tot AS (SELECT sum(pos) AS P, sum(neg) AS N, max(score) AS smax FROM s2),
+nb AS (SELECT *, lag(tps) OVER (ORDER BY idx) AS tp0, lag(fps) OVER (ORDER BY idx) AS fp0,
+    lead(tps) OVER (ORDER BY idx) AS tp2, lead(fps) OVER (ORDER BY idx) AS fp2 FROM cum)
+SELECT CAST(0.0 AS DOUBLE) AS fpr, CAST(0.0 AS DOUBLE) AS tpr, {R6('smax + 1.0')} AS threshold FROM tot
+UNION ALL
+SELECT {R6('fps / N')}, {R6('tps / P')}, {R6('score')} FROM nb, tot
+WHERE tp0 IS NULL OR tp2 IS NULL OR fp2 - 2 * fps + fp0 <> 0 OR tp2 - 2 * tps + tp0 <> 0""")
+
+oracle("summary_membership", MEMB + f""", s2 AS (SELECT prob AS score, sum(label) AS pos, sum(1 - label) AS neg FROM sc GROUP BY prob),
+c2 AS (SELECT pos, neg, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tps FROM s2)
+SELECT 'membership_inference' AS analysis, 'auc' AS metric,
+       round_even(sum(neg * (2 * tps - pos)) / (2.0 * sum(pos) * sum(neg)), 2) AS value FROM c2""")
+
 # ------------------------------------------------------------------ S5, S8
 oracle("default_header", "SELECT c_custkey AS C0, c_name AS C1, c_nationkey AS C2, c_acctbal AS C3, "
                          "c_mktsegment AS C4 FROM customer")
@@ -430,3 +470,9 @@ SELECT 'nearest_neighbors' AS analysis, kind AS metric, round_even(avg(dist), 2)
 oracle("feather_roundtrip", with_(COHORT) + 'SELECT row_id, constant, tier, categorical, priority, "count", continuous FROM cohort')
 
 oracle("npy_roundtrip", with_(COHORT) + 'SELECT row_id, constant, tier, categorical, priority, "count", continuous FROM cohort')
+
+oracle("file_row_ids", with_(COHORT) + """
+SELECT row_number() OVER (ORDER BY row_id) - 1 AS line, tier, categorical, priority, continuous FROM cohort""")
+
+oracle("tree_joint_shares", " UNION ALL ".join(
+    f"SELECT {q(a)} AS a, {q(b)} AS b, TRUE AS ok, TRUE AS whole" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1:]))

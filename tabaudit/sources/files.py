@@ -15,7 +15,7 @@ from __future__ import annotations
 import glob
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,9 +48,24 @@ def _expand(path: str) -> list[str]:
     return sorted(glob.glob(path)) or [path]
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", has_header: bool = True) -> DataFrame:
+def _numbered(scan: DataFrame, name: str) -> DataFrame:
+    """``scan``, straight from files, with the number (from 0) that a reader of
+    all files in the order of their names and lines would give a row. Rows are
+    numbered within the block of a file that a task reads, and blocks by one
+    count each, so the numbers are the same whatever the blocks, and retries
+    give them again."""
+    read = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_at"))
+    blocks = read.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)     # one row a block
+    blocks = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return read.join(blocks, ["_file", "_block"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_file", "_block", "_at", "_shift")
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", has_header: bool = True, row_id: str | None = None) -> DataFrame:
     """All-string read; '' stays '' (not NULL); '# ' stripped from the
-    first header label."""
+    first header label. ``row_id`` names an added column for files without a
+    key: the row's number over all files."""
     reader = (spark.read.option("sep", sep).option("header", has_header)
               .option("nullValue", None).option("emptyValue", "")
               .option("inferSchema", False).option("mode", "FAILFAST"))
@@ -63,11 +78,15 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", has_header: bool =
             df = df.withColumnRenamed(first, first[1:].lstrip())
     else:
         df = with_default_header(df)
-    return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    labels = df.columns
+    kept = []
+    if row_id is not None:
+        df, kept = _numbered(df, row_id), [row_id]
+    return df.select(*kept, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in labels])
 
 
 def read_table(spark: SparkSession, path: str, has_header: bool = True,
-               fmt: str | None = None) -> DataFrame:
+               fmt: str | None = None, row_id: str | None = None) -> DataFrame:
     """Read any supported format; unknown suffix or missing path
     raises (the reference returns None)."""
     fmt = fmt or file_type(path.rstrip("/"))
@@ -80,7 +99,7 @@ def read_table(spark: SparkSession, path: str, has_header: bool = True,
     if "://" not in local and not glob.glob(local):
         raise FileNotFoundError(path)
     if fmt in ("csv", "tsv"):
-        return read_csv(spark, path, "\t" if fmt == "tsv" else ",", has_header)
+        return read_csv(spark, path, "\t" if fmt == "tsv" else ",", has_header, row_id)
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "feather":

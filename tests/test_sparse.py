@@ -51,3 +51,41 @@ def test_all_tables_are_searched_at_once(spark):
     out = {(r["id"], r["kind"]): r["dist"] for r in nearest_by_kind(rows, {"near": near, "none": none}, "own", block_rows=4).collect()}
     assert all(out[i, "own"] == 0.0 and out[i, "none"] is None for i in range(40)) and out[99, "own"] == 41.0
     assert all(out[i, "near"] == 0.25 for i in range(40)) and out[99, "near"] == 38.75
+
+
+def test_row_numbers_do_not_depend_on_blocks(spark, tmp_path):
+    from tabaudit.sources.files import read_table, write_table
+    path = str(tmp_path / "keyless.csv")
+    write_table(spark.range(5000).select(F.col("id"), F.concat(F.lit("x"), F.col("id")).alias("x")).repartitionByRange(3, "id").sortWithinPartitions("id"), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    try:
+        for size in ("1k", "7k", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            back = read_table(spark, path, row_id="line")
+            seen.append(sorted((r["line"], r["id"], r["x"]) for r in back.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] == seen[2] == [(i, str(i), f"x{i}") for i in range(5000)]
+
+
+def test_tree_keeps_dependence_without_order(spark):
+    """A nominal pair whose dependence no order of the categories shows."""
+    from tabaudit.operators import tree as T
+    import random
+    rng = random.Random(2)
+    rows = []
+    for i in range(4000):
+        a = rng.choice("abc")
+        b = {"a": "x", "b": "y", "c": "x"}[a] if rng.random() < 0.9 else rng.choice("xy")
+        rows.append((i, a, b, rng.choice([None, float(rng.randrange(100)) + (500 if b == "y" else 0)])))
+    df = spark.createDataFrame(rows, "row_id long, a string, b string, v double")
+    model = T.fit_tree(df)
+    assert dict(model.order)["b"] == "a" or dict(model.order)["v"] == "b"
+    gen = T.sample_tree(spark, model, 4000, seed=1)
+    share = {(r["a"], r["b"]): r["n"] / 4000 for r in gen.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
+    real = {(r["a"], r["b"]): r["n"] / 4000 for r in df.groupBy("a", "b").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(share.get(k, 0) - x) < 0.03 for k, x in real.items())
+    low = gen.where("b = 'x' AND v <> -999999").agg(F.avg("v")).first()[0]
+    high = gen.where("b = 'y' AND v <> -999999").agg(F.avg("v")).first()[0]
+    assert high - low > 400 and 0.4 < gen.where("v = -999999").count() / 4000 < 0.6
