@@ -1,6 +1,7 @@
 """Exact nearest neighbours of binary codes by multi-index hashing.
 
-A code of 64 bits is cut into segments. If two codes differ in at most
+A code of 64 bits is cut into segments of about log2 of the number of codes in
+a block, so that a bucket holds about one code. If two codes differ in at most
 ``r`` bits, then with radius a = r // segments and rest = r % segments either
 one of the first rest + 1 segments differs in at most a bits or one of the
 others in at most a - 1 (Norouzi, Punjani and Fleet, 2012). So a search probes,
@@ -19,8 +20,8 @@ blocks stop at that radius.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from tabaudit.llm.common import materialize, read_table
 
 BITS = 64
-SEGMENTS = 4
+#: Bounds of a segment's bits.
+LEAST_WIDTH, MOST_WIDTH = 4, 16
 K = 10
 QUERY_EVERY = 20
 #: Codes of a block that a task indexes, and of a block of queries.
@@ -52,25 +54,36 @@ def sign_code(vector: Column, bits: int = BITS) -> Column:
     return F.when(vector.isNotNull(), out)
 
 
+@lru_cache(maxsize=256)
 def flips(bits: int, distance: int) -> np.ndarray:
     """All masks of ``bits`` bits with ``distance`` ones."""
     return np.array([sum(1 << b for b in c) for c in combinations(range(bits), distance)], np.int64)
 
 
+def segment_count(n: int, bits: int = BITS) -> int:
+    """Segments of a block of n codes."""
+    width = min(MOST_WIDTH, max(LEAST_WIDTH, round(np.log2(max(2, n)))))
+    return -(-bits // width)
+
+
 class MultiIndex:
     """A multi-index over one block of distinct codes (uint64)."""
 
-    def __init__(self, codes: np.ndarray, segments: int = SEGMENTS, bits: int = BITS):
-        self.codes, self.segments, self.width = codes, segments, bits // segments
+    def __init__(self, codes: np.ndarray, segments: int | None = None, bits: int = BITS):
+        self.codes = codes
+        m = segments or segment_count(len(codes), bits)
+        ends = [bits * (s + 1) // m for s in range(m)]
+        self.cuts = [(a, b - a) for a, b in zip([0, *ends], ends)]  # first bit and width of every segment
+        self.looked_up = 0  # codes taken from buckets by all searches
         self.tables = []
-        for s in range(segments):
+        for s, (_, width) in enumerate(self.cuts):
             value = self.segment(codes, s)
             order = np.argsort(value, kind="stable")
-            first = np.searchsorted(value[order], np.arange((1 << self.width) + 1))
-            self.tables.append((order, first))
+            self.tables.append((order, np.searchsorted(value[order], np.arange((1 << width) + 1))))
 
     def segment(self, codes: np.ndarray, s: int) -> np.ndarray:
-        return ((codes >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
+        at, width = self.cuts[s]
+        return ((codes >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
     def search(self, query: np.uint64, k: int, weights: np.ndarray, stop_at: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, distances) that hold the k nearest ids, ties at the kth
@@ -79,37 +92,33 @@ class MultiIndex:
         seen = np.zeros(0, np.int64)
         far = np.zeros(0, np.int64)
         fresh = np.ones(len(self.codes), bool)
+        own = [int(self.segment(np.array([query], np.uint64), s)[0]) for s in range(len(self.cuts))]
         kth = stop_at
-        for radius in range(self.width + 1):
-            masks = flips(self.width, radius)
-            # with more buckets to look up than codes, looking at every code is the same and cheaper
-            whole = comb(self.width, radius) * self.segments >= len(self.codes)
-            for s in range(self.segments):
-                order, first = self.tables[s]
-                if whole:
-                    got = np.nonzero(fresh)[0]
-                else:
-                    value = int(self.segment(np.array([query], np.uint64), s)[0]) ^ masks
+        for radius in range(max(width for _, width in self.cuts) + 1):
+            for s, (_, width) in enumerate(self.cuts):
+                if radius <= width:
+                    order, first = self.tables[s]
+                    value = own[s] ^ flips(width, radius)
                     a, n = first[value], first[value + 1] - first[value]
                     held = np.nonzero(n)[0]
                     a, n = a[held], n[held]
                     got = order[np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] \
                         if len(n) else np.zeros(0, np.int64)
+                    self.looked_up += len(got)
                     got = got[fresh[got]]
-                if len(got):
-                    fresh[got] = False
-                    d = np.bitwise_count(self.codes[got] ^ query).astype(np.int64)
-                    near = d <= kth
-                    seen, far = np.concatenate((seen, got[near])), np.concatenate((far, d[near]))
-                    rank = np.argsort(far, kind="stable")
-                    enough = np.searchsorted(np.cumsum(weights[seen[rank]]), k)
-                    if enough < len(rank):
-                        kth = min(kth, int(far[rank[enough]]))
-                        keep = far <= kth
-                        seen, far = seen[keep], far[keep]
+                    if len(got):
+                        fresh[got] = False
+                        d = np.bitwise_count(self.codes[got] ^ query).astype(np.int64)
+                        near = d <= kth
+                        seen, far = np.concatenate((seen, got[near])), np.concatenate((far, d[near]))
+                        rank = np.argsort(far, kind="stable")
+                        enough = np.searchsorted(np.cumsum(weights[seen[rank]]), k)
+                        if enough < len(rank):
+                            kth = min(kth, int(far[rank[enough]]))
+                            keep = far <= kth
+                            seen, far = seen[keep], far[keep]
                 # all codes within this distance have been seen by now
-                covered = self.segments * self.width if whole else radius * self.segments + s
-                if kth <= covered:
+                if kth <= radius * len(self.cuts) + s:
                     return seen, far
         return seen, far
 
@@ -117,7 +126,7 @@ class MultiIndex:
 PAIRS = "query_code long, code long, distance int"
 
 
-def search_codes(entries: DataFrame, queries: DataFrame, k: int = K, segments: int = SEGMENTS,
+def search_codes(entries: DataFrame, queries: DataFrame, k: int = K, segments: int | None = None,
                  entry_block: int = ENTRY_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_code, code, distance) that hold every query code's k nearest
     ids. ``entries``: (code, n) with distinct codes and the ids each stands
@@ -165,7 +174,7 @@ def search_codes(entries: DataFrame, queries: DataFrame, k: int = K, segments: i
 
 
 def top_k(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding", k: int = K,
-          query_every: int = QUERY_EVERY, segments: int = SEGMENTS, entry_block: int = ENTRY_BLOCK,
+          query_every: int = QUERY_EVERY, segments: int | None = None, entry_block: int = ENTRY_BLOCK,
           query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest rows, by (Hamming distance of sign codes, id), of every
     row whose id is divisible by ``query_every``, the row itself excepted:

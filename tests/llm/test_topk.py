@@ -58,3 +58,19 @@ def test_search_stops_only_when_the_kth_distance_is_covered():
             at, far = index.search(q, k, ones, K.BITS)
             kth = np.sort(d)[k - 1]
             assert sorted(far.tolist()) == sorted(d[d <= kth].tolist()) and len(set(at.tolist())) == len(at)
+
+
+def test_the_index_alone_answers():
+    """Searches take codes from buckets only, far fewer than all, and find what a scan finds."""
+    import numpy as np
+    from tabaudit.llm import topk as T
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    codes = np.unique(centres[rng.integers(0, 60, 3000)] ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)))
+    index = T.MultiIndex(codes)
+    assert len(index.cuts) == T.segment_count(len(codes)) and sum(w for _, w in index.cuts) == 64
+    for query in codes[::50]:
+        at, d = index.search(query, 11, np.ones(len(codes), np.int64), 64)
+        far = np.sort(np.bitwise_count(codes ^ query))
+        assert np.array_equal(np.sort(d), far[far <= far[10]])
+    assert index.looked_up < 0.5 * len(codes) * len(codes[::50])
