@@ -351,8 +351,7 @@ from tabaudit.operators import generate as G  # noqa: E402
 
 
 def _enc_train(spark, sf):
-    spec = _spec(spark, sf)
-    return E.encode(_roles(spark, sf)["train"], spec, "row_id")
+    return _all_roles(spark, sf).group("train")
 
 
 @query("marginal_sample")
@@ -478,9 +477,9 @@ def nn_self(spark, sf):
 
 
 def _enc_roles(spark, sf):
-    spec = _spec(spark, sf)
-    r = _roles(spark, sf)
-    return {k: E.encode(v, spec, "row_id") for k, v in r.items()}
+    """Every role encoded by the train rows' spec, from one first pass."""
+    enc = _all_roles(spark, sf)
+    return {k: enc.group(k) for k in ("train", "test", "synth")}
 
 
 @query("nn_cross")
