@@ -431,14 +431,37 @@ def similarity_classes(docs: DataFrame, sets: DataFrame, doc_id: str = "doc_id",
         "group", F.lit("/").cast("binary"), F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("string").cast("binary")).alias("gid")), "join-groups")
     chunk = group.groupBy(F.col("gid").alias("g")).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
     chunk = materialize(chunk, "join-chunks")
-    tokens = materialize(_tokens_of(docs, doc_id, text, known, k), "join-tokens")
+    several = group.where(F.col("chunks") > 1).select("nid", "sig", "n", "group", "gid")
+    inside = group.join(chunk.where(F.col("m") > 1).select(F.col("g").alias("gid")), "gid", "left_semi").select("gid", "sig", "n")
+
+    # the matrix: a row for a token (a run) and a chunk; a set asks the chunks that it shares tokens with (numbers stand for
+    # the names of groups and chunks)
+    owned = chunk.select(F.col("g").alias("gid"), F.col("m").cast("int").alias("own_m"))
+    asking = group.join(owned, "gid").select("nid", F.xxhash64("group").alias("in"), F.xxhash64("gid").alias("at"), "own_m")
+    placed = materialize(weights.join(asking, "nid"), "join-placed")
+    matrix = placed.select(F.col("run").alias("to_run"), F.col("at").alias("to"), F.col("in").alias("to_in"), F.col("own_m").alias("m")).distinct()
+
+    def bounded(rows: DataFrame, which, name: str) -> DataFrame:
+        """The asks of placed rows whose shared prefix tokens may suffice for some member of a chunk."""
+        shared = rows.join(matrix, (F.col("run") == F.col("to_run")) & which).groupBy("nid", "to").agg(F.sum("w").alias("c"))
+        shared = shared.join(group.select("nid", "sig", "n"), "nid").join(chunk.select("*", F.xxhash64("g").alias("to")), "to")
+        low = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
+        high = F.least(F.col("high"), F.floor(100 * F.col("n") / percent))
+        enough = F.col("c") >= F.least(shared_needed(F.col("n"), low, percent), shared_needed(F.col("n"), high, percent))
+        return materialize(shared.where((low <= high) & enough).select(F.col("g").alias("gid"), "sig", "n", F.lit(False).alias("own")), name)
+
+    # of two groups' chunks the smaller one asks the larger one
+    larger = (F.col("own_m") < F.col("m")) | ((F.col("own_m") == F.col("m")) & (F.col("at") > F.col("to")))
+    abroad = bounded(placed, (F.col("in") != F.col("to_in")) & larger, "join-asks-abroad")
+    asked = group.join(abroad.select("gid").distinct(), "gid", "left_semi")
+    named = inside.select("sig").unionByName(several.select("sig")).unionByName(abroad.select("sig")).unionByName(asked.select("sig")).distinct()
+    tokens = materialize(_tokens_of(docs, doc_id, text, known.join(named, "sig", "left_semi"), k), "join-tokens")
 
     # links within the chunks, and of the members of a group of several chunks with the one that most have as leader
-    several = group.where(F.col("chunks") > 1).select("nid", "sig", "n", "group", "gid")
     heads = several.join(best, "nid").groupBy("group", "leader").agg(F.count(F.lit(1)).alias("c"))
     heads = heads.groupBy("group").agg(F.max(F.struct("c", "leader"))["leader"].alias("nid")).join(names, "nid")
+    heads = heads.join(named, "sig", "left_semi")
     at_head = F.concat("group", F.lit("/head").cast("binary")).alias("gid")
-    inside = group.join(chunk.where(F.col("m") > 1).select(F.col("g").alias("gid")), "gid", "left_semi").select("gid", "sig", "n")
     near = materialize(compare(
         inside.withColumn("own", F.lit(True)).unionByName(several.select(at_head, "sig", "n", F.lit(False).alias("own"))),
         inside.select("gid", "sig", "n").unionByName(heads.select(at_head, "sig", F.lit(0).alias("n"))), tokens, percent, chunk_sets, chunk_tokens),
@@ -447,27 +470,10 @@ def similarity_classes(docs: DataFrame, sets: DataFrame, doc_id: str = "doc_id",
     labels = components(near)
     main = several.join(labels, "sig").groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"))
     main = main.groupBy("group").agg(F.max(F.struct("c", "label"))["label"].alias("label"))
-    joined = materialize(several.select("sig", "group").join(labels, "sig").join(main, ["group", "label"], "left_semi").select("sig"), "join-joined")
-
-    # the matrix: a row for a token (a run) and a chunk; a set asks the chunks that it shares tokens with (numbers stand for
-    # the names of sets, groups and chunks)
-    owned = chunk.select(F.col("g").alias("gid"), F.col("m").alias("own_m"))
-    asking = group.join(owned, "gid").join(joined.withColumn("core", F.lit(True)), "sig", "left").select(
-        "nid", F.xxhash64("group").alias("in"), F.xxhash64("gid").alias("at"), F.col("own_m").cast("int"), F.coalesce("core", F.lit(False)).alias("core"))
-    placed = materialize(weights.join(asking, "nid"), "join-placed")
-    matrix = placed.select("run", F.col("at").alias("to"), F.col("in").alias("to_in"), F.col("own_m").alias("m")).distinct()
-    # of two groups' chunks the smaller one asks the larger one
-    other = (placed["in"] != matrix["to_in"]) & ((F.col("own_m") < F.col("m")) | ((F.col("own_m") == F.col("m")) & (F.col("at") > F.col("to"))))
-    left = (placed["in"] == matrix["to_in"]) & ~F.col("core") & (F.col("at") != F.col("to"))
-    shared = placed.join(matrix, (placed["run"] == matrix["run"]) & (other | left)).groupBy("nid", "to").agg(F.sum("w").alias("c"))
-    shared = shared.join(group.select("nid", "sig", "n"), "nid").join(chunk.select("g", F.xxhash64("g").alias("to")), "to")
-    # the shared prefix tokens bound the overlap with every member
-    low = F.greatest(F.col("low"), F.ceil(percent * F.col("n") / 100))
-    high = F.least(F.col("high"), F.floor(100 * F.col("n") / percent))
-    asks = (shared.join(chunk, "g")
-            .where((low <= high) & (F.col("c") >= F.least(shared_needed(F.col("n"), low, percent), shared_needed(F.col("n"), high, percent))))
-            .select(F.col("g").alias("gid"), "sig", "n", F.lit(False).alias("own")))
-    asks = materialize(asks, "join-asks")
+    joined = several.select("nid", "sig", "group").join(labels, "sig").join(main, ["group", "label"], "left_semi").select("nid")
+    outside = materialize(several.select("nid").join(joined, "nid", "left_anti"), "join-outside")
+    home = bounded(placed.join(outside, "nid", "left_semi"), (F.col("in") == F.col("to_in")) & (F.col("at") != F.col("to")), "join-asks-home")
+    asks = abroad.unionByName(home)
     members = materialize(group.select("gid", "sig", "n").join(asks.select("gid").distinct(), "gid", "left_semi"), "join-members")
     links = near.unionByName(materialize(compare(asks, members, tokens, percent, chunk_sets, chunk_tokens), "join-links"))
 
