@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 
 from tabaudit.llm.common import release_memory
 
-#: Pieces of a task's cache (some 100 MB); a full cache starts anew.
-CACHE_PIECES = 500_000
+#: Pieces of a task's cache (some 200 MB); a full cache starts anew.
+CACHE_PIECES = 1_000_000
 #: Fixed value: ASCII punctuation but the apostrophe.
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Fixed value: white space.
