@@ -137,3 +137,43 @@ def test_vectorised_metrics_match_pairs(spark):
         for i in range(40):
             others = np.delete(x, i, 0)
             assert abs(got[i] - N.pair_distance(np.repeat(x[i:i + 1], 39, 0), others, metric).min()) < 1e-12
+
+
+def test_boxes_spare_most_of_random_bits():
+    from tabaudit.operators import pivots as P
+    rng = np.random.default_rng(6)
+    refs = np.unique(rng.integers(0, 2, (6000, 13)).astype(float), axis=0)
+    x = np.hstack([rng.integers(0, 2, (300, 11)).astype(float), rng.random((300, 2))])
+    d = np.sqrt(((x[:, None] - refs[None]) ** 2).sum(-1))
+    tree = P.Tree(refs, 64)
+    _, lo, hi = P.boxes(refs, tree.of, tree.leaves)
+    tree.enclose(lo, hi)
+    asked = np.zeros((300, tree.leaves), bool)
+    for leaf, rows in tree.reached(x, d.min(axis=1) * (1 + 1e-9), "euclidean"):
+        asked[rows, leaf] = True
+    assert asked[np.arange(300), tree.of[d.argmin(axis=1)]].all() and asked.mean() < 0.2
+    got = P.pruned_min(x, refs, np.arange(300), None, np.full(300, np.inf), "euclidean")
+    assert np.allclose(got, d.min(axis=1), rtol=1e-12)
+
+
+def test_rows_sent_at_a_time_are_bounded(spark, monkeypatch):
+    from tabaudit.operators import pivots as P
+    sizes, made = [], P._ask_rows
+
+    def noted(qid, v, rows, kind, block, best):
+        sizes.append(len(rows))
+        return made(qid, v, rows, kind, block, best)
+
+    import pyarrow as pa
+    monkeypatch.setattr(P, "ASK_ROWS", 7)
+    monkeypatch.setattr(P, "_ask_rows", noted)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 24))
+    v = pa.array(x.tolist(), pa.list_(pa.float64()))
+    tree = P.Tree(x, 2)
+    _, lo, hi = P.boxes(x, tree.of, tree.leaves)
+    n = np.bincount(tree.of)
+    router = P.Router({0: tree}, {0: lo}, "euclidean", {(0, c): (int(n[c]), 1e9, lo[c], hi[c]) for c in range(tree.leaves)}, 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(40)), v, pa.array(np.full(40, np.inf))], names=["qid", "v", "b0"])
+    sent = list(P.ask_others([batch], router, "euclidean"))
+    assert max(sizes) <= 7 and sum(len(b) for b in sent) == 40 * (router.blocks - 1)
