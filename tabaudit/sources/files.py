@@ -6,7 +6,7 @@
 * Feather (Arrow IPC) is read by a Python ``DataSource`` with one input
   partition per file, so many files are read in parallel by executors.
 * ``.npy`` matrices are read with ``mapInPandas`` over a file-list frame
-  (one task per file group); object arrays are refused (no pickle).
+  (one task per file group, in bounded pieces); object arrays are refused (no pickle).
 * ``write_table`` writes a directory of CSV parts with a plain header.
 """
 
@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Cells of a matrix that a task writes or reads at a time.
+NPY_CELLS = 1 << 18
+
 SUFFIXES = (("npy", ".npy"), ("feather", ".feather"), ("csv", ".csv"), ("tsv", ".tsv"),
             ("parquet", ".parquet"))
 
@@ -182,8 +185,9 @@ def read_npy(spark: SparkSession, paths: list[str], has_header: bool = True) ->
         for pdf in it:
             for p in pdf["path"]:
                 m = np.load(p, mmap_mode="r", allow_pickle=False)
-                body = m[1:] if has_header else m
-                yield pd.DataFrame(np.asarray(body).astype(str), columns=header)
+                step = max(1, NPY_CELLS // max(1, m.shape[1]))
+                for a in range(int(has_header), len(m), step):     # a file of any size in bounded pieces
+                    yield pd.DataFrame(np.asarray(m[a:a + step]).astype(str), columns=header)
 
     return files.mapInPandas(load, schema)
 
@@ -217,28 +221,43 @@ def write_feather(df: DataFrame, path: str) -> list[str]:
 
 
 def write_npy(df: DataFrame, path: str, with_header: bool = True) -> list[str]:
-    """Write one 2-D string ``.npy`` matrix per partition (header as the
-    first row when ``with_header``), by the executors, into ``path``."""
+    """Write 2-D string ``.npy`` matrices (header as the first row when
+    ``with_header``) of at most NPY_CELLS cells, by the executors, into
+    ``path``: a task holds one matrix, whatever the size of its partition."""
     import uuid
 
     local = path[len("file:"):] if path.startswith("file:") else path
     os.makedirs(local, exist_ok=True)
     run = uuid.uuid4().hex
     header = list(df.columns)
+    most = max(1, NPY_CELLS // max(1, len(header)))
 
     def write(batches):
         import numpy as np
         import pandas as pd
         from pyspark import TaskContext
         ctx = TaskContext.get()
-        parts = [b.astype(str).to_numpy() for b in batches if len(b)]
-        if parts:
-            body = np.vstack(parts)
-            m = np.vstack([np.array(header, dtype=str)[None, :], body]) if with_header else body
-            name = os.path.join(local, f"part-{ctx.partitionId():05d}-{ctx.attemptNumber()}-{run}.npy")
+        top = [np.array(header, dtype=str)[None, :]] if with_header else []
+        parts: list = []
+        held = made = 0
+
+        def save():
+            nonlocal parts, held, made
+            name = os.path.join(local, f"part-{ctx.partitionId():05d}-{made:05d}-{ctx.attemptNumber()}-{run}.npy")
             tmp = name + ".tmp.npy"
-            np.save(tmp, m.astype(str), allow_pickle=False)
+            np.save(tmp, np.vstack([*top, *parts]).astype(str), allow_pickle=False)
             os.replace(tmp, name)
-            yield pd.DataFrame({"file": [name]})
+            parts, held, made = [], 0, made + 1
+            return pd.DataFrame({"file": [name]})
+
+        for b in batches:
+            for a in range(0, len(b), most):
+                piece = b.iloc[a:a + most]
+                if held and held + len(piece) > most:
+                    yield save()
+                parts.append(piece.astype(str).to_numpy())
+                held += len(piece)
+        if held:
+            yield save()
 
     return [r["file"] for r in df.mapInPandas(write, "file string").collect()]

@@ -178,3 +178,15 @@ def test_user_generator_protocol(spark):
     assert out.count() == 20 and all(v == 0.5 for r in out.collect() for v in r["x"])
     cop = G.CopulaGenerator("marginal")
     assert cop.generate(spark, cop.fit(enc), 10).count() == 10
+
+
+def test_npy_matrices_are_bounded(spark, monkeypatch):
+    """A partition of many rows is several matrices, and they hold every row once."""
+    import numpy as np
+    monkeypatch.setattr(S, "NPY_CELLS", 40)
+    d = tempfile.mkdtemp(prefix="tabaudit-npy-")
+    df = spark.range(0, 95, 1, 1).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    files = S.write_npy(df, d)
+    assert len(files) == 5 and all(len(np.load(f)) <= 21 for f in files)
+    got = S.read_table(spark, d, fmt="npy")
+    assert sorted((int(r["k"]), r["v"]) for r in got.collect()) == [(i, f"v{i}") for i in range(95)]
