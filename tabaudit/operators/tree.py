@@ -145,9 +145,10 @@ def sample_tree(spark: SparkSession, model: TreeModel, n: int, seed: int = 0, ro
     for c, p in model.order:
         table = shares.where(F.col("label") == c).select(F.col("given").alias("_given"), "shares")
         given = F.lit("") if p is None else F.col(f"_s_{p}")
-        rows = rows.withColumn("_given", given).join(F.broadcast(table) if small else table, "_given")
-        u = hash_uniform(seed, "tree", c, F.col(row_id))
-        rows = rows.withColumn(f"_s_{c}", F.element_at(F.filter("shares", lambda e: e["upto"] > u), 1)["value"]).drop("_given", "shares")
+        # the draw is a column before the join, so that it is made once a row and not once a share that it is compared with
+        drawn = rows.withColumns({"_given": given, "_u": hash_uniform(seed, "tree", c, F.col(row_id))})
+        rows = drawn.join(F.broadcast(table) if small else table, "_given")
+        rows = rows.withColumn(f"_s_{c}", F.element_at(F.filter("shares", lambda e: e["upto"] > F.col("_u")), 1)["value"]).drop("_given", "_u", "shares")
     out = [F.col(row_id)]
     for c, t in model.dtypes.items():
         s = F.col(f"_s_{c}")

@@ -190,3 +190,14 @@ def test_npy_matrices_are_bounded(spark, monkeypatch):
     assert len(files) == 5 and all(len(np.load(f)) <= 21 for f in files)
     got = S.read_table(spark, d, fmt="npy")
     assert sorted((int(r["k"]), r["v"]) for r in got.collect()) == [(i, f"v{i}") for i in range(95)]
+
+
+def test_tree_draws_once_a_row(spark):
+    """No hash is inside the function that a row's shares are compared by."""
+    from tabaudit.operators import tree as T
+    df = spark.createDataFrame([(i, "ab"[i % 2], "xyz"[i % 3]) for i in range(30)], "row_id long, p string, q string")
+    out = T.sample_tree(spark, T.fit_tree(df), 40, seed=3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    steps = plan.split("lambdafunction(")[1:]
+    assert len(steps) >= 2 and not any("md5(" in s.split(" AS ")[0] for s in steps)
+    assert out.count() == 40 and {r["q"] for r in out.collect()} == {"x", "y", "z"}
