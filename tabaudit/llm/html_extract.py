@@ -1,11 +1,13 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host share a template. Each page is parsed into a tree of blocks;
-siblings with one label are one node, as lists and paragraphs vary in number,
-so that a node is known by the labels on its path, and nodes that simple tree
-matching (Yang, 1991) would align between pages of a host share a path. For
-every path the host's distinct pages that have it are counted, and those that
-hold each of its texts. Paths whose text stays the same are template, paths
+siblings with one label are one node, as lists and paragraphs vary in number.
+The outlines of a host's pages are merged into one template by simple tree
+matching (Yang, 1991), in a tree of bounded groups on the executors, and every
+page is then matched to it: a node of a page is the node of the template that it
+is aligned with, and what aligns with none is known by the labels on its path.
+For every node the host's distinct pages that have it are counted, and those that
+hold each of its texts. Nodes whose text stays the same are template, nodes
 whose text varies are slots. Slots are content unless they lie in parts that
 pages mark as something else (navigation, header, footer, aside, forms,
 adverts, notices, comments: by tag, role, class or id) or that are mostly links
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import html as html_lib
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -52,8 +55,12 @@ ASIDE_WORDS = frozenset("ad ads advert advertisement advertising adsense banner
                         "commentlist disqus reply replies respond widget toolbar pagination pager search contentinfo complementary".split())
 #: Pages that make a text a template's, and their share of the pages that have its path.
 MIN_PAGES, MIN_SHARE = 5, 0.5
-#: Nodes of a tree that merge() keeps in memory.
+#: Nodes of a host's template; those that fewer outlines have are known by their labels.
 MAX_NODES = 2000
+#: Outlines that are merged in one group.
+FAN_IN = 16
+#: Alignments of an outline with a template that a task remembers.
+MEMO_OUTLINES = 2000
 #: Most of a page's content that template text may be, and link share that makes a slot navigation.
 MAX_DROPPED, LINK_SHARE = 0.25, 0.8
 #: Bytes of all wrappers up to which they are broadcast.
@@ -381,11 +388,86 @@ def _prune(t: Template, least: int) -> None:
         _prune(k, least)
 
 
+# -------------------------------------------------------------------- alignment
+def outline(root: Node) -> Template:
+    """The page's nodes without their texts, labelled parts left out; a tree
+    of at most 60 levels and MAX_NODES nodes, all others are known by their labels."""
+    top = Template(root.key)
+    top.pages = made = 1
+    stack = [(root, top, {}, 0)]
+    while stack:
+        node, t, by_key, depth = stack.pop()
+        below = []
+        for k in node.kids:
+            if isinstance(k, Node) and not k.aside and depth < 60 and (k.key in by_key or made < MAX_NODES):
+                if k.key not in by_key:
+                    kid = Template(k.key)
+                    kid.pages, made = 1, made + 1
+                    by_key[k.key] = kid, {}
+                    t.kids.append(kid)
+                below.append((k, *by_key[k.key], depth + 1))
+        stack += below[::-1]
+    return top
+
+
+def packed_outline(t: Template) -> str:
+    return json.dumps(t.to_list(), ensure_ascii=False, separators=(",", ":"))
+
+
+def align(template: Template, page: Template) -> dict[int, int]:
+    """The label paths of a page's nodes that are other nodes of the template
+    than the first of their labels, by simple tree matching."""
+    out: dict[int, int] = {}
+    at = path_of(0, page.key)
+    stack = [(template, page, match(template, page)[1], at, at)]
+    while stack:
+        a, b, pairs, path, node = stack.pop()
+        with_b = {j: (i, inner) for i, j, inner in pairs}
+        keys = [k.key for k in a.kids] if a is not None else []
+        for j, kid in enumerate(b.kids):
+            below = path_of(path, kid.key)
+            if j in with_b:
+                i, inner = with_b[j]
+                nth = keys[:i].count(kid.key)
+                own = path_of(node, kid.key if not nth else f"{kid.key} {nth + 1}")
+                stack.append((a.kids[i], kid, inner, below, own))
+            else:  # a node of its own, where the template has others of the label
+                own = path_of(node, f"{kid.key} -" if kid.key in keys else kid.key)
+                stack.append((None, kid, [], below, own))
+            if own != below:
+                out[below] = own
+    return out
+
+
+class Aligner:
+    """Alignments with packed templates, remembered by outline."""
+
+    def __init__(self):
+        self.templates: dict[str, Template] = {}
+        self.known: dict[tuple[str, str], dict[int, int]] = {}
+
+    def of(self, root: Node, packed: str | None) -> dict[int, int]:
+        if packed is None:
+            return {}
+        page = outline(root)
+        key = packed, packed_outline(page)
+        if key not in self.known:
+            if len(self.known) >= MEMO_OUTLINES:
+                self.known.clear()
+            if packed not in self.templates:
+                if len(self.templates) > 500:
+                    self.templates.clear()
+                self.templates[packed] = Template.of_list(json.loads(packed))
+            self.known[key] = align(self.templates[packed], page)
+        return self.known[key]
+
+
 # -------------------------------------------------------------------- extraction
-def blocks_of(root: Node):
-    """(path, text, link share, groups of ROOTS it lies in) in page order, of
-    all that is no labelled part; (path, None, 0.0, groups) where a node begins."""
-    at = path_of(0, root.key)
+def blocks_of(root: Node, aligned: dict[int, int] | None = None):
+    """(node, text, link share, groups of ROOTS it lies in) in page order, of
+    all that is no labelled part; (node, None, 0.0, groups) where a node begins.
+    ``aligned`` has the nodes that are not the hash of their label path."""
+    at, aligned = path_of(0, root.key), aligned or {}
     yield at, None, 0.0, {}
     open_nodes = [(lines(root), root, at, {})]  # a stack of its own: pages nest without bound
     while open_nodes:
@@ -394,20 +476,20 @@ def blocks_of(root: Node):
         if item is None:
             open_nodes.pop()
         elif not isinstance(item, Node):
-            yield at, *item, groups
+            yield aligned.get(at, at), *item, groups
         elif not item.aside:
             inner = {**groups, item.tag: id(node)} if item.tag in ROOTS and item.tag not in groups else groups
             path = path_of(at, item.key)
-            yield path, None, 0.0, inner
+            yield aligned.get(path, path), None, 0.0, inner
             open_nodes.append((lines(item), item, path, inner))
 
 
-def extract(root: Node, wrapper: Wrapper | Template | None) -> str:
+def extract(root: Node, wrapper: Wrapper | Template | None, aligned: dict[int, int] | None = None) -> str:
     """Main text of a page under its host's wrapper (None: by labels alone)."""
     if isinstance(wrapper, Template):
         wrapper = Wrapper.of_tree(wrapper)
     w = wrapper or Wrapper()
-    found = [(text, (path ^ fingerprint(text)) in w.texts, groups) for path, text, share, groups in blocks_of(root)
+    found = [(text, (path ^ fingerprint(text)) in w.texts, groups) for path, text, share, groups in blocks_of(root, aligned)
              if text is not None and not (share > LINK_SHARE and path in w.links)]
     found = _content(found)
     total = sum(len(t) for t, _ in found)
@@ -437,12 +519,12 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _facts(root: Node) -> tuple[list, list, list, list]:
+def _facts(root: Node, aligned: dict[int, int] | None = None) -> tuple[list, list, list, list]:
     """Paths of a page (text None) and their texts, each once, with letters and
     linked letters of a path: (path, text, chars, linked) as columns."""
     sums: dict[int, list[int]] = {}
     texts: dict[tuple[int, int], None] = {}
-    for path, text, share, _ in blocks_of(root):
+    for path, text, share, _ in blocks_of(root, aligned):
         if text is None:
             sums.setdefault(path, [0, 0])
             continue
@@ -454,23 +536,66 @@ def _facts(root: Node) -> tuple[list, list, list, list]:
             [*(c for c, _ in sums.values()), *none], [*(c for _, c in sums.values()), *none])
 
 
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, template) from all rows (host, html): the outlines of a host's
+    pages, each once, merged by simple tree matching. A group has about FAN_IN
+    outlines or merged trees, whatever the number of pages."""
+    def run(batches):
+        for batch in batches:
+            found = {(h, packed_outline(outline(parse(t)))) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t}
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())],
+                                             names=["host", "template"])
+
+    trees = materialize(pages.select("host", "html").mapInArrow(run, "host string, template string").distinct().withColumn("k", F.xxhash64("template")), "html-outlines")
+    most = trees.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+
+    def together(rows: pa.Table) -> pa.Table:
+        packed = sorted(zip(rows.column("k").to_pylist(), rows.column("template").to_pylist()))
+        tree = Template.of_list(json.loads(packed[0][1]))
+        for _, t in packed[1:]:
+            merge(tree, Template.of_list(json.loads(t)))
+        return pa.table({"host": rows.column("host")[:1], "template": [packed_outline(tree)], "k": pa.array([packed[0][0]], pa.int64())})
+
+    groups = 1
+    while groups * FAN_IN < most:
+        groups *= FAN_IN
+    while True:
+        grouped = trees.withColumn("part", F.pmod(F.col("k"), F.lit(groups)))
+        trees = grouped.groupBy("host", "part").applyInArrow(together, "host string, template string, k long")
+        if groups == 1:
+            return trees.select("host", "template")
+        groups //= FAN_IN
+
+
+def with_templates(rows: DataFrame, side: DataFrame, name: str, broadcast_bytes: int) -> DataFrame:
+    """``rows`` with their host's row of ``side``."""
+    size = side.agg(F.coalesce(F.sum(F.length(name) + F.length("host")), F.lit(0)).alias("b")).first()["b"]
+    return rows.join(F.broadcast(side) if size <= broadcast_bytes else side, "host", "left")
+
+
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) from all rows (host, html). Equal pages of a host count
-    once, whichever tasks read them; hosts without template have no row."""
+    """(host, wrapper) from all rows (host, html) and their hosts' templates,
+    which are made where the column is missing. Equal pages of a host count once,
+    whichever tasks read them; hosts without template have no row."""
+    if "template" not in pages.columns:
+        pages = with_templates(pages, materialize(templates(pages), "html-templates"), "template", BROADCAST_BYTES)
+
     def run(batches):
+        aligner = Aligner()
         for batch in batches:
             for rows in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 page, ends, columns = [], [0], ([], [], [], [])
-                for text in rows.column(1).to_pylist():
+                for text, template in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
                     page.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest())
-                    for column, new in zip(columns, _facts(parse(text))):
+                    root = parse(text)
+                    for column, new in zip(columns, _facts(root, aligner.of(root, template))):
                         column += new
                     ends.append(len(columns[0]))
                 items = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["path", "text", "chars", "linked"])
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(page, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
                                                  names=["host", "page", "items"])
 
-    sent = pages.mapInArrow(run, "host string, page binary, items array<struct<path: long, text: long, chars: long, linked: long>>")
+    sent = pages.select("host", "html", "template").mapInArrow(run, "host string, page binary, items array<struct<path: long, text: long, chars: long, linked: long>>")
     items = sent.dropDuplicates(["host", "page"]).select("host", F.inline("items"))
     counted = items.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     often = materialize(counted.where(F.col("pages") >= MIN_PAGES), "html-counts")
@@ -498,26 +623,28 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     repeated results; other columns are not read."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"),
                         host_of(F.col(url).cast("string")).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    wrappers = materialize(induce(rows.select("host", "html")), "html-wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0)).alias("b")).first()["b"]
-    side = F.broadcast(wrappers) if size <= broadcast_bytes else wrappers
+    trees = materialize(templates(rows.select("host", "html")), "html-templates")
+    known_hosts = with_templates(rows, trees, "template", broadcast_bytes)
+    wrappers = materialize(induce(known_hosts.select("host", "html", "template")), "html-wrappers")
     kind = pages.schema[page_id].dataType.simpleString()
 
     def run(batches):
         known: dict[bytes, Wrapper] = {}
+        aligner = Aligner()
         for batch in batches:
             out = []
-            for text, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for text, raw, template in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
                 if raw is not None and raw not in known:
                     if len(known) > 500:
                         known.clear()
                     known[raw] = Wrapper.of_bytes(raw)
-                out.append(extract(parse(text), known.get(raw)) if text else "")
+                root = parse(text)
+                out.append(extract(root, known.get(raw), aligner.of(root, template) if raw is not None else None) if text else "")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(side, "host", "left").select("page_id", "url", "html", "wrapper")
+    joined = with_templates(known_hosts, wrappers, "wrapper", broadcast_bytes).select("page_id", "url", "html", "wrapper", "template")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 

@@ -1,4 +1,5 @@
 import html
+import json
 import re
 
 from pyspark.sql import functions as F
@@ -181,3 +182,22 @@ def test_many_unclosed_tags_take_linear_time():
     for page in ("<div>" * 40_000 + "deep", "<p><div>" * 40_000 + "</p>deep", "<b><i>" * 40_000 + "deep</b>"):
         assert H.extract(H.parse(page), None) == "deep"
     assert time.time() - start < 20
+
+
+def test_pages_are_aligned_with_their_hosts_template_by_tree_matching(spark):
+    """Two parts of one label that stand on either side of another are two nodes."""
+    first = H.Template.of_list(["#root", 1, 0, 0, [], [["div.a", 1, 0, 0, [], []], ["div.b", 1, 0, 0, [], []]]])
+    other = H.Template.of_list(["#root", 1, 0, 0, [], [["div.b", 1, 0, 0, [], []], ["div.a", 1, 0, 0, [], []]]])
+    page = H.Template.of_list(other.to_list())
+    assert H.align(first, H.Template.of_list(first.to_list())) == {}
+    host = H.merge(first, other)
+    assert sorted(k.key for k in host.kids) in (["div.a", "div.a", "div.b"], ["div.a", "div.b", "div.b"])
+    a, b = (H.align(host, H.Template.of_list(x)) for x in (["#root", 1, 0, 0, [], [[k, 1, 0, 0, [], []] for k in ks]] for ks in (("div.a", "div.b"), ("div.b", "div.a"))))
+    assert a != b
+    rows = [(i, f"http://h.org/{i}", f"<div class=a>{'x' * (i + 1)} words</div><div class=b>Same line</div>" if i % 2 else
+             f"<div class=b>Same line</div><div class=a>{'y' * (i + 1)} words</div>") for i in range(24)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    trees = H.templates(df.select(H.host_of(F.col("url")).alias("host"), "html")).collect()
+    assert len(trees) == 1 and len(H.Template.of_list(json.loads(trees[0]["template"])).kids) == 3
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(df).collect()}
+    assert len(got) == 24 and all("words" in t for t in got.values())
