@@ -177,3 +177,31 @@ def test_rows_sent_at_a_time_are_bounded(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(40)), v, pa.array(np.full(40, np.inf))], names=["qid", "v", "b0"])
     sent = list(P.ask_others([batch], router, "euclidean"))
     assert max(sizes) <= 7 and sum(len(b) for b in sent) == 40 * (router.blocks - 1)
+
+
+def test_vectors_are_worked_out_once_a_row(spark):
+    """Both sides' expressions, however long, and the same distances."""
+    from tabaudit.operators.pivots import nearest_by_kind
+    calls = spark.sparkContext.accumulator(0)
+
+    def shifted(x):
+        calls.add(1)
+        return [v + 1.0 for v in x]
+
+    made = F.udf(shifted, "array<double>")
+    a = vecs(spark, [[i, 2 * i] for i in range(20)]).select(F.col("row_id").alias("id"), made("x").alias("v"))
+    b = vecs(spark, [[i + 0.25, 2 * i] for i in range(30)]).select(made("x").alias("v"))
+    got = [r["dist"] for r in nearest_by_kind(a, {"b": b}, None).collect()]
+    assert got == [0.25] * 20 and calls.value == 50
+
+
+def test_cleaned_vectors(spark):
+    from tabaudit.operators.pivots import cleaned
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, -0.0]), (2, [nan, 1.0]), (3, None), (4, [None, 1.0]), (5, [0.0, -0.0]), (6, [inf, 0.0]), (7, []), (8, [2.0, 3.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    got = {r["id"]: r["v"] for r in cleaned(df, "euclidean").collect()}
+    assert got == {1: [1.0, 0.0], 2: None, 3: None, 4: None, 5: [0.0, 0.0], 6: None, 7: [], 8: [2.0, 3.0]}
+    assert math.copysign(1, got[1][1]) == math.copysign(1, got[5][1]) == 1.0
+    got = {r["id"]: r["v"] for r in cleaned(df, "cosine").collect()}
+    assert [i for i, v in got.items() if v is not None] == [1, 8]
